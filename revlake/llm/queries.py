@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import chat, mixing, sharding, tokencount
+from revlake.llm import bpe, chat, mixing, sharding, tokencount
 from revlake.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.union(extra)))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 8)
 
@@ -35,6 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat": op4_chat,
+        "op7_bpe": op7_bpe,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
         "op10_mixing": op10_mixing,
