@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import bpe, chat, mixing, pii, sharding, tokencount
+from revlake.llm import bpe, chat, embeddings, mixing, pii, sharding, tokencount
 from revlake.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.union(extra)))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat": op4_chat,
+        "op5_embeddings": op5_embeddings,
         "op6_pii": op6_pii,
         "op7_bpe": op7_bpe,
         "op8_sharding": op8_sharding,
