@@ -10,7 +10,7 @@ def brute(rows, labels):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     crc = lambda w: zlib.crc32(w.encode())
     grams = [[crc(w) % quality.BUCKETS for w in ws] + [(crc(a) * 31 + crc(b)) % quality.BUCKETS for a, b in zip(ws, ws[1:])] + [(crc(w[-2:]) * 37 + 1) % quality.BUCKETS for w in ws] for ws in words]
-    good = {i for i, q in labels if q == 1}
+    good = {i for i, q in labels if q == 1 and i is not None}
     target, raw = Counter(), Counter()
     for (i, _), g in zip(rows, grams):
         raw.update(g)
