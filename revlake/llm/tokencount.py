@@ -1,9 +1,9 @@
 """Operator 9, token counts of every prefix by dynamic programming.
 
 A SentencePiece BPE model merges the best-scored adjacent pair, leftmost first.  Two facts make
-its encodings a dynamic program over prefixes.  A piece holds spaces at its front only (checked
-at load), so no merge crosses into the space before a word: texts fall into chunks, a run of
-spaces with the characters behind it.  And inside a chunk a piece sequence is the model's own
+its encodings a dynamic program over prefixes.  A piece holds spaces at its front only, no line
+ends, and either Latin letters or other characters (checked at load), so no merge crosses such a
+border: texts fall into chunks, a run of letters or of other characters with the spaces before.  And inside a chunk a piece sequence is the model's own
 if and only if each adjacent pair is; so of the pieces that end a prefix exactly one fits the
 last piece of the rest, and ``count[i] = count[i - len(piece)] + 1``.  Characters without a
 piece are as many byte pieces as they have UTF-8 bytes, and nothing merges with them.
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 200_000
-_CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+KEPT = 800_000
+_LETTERS = "A-Za-z\u00c0-\u024f\u1e00-\u1eff"
+_CHUNK = re.compile(rf" +(?:[{_LETTERS}]+|[^ \n{_LETTERS}]*)|[{_LETTERS}]+|[^ \n{_LETTERS}]+|\n")
 
 
 class PrefixCounter:
@@ -39,9 +40,10 @@ class PrefixCounter:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 self.score[sp.id_to_piece(i).replace("▁", " ")] = sp.get_score(i)
-        if any(" " in p.lstrip(" ") or "\n" in p for p in self.score):
-            raise ValueError("this model has pieces with a space or line end inside; its texts do not fall into chunks")
-        self.longest = max(map(len, self.score))
+        if not all(map(_CHUNK.fullmatch, self.score)):
+            raise ValueError("this model has pieces across the borders of chunks")
+        #: Every ending of a piece -> is it a piece?
+        self.endings = {p[k:]: p[k:] in self.score for p in self.score for k in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
 
@@ -60,27 +62,27 @@ class PrefixCounter:
 
     def table(self, chunk: str) -> list[int]:
         """Tokens of chunk[:i] for i = 0 .. len(chunk)."""
-        score, fits, longest = self.score, self.fits, self.longest
+        endings, fits = self.endings, self.fits
         count, last = [0], [None]
         for i in range(1, len(chunk) + 1):
-            found = None
-            for begin in range(max(0, i - longest), i):
-                piece = chunk[begin:i]
-                if piece in score:
-                    before = last[begin]
-                    if before is None:
-                        found = piece
-                    else:
-                        ok = fits.get((before, piece))
-                        if ok is None:
-                            if len(fits) > 2 * KEPT:
-                                fits.clear()
-                            ok = fits[before, piece] = self.merged(before + piece) == [before, piece]
-                        if ok:
-                            found = piece
-                    if found:
-                        count.append(count[begin] + 1)
-                        break
+            found, begins = None, []
+            for begin in range(i - 1, -1, -1):
+                whole = endings.get(chunk[begin:i])
+                if whole is None:
+                    break
+                if whole:
+                    begins.append(begin)
+            for begin in reversed(begins):
+                piece, before = chunk[begin:i], last[begin]
+                ok = before is None or fits.get((before, piece))
+                if ok is None:
+                    if len(fits) > KEPT:
+                        fits.clear()
+                    ok = fits[before, piece] = self.merged(before + piece) == [before, piece]
+                if ok:
+                    found = piece
+                    count.append(count[begin] + 1)
+                    break
             if not found:
                 count.append(count[i - 1] + len(chunk[i - 1].encode("utf-8", "surrogatepass")))
             last.append(found)
