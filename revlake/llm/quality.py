@@ -93,8 +93,13 @@ def rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return measured(docs, ratios(docs, labels)).filter("kept").select("__doc.*")
+    """The documents that pass, with all their columns.
+
+    The row number is never negative.  It keeps the filter above the measures: pushed below, it
+    would hold all their expressions in one, and work out what a lambda refers to again and again.
+    """
+    found = measured(docs, ratios(docs, labels)).select("__doc", "kept", F.monotonically_increasing_id().alias("__row"))
+    return found.filter("kept and __row >= 0").select("__doc.*")
 
 
 ORACLE_SQL = rf"""
