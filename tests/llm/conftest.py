@@ -1,19 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from pyspark.sql import SparkSession
-
-    return (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-
-
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents from (doc_id, text[, source]) tuples, with columns whose names the operators use inside."""
