@@ -34,13 +34,20 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT_UNITS, KEPT_PIECES, KEPT_SEGMENTS = 250_000, 500_000, 250_000
+KEPT_UNITS, KEPT_PIECES, KEPT_SEGMENTS = 500_000, 600_000, 500_000
 LONG = 512
-#: Words in one recursive query, and characters of text taken at once.
-WORDS, CHARS = 10_000, 4_000_000
+#: Words in one recursive query, characters of text taken at once, and tokens strung together at once.
+WORDS, CHARS, GROUP = 10_000, 4_000_000, 2_000
 
-_ODD = re.compile(r" \s|[^\S ] |[^\S \n\t\r]")
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
+#: A text with none of these falls into units at its spaces.
+_ODD = ("  ", " \n", "\n ", *(chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def units(text: str) -> list[str]:
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _ODD):
+        return _UNIT.split(text)
+    return text.split(" ")
 
 _ENCODE = """
 with recursive s(step, w, p, t, np, nt, r) as (
@@ -59,8 +66,7 @@ with recursive s(step, w, p, t, np, nt, r) as (
    from new left join merges m on m.pair = case when changed then new.t * 65536 + new.nt end)
 ),
 ended as (select w, max(step) as step from s group by w)
-select s.w, list(s.t::integer order by s.p) as ids
-from s join ended on s.w = ended.w and s.step = ended.step group by s.w order by s.w"""
+select s.w, s.t from s join ended on s.w = ended.w and s.step = ended.step order by s.w, s.p"""
 
 _DECODE = """
 select g, string_agg(v.s, '' order by p) as s
@@ -83,6 +89,7 @@ class Coder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens])
         self.leads = np.array([t[:1] == b" " for t in self.tokens])
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -118,8 +125,9 @@ class Coder:
             last = np.zeros(len(t), bool)
             last[np.cumsum(sizes) - 1] = True
             self._table("start", {"w": pa.array(np.repeat(np.arange(len(part)), sizes)), "p": pa.array(p), "t": pa.array(t), "np": pa.array(p + 1, mask=last), "nt": pa.array(np.append(t[1:], 0), mask=last)})
-            ids = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
-            values, ends = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+            made = self.db.sql(_ENCODE).to_arrow_table()
+            values = made.column("t").to_numpy().astype("<u4").tobytes()
+            ends = [0, *(np.cumsum(np.bincount(made.column("w").to_numpy(), minlength=len(part))) * 4).tolist()]
             out += [values[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
@@ -163,7 +171,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32 bit) of every text."""
-        split = [_UNIT.split(t) if _ODD.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        split = [units(t) for t in texts]
         if len(self.units) > KEPT_UNITS:
             self.units.clear()
         find = self.pattern.findall
@@ -193,12 +201,17 @@ class Coder:
         self.segments[b""] = b""
         new = [x for x in new if x]
         for at in range(0, len(new), 2 * WORDS):
+            # A few hundred segments make one group; the tokens' lengths tell them apart again.
             part = new[at : at + 2 * WORDS]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), "<u4").astype(np.int32)))
-            self._table("segments", {"g": pa.array(range(len(part)), pa.int32()), "ids": ids})
+            ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
+            token_ends = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(x) // 4 for x in part])
+            groups = np.append(np.arange(0, len(ids), GROUP), len(ids)).astype(np.int32)
+            self._table("segments", {"g": pa.array(range(len(groups) - 1), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(groups), pa.array(ids))})
             strings = self.db.sql(_DECODE).to_arrow_table().column("s").to_pylist()
-            self.segments.update(zip(part, (s.encode("utf-16-le")[::2] for s in strings)))
+            whole = "".join(strings).encode("utf-16-le")[::2]
+            cuts = [0, *token_ends[ends - 1].tolist()]
+            self.segments.update(zip(part, (whole[a:b] for a, b in zip(cuts, cuts[1:]))))
         return [b"".join(map(self.segments.__getitem__, s)) for s in split]
 
 
