@@ -7,14 +7,16 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revlake.functions import text as T
-from revlake.operators import evaluation, explore, marts, release, serving, topics
+from revlake.operators import dictionary, evaluation, explore, marts, models, release, serving, topics
 from revlake.sources import adapters as A
 from revlake.streaming import windows
 
 FROM, TO = date(1996, 3, 15), date(1997, 11, 2)
 STOP = ("the", "of", "and", "to", "in", "de", "la", "der", "die", "und")
+PHRASES = ("of the", "in der", "de la", "the", "que", "no such phrase")
 SLANG = {"th": ["the"], "er": ["error"], "an": ["an-an"], "onth": ["on", "the"]}
 
 _R = """reviews as (select o_orderkey as id, substr(o_orderpriority, 1, 1)::int as rating, o_orderdate as tanggal,
@@ -107,6 +109,16 @@ def _tests(f: Frames) -> DataFrame:
     return release.z_tests(f.by_version)
 
 
+def _dual(f: Frames) -> DataFrame:
+    actual = release.by_version(f.r.withColumn("label", F.col("sentimen_aktual")))
+    return f.by_version.select("versi_minor", F.col("n").alias("n_pred"), F.col("neg").alias("neg_pred")).join(actual.select("versi_minor", F.col("n").alias("n_actual"), F.col("neg").alias("neg_actual")), "versi_minor", "left")
+
+
+def _classified(f: Frames, kind: str) -> DataFrame:
+    train, test = models.split(models.terms(f.texts))
+    return models.score(models.fit(models.first_of_text(train), kind), test)
+
+
 def _keywords(f: Frames) -> DataFrame:
     rows = [(w, k) for k, ws in {"a": ("the", "of the", "tion"), "b": ("der", "in der"), "c": ("de la", "que")}.items() for w in ws]
     return f.docs.sparkSession.createDataFrame(rows, "keyword string, kategori string")
@@ -176,6 +188,17 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "model_overlap": (lambda f: evaluation.model_overlap(f.predictions), _with(_R, _S, _PRED, "w as (select id, model_name as a from p where label <> pred), o as (select a, count(*) as n from w group by 1), j as (select x.a, y.a as b, count(*) as n_both from w x join w y using (id) group by 1, 2)", "select j.a, j.b, n_both, round(n_both::double / (oa.n + ob.n - n_both), 6) as jaccard from j join o oa on oa.a = j.a join o ob on ob.a = j.b")),
     "agreement_kappa": (lambda f: evaluation.kappa(f.s), _with(_R, _S, "q as (select o_orderkey as id, case when o_orderstatus = 'F' then 0 else 1 end as x, case when o_orderkey % 3 = 0 then 0 else 1 end as y from orders), t as (select count(*)::double as n, (count(*) filter (where x = y))::double as same, sum(x)::double as sx, sum(y)::double as sy from q), e as (select n, same / n as po, (sx * sy + (n - sx) * (n - sy)) / (n * n) as pe from t)", "select n::bigint as n, round(po, 6) as agreement, round((po - pe) / (1 - pe), 6) as kappa from e")),
     "event_windows": (lambda f: windows.tumbling(f.events).select(F.to_date("start").alias("day"), "event_type", "n", "total"), "select ts::date as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"),
+    "word_counts": (lambda f: dictionary.word_counts(f.docs), _with(_TOK, "select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+'))::bigint as raw_words, len(w)::bigint as clean_words from documents join tok using (doc_id)")),
+    "phrase_doc_counts": (lambda f: dictionary.phrase_counts(f.docs, PHRASES), "select phrase, (select count(*) from documents where contains(' ' || " + _CLEAN + " || ' ', ' ' || phrase || ' ')) as n_dokumen from (select unnest([" + ", ".join(f"'{p}'" for p in PHRASES) + "]) as phrase)"),
+    "nb_counts": (lambda f: dictionary.nb_counts(f.texts), _with(_TOK, "c as (select term, count(*) filter (where quality = 1) as pos, count(*) filter (where quality = 0) as neg from (select doc_id, unnest(w) as term from tok) join labels using (doc_id) group by 1 having count(*) filter (where quality is not null) >= 3)", "select term, pos, neg, round(ln((pos + 1)::double / (sum(pos) over () + count(*) over ())::double) - ln((neg + 1)::double / (sum(neg) over () + count(*) over ())::double), 6) as log_ratio from c")),
+    "candidate_tokens": (lambda f: dictionary.candidates(f.docs, f.docs.sparkSession.createDataFrame([(w,) for w in STOP], "word string")), _with(_TOK, f"select term as word, count(*) as freq, min(doc_id) as first_doc from (select doc_id, unnest(w) as term from tok) where length(term) >= 2 and term not in {STOP} group by 1 having count(*) >= 20 order by freq desc, word limit 500")),
+    "keyword_collisions": (lambda f: dictionary.collisions(f.t), _with(_T, "select keyword, count(*) as n_kategori, min(kategori) as pemilik from topics group by 1 having count(*) > 1")),
+    "dictionary_layers": (lambda f: dictionary.layered([f.t.select(F.col("keyword").alias("word"), F.concat(F.lit("a:"), F.min("kategori").over(Window.partitionBy("keyword"))).alias("expansion")).distinct(), f.docs.sparkSession.createDataFrame([("Brand#11", "b:x"), ("new", "b:y")], "word string, expansion string")], f.docs.sparkSession.createDataFrame([("Brand#12",)], "word string")), _with(_T, "l as (select keyword as word, 'a:' || min(kategori) as expansion, 0::bigint as priority from topics group by 1 union all select 'Brand#11', 'b:x', 1 union all select 'new', 'b:y', 1)", "select word, max_by(expansion, priority) as expansion, max(priority) as priority from l where word <> 'Brand#12' group by 1")),
+    "release_dual_label": (lambda f: _dual(f), _with(_R, _S, "a as (select versi_minor, count(*) as n_pred, count(*) filter (where pred_label = 0) as neg_pred from s where versi_minor is not null group by 1 having count(*) >= 100), b as (select versi_minor, count(*) as n_actual, count(*) filter (where sentimen_aktual = 0) as neg_actual from reviews where versi_minor is not null and sentimen_aktual is not null group by 1 having count(*) >= 100)", "select versi_minor, n_pred, neg_pred, n_actual, neg_actual from a left join b using (versi_minor)")),
+    "lr_scores": (lambda f: _classified(f, "lr"), None),
+    "svc_scores": (lambda f: _classified(f, "svc"), None),
+    "cnb_scores": (lambda f: _classified(f, "cnb"), None),
+    "lda_topics": (lambda f: models.lda_topics(f.docs), None),
 }
 
 
