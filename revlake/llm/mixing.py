@@ -104,8 +104,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as the mix emits it, with the columns of ``docs``."""
     names = docs.columns
     rows = docs.select(*names, word_count(F.col("text")).alias("__size"))
-    tagged = written(rows.select(F.struct(*names).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__size").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie")), "mixing-documents")
-    keyed = tagged.withColumn("__row", F.monotonically_increasing_id())
+    # Row numbers are written with the rows, so that both uses below see the same ones.
+    tagged = rows.select(F.struct(*names).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__size").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie"), F.monotonically_increasing_id().alias("__row"))
+    keyed = written(tagged, "mixing-documents")
     taken = copies(keyed.drop("__doc"))
     chosen = taken.filter("copies > 0").select("__row", "copies")
     out = keyed.select("__row", "__doc").join(chosen, "__row")
