@@ -11,7 +11,7 @@ Trusted documents are those labelled of good quality, at most ``TRUSTED`` of the
 MD5 of their id), so that their ids can be broadcast; everything else is counted over all rows.
 The only other thing that leaves the executors is the table of bucket counts, which has
 ``BUCKETS`` rows.  All measures are expressions over one row: no row is shuffled.  Windows are
-compared by a 64-bit hash of their words' 64-bit hashes.
+compared by a 64-bit hash of the five words' CRC-32.
 
 Rows: null and empty texts have no words and fail.  Repeated rows are rows of their own; an
 empty table gives no rows; other columns are ignored (``kept_documents`` carries them through).
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import WORD, words
+from revlake.llm.common import WORD
 
 BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 100_000, -0.15
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -33,13 +33,20 @@ _SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 
-def buckets(found: str) -> Column:
-    """Buckets of the n-grams of a words column; it must be a plain column."""
-    crc = F.transform(found, lambda w: F.crc32(w.cast("binary")))
-    last = F.expr(f"transform({found}, w -> cast(pmod(crc32(cast(right(w, 2) as binary)) * 37 + 1, {BUCKETS}) as int))")
-    single = F.transform(crc, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    pairs = F.zip_with(crc, F.slice(crc, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.pmod(a * 31 + b, F.lit(BUCKETS)).cast("int"))
-    return F.flatten(F.array(single, F.filter(pairs, lambda b: b.isNotNull()), last))
+def split_words(text: Column) -> Column:
+    """As ``common.words``: a split at single spaces costs about half of a pattern's matches."""
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")
+
+
+def hashes(found: str) -> tuple[Column, Column]:
+    """CRC-32 of the words of a plain words column, and the hashes of their last two characters."""
+    return F.transform(found, lambda w: F.crc32(w.cast("binary"))), F.expr(f"transform({found}, w -> crc32(cast(right(w, 2) as binary)) * 37 + 1)")
+
+
+def grams(crc: str, last: str) -> Column:
+    """Hashes of all n-grams; the low bits name the bucket."""
+    rest = F.greatest(F.size(crc) - 1, F.lit(0))
+    return F.concat(crc, F.zip_with(F.slice(crc, F.lit(1), rest), F.slice(crc, F.lit(2), rest), lambda a, b: a * 31 + b), last)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -51,8 +58,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log p_target - log p_raw of every bucket."""
     trusted = F.broadcast(trusted_ids(labels).withColumn("good", F.lit(1)))  # TRUSTED rows at most
-    grams = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w")).select("doc_id", buckets("w").alias("b"))
-    counted = grams.join(trusted, "doc_id", "left").select("good", F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count("good").alias("target"), F.count(F.lit(1)).alias("raw"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("w"))
+    crc, last = hashes("w")
+    found = found.select("doc_id", crc.alias("c"), last.alias("e")).select("doc_id", grams("c", "e").alias("g"))
+    counted = found.join(trusted, "doc_id", "left").select("good", F.explode("g").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("good").alias("target"), F.count(F.lit(1)).alias("raw"))
     target, raw = [0] * BUCKETS, [0] * BUCKETS
     for r in counted.collect():  # one row per bucket
         target[r.bucket], raw[r.bucket] = r.target, r.raw
@@ -69,10 +78,14 @@ def measured(docs: DataFrame, weights: list[float]) -> DataFrame:
     text = F.coalesce(F.col("__doc.text"), F.lit(""))
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     held = docs.select(F.struct(*docs.columns).alias("__doc"))
-    held = held.select("__doc", words(text).alias("__w"))
-    held = held.select("__doc", F.size("__w").cast("long").alias("n_words"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"), buckets("__w").alias("__b"))
-    window = lambda i: F.xxhash64(*(F.get(F.col("__h"), i + k) for k in range(5)))
-    held = held.select("__doc", "n_words", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.size("__h") - 5), window)).otherwise(F.array().cast("array<long>")).alias("__v"), F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.get(table, b)).alias("__sum"), F.size("__b").alias("__n"))
+    held = held.select("__doc", split_words(F.col("__doc.text")).alias("__w"))
+    crc, last = hashes("__w")
+    held = held.select("__doc", F.size("__w").cast("long").alias("n_words"), crc.alias("__c"), last.alias("__e"))
+    held = held.select("__doc", "n_words", "__c", grams("__c", "__e").alias("__g"))
+    window = lambda i: F.xxhash64(*(F.get(F.col("__c"), i + k) for k in range(5)))
+    windows = F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.size("__c") - 5), window)).otherwise(F.array().cast("array<long>"))
+    summed = F.aggregate("__g", F.lit(0.0), lambda a, g: a + F.get(table, g.bitwiseAND(BUCKETS - 1).cast("int")))
+    held = held.select("__doc", "n_words", windows.alias("__v"), summed.alias("__sum"), F.size("__g").alias("__n"))
     twice = F.size(F.array_distinct("__v")) < F.size("__v")
     held = held.select("__doc", "n_words", "__sum", "__n", F.when(twice, F.sort_array(F.transform("__v", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))).alias("__s"))
     near = lambda s, k: F.when((F.get(F.col("__s"), k - 1)["v"] == s["v"]) | (F.get(F.col("__s"), k + 1)["v"] == s["v"]), s["i"])
