@@ -12,11 +12,12 @@ from tables of their quantiles, addressed by bits of a hash of feature and sampl
 features draw alike everywhere.  A band's samples make a bucket.
 
 Equal texts are one class before anything is compared.  In a bucket every text is compared
-with the least one, by weighted Jaccard similarity over all features.  What that leaves apart is
-settled exactly: texts of a bucket that are still in different components are compared with each
-other unless their similarities to the least text differ by more than a link allows (1 - J is
-a metric).  So no link between texts that share a bucket is lost, and a group of thousands
-of near copies takes comparisons in proportion to its size.  Members of a comparison are dealt in
+with the least one, by weighted Jaccard similarity over all features.  Then texts of a bucket
+that are still in different components are compared with each other, so a chain of links is
+followed, and a group of thousands of near copies takes comparisons in proportion to its size.
+A pair is not compared if its total weights alone rule a link out, or if under ``AGREE`` of its
+samples agree: at the similarity of a link that has a probability of 3e-5, less than that of
+sharing no bucket (2e-4).  Members of a comparison are dealt in
 parts of ``PART`` texts, each with its own copy of the text they are compared with.
 
 Rows: null is the empty text; empty texts equal each other.  A document is its doc_id: rows with
@@ -39,6 +40,7 @@ from revlake.llm.graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BUCKETS, IDF_SHARE = 1 << 18, 0.1
+AGREE = 18
 PART = 128
 SEED = 20240502
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -105,10 +107,11 @@ class Sampler:
         self.r, self.ln_c, self.beta = gamma.astype(np.float32), np.log(gamma).astype(np.float32), u.astype(np.float32)
         self.seeds = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
-    def bands(self, features: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bucket keys (texts, BANDS) of non-empty texts whose features begin at ``starts``."""
+    def bands(self, features: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys (texts, BANDS) and samples (texts, BANDS * ROWS) of non-empty texts whose features begin at ``starts``."""
         ln_w = np.log(weights).astype(np.float32)
         keys = np.zeros((len(starts), BANDS), np.uint64)
+        samples = np.zeros((len(starts), BANDS * ROWS), np.uint32)
         mask = np.uint64(0xFFFF)
         with np.errstate(over="ignore"):
             for k, seed in enumerate(self.seeds):
@@ -120,9 +123,10 @@ class Sampler:
                 order ^= (order >> 63) & 0x7FFFFFFF  # floats in the order of integers
                 name = (z ^ (t.astype(np.int64).view(np.uint64) * _MIX)) >> np.uint64(32)
                 least = np.minimum.reduceat((order << 32) | name.view(np.int64), starts)
+                samples[:, k] = least.view(np.uint64) & np.uint64(0xFFFFFFFF)
                 band = k // ROWS
-                keys[:, band] = _mixed(keys[:, band] * _MIX + (least.view(np.uint64) & np.uint64(0xFFFFFFFF)) + np.uint64(band + 1))
-        return keys
+                keys[:, band] = _mixed(keys[:, band] * _MIX + samples[:, k].astype(np.uint64) + np.uint64(band + 1))
+        return keys, samples
 
 
 def _idf(docs: DataFrame) -> np.ndarray:
@@ -146,7 +150,7 @@ def _idf(docs: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, key (MD5 of the text), bands: null where the text has no features."""
+    """doc_id, key (MD5 of the text), bands and samples (null where the text has no features), weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -154,24 +158,33 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
         def signatures(group: list[tuple[np.ndarray, np.ndarray]]) -> list:
             full = [g for g in group if len(g[0])]
             if not full:
-                return [None] * len(group)
+                return [(None, None, 0.0)] * len(group)
             starts = np.cumsum([0, *(len(f) for f, _ in full[:-1])])
-            found = iter(sampler.bands(np.concatenate([f for f, _ in full]), np.concatenate([w for _, w in full]), starts).view(np.int64))
-            return [next(found) if len(g[0]) else None for g in group]
+            keys, samples = sampler.bands(np.concatenate([f for f, _ in full]), np.concatenate([w for _, w in full]), starts)
+            found = zip(keys.view(np.int64), samples.view(np.int32), (float(w.sum()) for _, w in full))
+            return [next(found) if len(g[0]) else (None, None, 0.0) for g in group]
 
         for batch in batches:
-            bands, group, size = [], [], 0
+            rows, group, size = [], [], 0
             for text in batch.column(2):
                 group.append(weighted(text.as_py(), idf.value))
                 size += len(group[-1][0])
                 if size > 40_000:  # working arrays stay in cache
-                    bands += signatures(group)
+                    rows += signatures(group)
                     group, size = [], 0
-            bands += signatures(group)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            rows += signatures(group)
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "bands", "samples", "weight"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    return given.mapInArrow(run, "doc_id long, key string, bands array<long>")
+    return given.mapInArrow(run, "doc_id long, key string, bands array<long>, samples array<int>, weight double")
+
+
+def _may_link(one: str, two: str):
+    """Neither weights nor samples rule the pair out."""
+    a, b = F.col(f"{one}.weight"), F.col(f"{two}.weight")
+    agree = F.size(F.filter(F.zip_with(f"{one}.samples", f"{two}.samples", lambda x, y: x == y), lambda e: e))
+    return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) * (1 - 1e-9)) & (agree >= AGREE)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -198,32 +211,43 @@ def _compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return dealt.select("a", "part", "b", "text").mapInArrow(run, "a long, b long, s double")
 
 
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in pairs; of several texts of one id, that with the least key."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    return written(keyed.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("text", F.md5("text")).alias("text")), "minhash-candidates")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, class_id: one row per document row."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(_idf(docs))  # DF_BUCKETS numbers
     rows = written(_signed(docs, idf), "minhash-rows")
     named = rows.filter("doc_id is not null")
-    reps = written(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "minhash-texts")
-    entries = reps.filter("bands is not null").select("rep", F.posexplode("bands").alias("band", "bucket"))
+    firsts = [F.first(c).alias(c) for c in ("bands", "samples", "weight")]
+    reps = written(named.groupBy("key").agg(F.min("doc_id").alias("rep"), *firsts), "minhash-texts")
+    # A doc_id with several texts is one document: it is compared by the text with the least key.
+    signed = reps.filter("bands is not null").groupBy("rep").agg(F.min_by(F.struct("bands", "samples", "weight"), "key").alias("x")).select("rep", "x.*")
+    entries = signed.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "bucket", "least")
     met = written(entries.join(shared, ["band", "bucket"]), "minhash-buckets")
+    tests = signed.select("rep", "samples", "weight")
     pairs = met.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    # One text for each id: rows with the least key of their doc_id.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    texts = written(keyed.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "minhash-candidates")
-    first = written(_compared(pairs, texts, idf), "minhash-compared")
-    linked = first.filter(F.col("s") >= SIMILARITY).select("a", "b")
+    one, two = tests.alias("one"), tests.alias("two")
+    pairs = written(pairs.join(one, F.col("a") == F.col("one.rep")).join(two, F.col("b") == F.col("two.rep")).filter(_may_link("one", "two")).select("a", "b"), "minhash-pairs")
+    linked = written(_compared(pairs, _texts(docs, pairs), idf), "minhash-compared").filter(F.col("s") >= SIMILARITY).select("a", "b")
     roots = components(linked, "a", "b")
     # Buckets whose texts are not all in one component yet.
-    near = met.join(first.select(F.col("a").alias("least"), F.col("b").alias("rep"), "s"), ["least", "rep"]).join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "bucket", "rep", "s", F.coalesce("root", "rep").alias("root"))
+    near = met.select("band", "bucket", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     apart = near.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("band", "bucket")
-    left = written(near.join(apart, ["band", "bucket"]), "minhash-apart")
+    left = written(near.join(apart, ["band", "bucket"]).join(tests, "rep"), "minhash-apart")
     one, two = left.alias("one"), left.alias("two")
-    may = (F.col("one.rep") < F.col("two.rep")) & (F.col("one.root") != F.col("two.root")) & (F.abs(F.col("one.s") - F.col("two.s")) <= 1 - SIMILARITY + 1e-9)
-    more = one.join(two, ["band", "bucket"]).filter(may).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
-    second = written(_compared(more, texts, idf), "minhash-compared").filter(F.col("s") >= SIMILARITY).select("a", "b")
+    may = (F.col("one.rep") < F.col("two.rep")) & (F.col("one.root") != F.col("two.root")) & _may_link("one", "two")
+    met_in = (F.col("one.band") == F.col("two.band")) & (F.col("one.bucket") == F.col("two.bucket"))
+    more = one.join(two, met_in & may).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    second = written(_compared(more, _texts(docs, more), idf), "minhash-compared").filter(F.col("s") >= SIMILARITY).select("a", "b")
     final = components(linked.unionByName(second), "a", "b")
     of_text = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text, "key", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
@@ -238,8 +262,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns; of repeated rows one stays."""
     stay = classes(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("key").alias("__key"), F.count(F.lit(1)).alias("__rows"))
     stay = written(stay, "minhash-kept")
-    held = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    found = held.join(stay.hint("shuffle_hash"), "__id").filter(F.md5(F.coalesce("text", F.lit(""))) == F.col("__key"))
+    held = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__md5"))
+    found = held.join(stay.hint("shuffle_hash"), "__id").filter("__md5 = __key")
     single, repeated = found.filter("__rows = 1"), found.filter("__rows > 1").dropDuplicates(["__id"])
     unnamed = held.filter("__id is null")
-    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(unnamed.select(*docs.columns))
+    return single.select("__doc.*").unionByName(repeated.select("__doc.*")).unionByName(unnamed.select("__doc.*"))
