@@ -14,7 +14,8 @@ features draw alike everywhere.  A band's samples make a bucket.
 Equal texts are one class before anything is compared.  In a bucket every text is compared
 with the least one, by weighted Jaccard similarity over all features.  Then texts of a bucket
 that are still in different components are compared with each other, so a chain of links is
-followed, and a group of thousands of near copies takes comparisons in proportion to its size.
+followed.  A group of near copies that are mostly near its least text takes comparisons in
+proportion to its size; one whose texts are mostly further from it takes up to all its pairs.
 A pair is not compared if its total weights alone rule a link out, or if under ``AGREE`` of its
 samples agree: at the similarity of a link that has a probability of 3e-5, less than that of
 sharing no bucket (2e-4).  Members of a comparison are dealt in
