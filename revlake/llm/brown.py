@@ -3,19 +3,23 @@
 Training tokens are the ASCII lower-case words of every training document and an end after
 each.  Their counts are gathered over all training documents and stay a distributed table.
 
-Classes.  The ``ITEMS`` most frequent words are items of their own; every other word, seen or
-not, belongs to one of ``ENDINGS`` items by a hash of its last three bytes; the end is an item.
-Counts of neighbouring items over all training documents (at most (ITEMS + ENDINGS + 1) squared
-of them, whatever the corpus) go to the driver, where exchange clustering assigns items to
-``CLASSES`` classes: items start by frequency rank, and each in turn moves to the class in which
-the likelihood of the class bigrams is greatest, until a sweep moves none or ``SWEEPS`` are done.
+Classes.  Every training word is assigned by exchange.  Counts of neighbouring words are a
+distributed table that grows with the corpus; in it a word is a number of 63 bits (54 of its hash
+and the ending below).  The ``ITEMS`` most frequent words are the seeds; each in turn moves to the
+class in which the likelihood of the class bigrams is greatest, until a sweep moves none or
+``SWEEPS`` are done.  There all other words stand together by ``ENDINGS`` items, a hash of their
+last three bytes, which is where they start, and the end is an item (at most (ITEMS + ENDINGS + 1)
+squared counts go to the driver).  Then each word beyond the seeds moves on its own counts of
+neighbouring classes, all at once in a sweep, until none moves or ``SWEEPS`` are done; a sweep
+that does not raise the likelihood is taken back, and half as many words move at once from then on.  Only words that no training document has
+keep the class of their ending.
 
 Scores.  P(w | before) = P(class | class before) * P(w | class).  Transitions are smoothed with
 ``BACKOFF`` counts of the class unigram, emissions with ``ADD`` for each word of the class and
 one unseen word.  A text begins after an end.  Logarithms are decimal.
 
-Counts of the ``COMMON`` most frequent words travel to the executors as a map of that size at
-most; the words it lacks are joined to the table of counts, so every count is exact.
+Counts and classes of the ``COMMON`` most frequent words travel to the executors as a map of that
+size at most; the words it lacks are joined to the table of words, so every count and class is exact.
 
 Rows: null is the empty text, which is one end.  Rows with a null doc_id are held out or not by
 the empty string.  Repeated rows are rows of their own (and train as often); an empty table
@@ -28,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,9 @@ COMMON = 200_000
 BACKOFF, ADD = 20.0, 0.2
 #: Distinct words a task counts before it hands them on.
 HELD = 400_000
+#: Tokens whose pairs a task counts before it hands them on.
+LINE = 2_000_000
+NO_WORD = -1  # the number of the end
 END = ITEMS + ENDINGS  # the item of the end of a text; ITEMS + h are the endings
 
 
@@ -49,8 +57,17 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def last_bytes(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
 def ending(word: bytes) -> int:
-    return ITEMS + zlib.crc32(word[-3:]) % ENDINGS
+    return ITEMS + last_bytes(word)
+
+
+def number(word: bytes) -> int:
+    """63 bits: 54 of a hash of the word, and its ending in the lowest nine."""
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 10 << 9 | last_bytes(word)
 
 
 def held_out(doc_id):
@@ -79,30 +96,162 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def item_bigrams(train: DataFrame, items) -> DataFrame:
-    """a, b, n: how often item b follows item a; ``items`` is a broadcast map of words to items."""
-    size = END + 1
+def numbered(counts: DataFrame) -> DataFrame:
+    """word, n, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size * size, np.int64)
-        known = items.value
         for batch in batches:
-            line = [END]
+            ids = pa.array([number(w) for w in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "id"])
+
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, id long")
+
+
+def word_bigrams(train: DataFrame) -> DataFrame:
+    """a, b, n: how often word b follows word a, by numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        line = [0]  # the end; words of the task count from 1
+
+        def rows():
+            size, x = len(seen) + 1, np.array(line, np.int64)
+            pairs, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
+            ids = np.array([NO_WORD, *map(number, seen)], np.int64)
+            for k in range(0, len(pairs), 100_000):
+                part = pairs[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part // size]), pa.array(ids[part % size]), pa.array(n[k : k + 100_000])], names=["a", "b", "n"])
+
+        for batch in batches:
             for text in batch.column(0):
-                line += [known[w] if w in known else ending(w) for w in tokens(text.as_py())]
-                line.append(END)
-                if len(line) > 1_000_000:
-                    x = np.array(line, np.int64)
-                    found += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-                    line = [END]
-            x = np.array(line, np.int64)
-            found += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-        at = np.flatnonzero(found)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(found[part])], names=["a", "b", "n"])
-
-    return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+                line += [seen.setdefault(w, len(seen) + 1) for w in tokens(text.as_py())]
+                line.append(0)
+                if len(line) > LINE or len(seen) > HELD:
+                    yield from rows()
+                    seen.clear()
+                    line[:] = [0]
+        if len(line) > 1:
+            yield from rows()
+
+    return train.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def item_bigrams(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """a, b, n by items; ``seeds`` has the id and the item of each seed."""
+    for side in ("a", "b"):
+        known = F.broadcast(seeds.select(F.col("id").alias(side), F.col("item").alias(f"seed_{side}")))  # ITEMS rows
+        pairs = pairs.join(known, side, "left")
+    item = lambda c: F.coalesce(f"seed_{c}", F.when(F.col(c) == NO_WORD, END).otherwise(ITEMS + F.col(c).bitwiseAND(511)).cast("int")).alias(c)
+    return pairs.select(item("a"), item("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def neighbours(pairs: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
+    """id, class, codes, ns, self: for each word, how often each class stands after it (code = class) or before it (CLASSES + 1 more).
+
+    ``classes`` has the id and class of every word.  Those of the ``common`` ids, COMMON rows at most, are broadcast, so that no frequent word is a key of the join.
+    """
+    near = classes.join(F.broadcast(common), "id", "left_semi")
+
+    def side(of: str, other: str, more: int) -> DataFrame:
+        given = pairs.select(F.col(of).alias("word"), F.col(other).alias("id"), "n").join(F.broadcast(near.withColumnRenamed("class", "near")), "id", "left")
+        rest = given.filter("near is null").join(classes.join(F.broadcast(common), "id", "left_anti"), "id")
+        out = given.filter("near is not null").select("word", F.col("near").alias("code"), "n").union(rest.select("word", "class", "n"))
+        return out.select("word", (F.col("code") + more).alias("code"), "n")
+
+    found = side("a", "b", 0).union(side("b", "a", CLASSES + 1)).groupBy("word", "code").agg(F.sum("n").alias("n"))
+    lists = found.groupBy(F.col("word").alias("id")).agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
+    own = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("n").alias("self"))
+    return lists.join(classes, "id").join(own, "id", "left").select("id", "class", "codes", "ns", F.coalesce("self", F.lit(0)).cast("long").alias("self"))
+
+
+def gains(between: np.ndarray, of: np.ndarray, start: np.ndarray, codes: np.ndarray, ns: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By word and class: the likelihood with the word in the class, less that without the word.
+
+    ``codes`` and ``ns`` have the entries of word i, as ``neighbours`` gives them, from ``start[i]`` on.
+    """
+    k, m = len(between), len(of)
+    at = np.repeat(np.arange(m), np.diff(start))
+    a, j = of[at], codes % k
+    after = codes < k
+    right, left = np.zeros((m, k)), np.zeros((m, k))
+    right[at[after], j[after]] = ns[after]
+    left[at[~after], j[~after]] = ns[~after]
+    every = np.arange(m)
+    right[every, of] -= own
+    left[every, of] -= own
+    ns = np.where(j == a, ns - own[at], ns)
+    table = np.concatenate([between.T, between])  # by code: the cell of class c that an entry goes to
+    value = _xlogx(table)
+    base = table[codes]
+    change = np.empty_like(base)
+    low = ns <= 8
+    if low.any():  # most words are rare: their terms are looked up
+        steps = np.stack([_xlogx(table + n) - value for n in range(9)])
+        change[low] = steps[ns[low].astype(np.int64), codes[low]]
+    if not low.all():
+        change[~low] = _xlogx(base[~low] + ns[~low, None]) - value[codes[~low]]
+    # Without the word: its row and column leave its own class.
+    entry = np.arange(len(codes))
+    base[entry, a] -= ns
+    inner = np.flatnonzero(j == a)
+    base[inner] -= np.where(after[inner, None], left[at[inner]], right[at[inner]])
+    base[inner, a[inner]] -= own[at[inner]]
+    change[inner] = _xlogx(base[inner] + ns[inner, None]) - _xlogx(base[inner])
+    change[entry, a] = _xlogx(base[entry, a] + ns) - _xlogx(base[entry, a])
+    gain = np.add.reduceat(change, start[:-1], axis=0)
+    corner = np.tile(np.diag(between), (m, 1))
+    corner[every, of] -= right[every, of] + left[every, of] + own
+    gain += _xlogx(corner + right + left + own[:, None]) - _xlogx(corner + right) - _xlogx(corner + left) + _xlogx(corner)
+    for total, part in ((between.sum(1), right), (between.sum(0), left)):
+        moved = (part.sum(1) + own)[:, None]
+        rest = np.tile(total, (m, 1))
+        rest[every, of] -= moved[:, 0]
+        gain -= _xlogx(rest + moved) - _xlogx(rest)
+    gain[:, k - 1] = -np.inf  # the end is alone
+    return gain
+
+
+def moved(near: DataFrame, between: np.ndarray, seeds: np.ndarray, parts: int, part_of: int) -> DataFrame:
+    """id, class, moved after each word beyond the seeds, or those of one of ``parts`` parts, took its best class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, of = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64)
+                codes, ns = (part.column(c).flatten().to_numpy() for c in (2, 3))
+                start = np.concatenate([[0], np.cumsum(part.column(2).value_lengths().to_numpy())])
+                gain = gains(between, of, start, codes, ns.astype(np.float64), part.column(4).to_numpy().astype(np.float64))
+                best, every = gain.argmax(1), np.arange(len(of))
+                go = (gain[every, best] > gain[every, of] + 1e-6) & (ids != NO_WORD) & ~np.isin(ids, seeds) & ((ids >> 9) % parts == part_of)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(go, best, of).astype(np.int32)), pa.array(go)], names=["id", "class", "moved"])
+
+    return near.mapInArrow(run, "id long, class int, moved boolean")
+
+
+def place(pairs: DataFrame, classes: DataFrame, common: DataFrame, seeds: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Classes of every word after the sweeps over the words beyond the seeds, and the counts of class bigrams."""
+    kept, parts, still, k = None, 1, 0, CLASSES + 1
+    for sweep in range(SWEEPS + 1):
+        near = written(neighbours(pairs, classes, common), "brown-neighbours")
+        cells = near.select("class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).filter(F.col("x.codes") < k)
+        between = np.zeros((k, k))
+        for r in cells.groupBy("class", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n")).collect():  # k * k rows at most
+            between[r["class"], r.code] = r.n
+        worth = likelihood(between, np.arange(k))
+        if kept and worth <= kept[0]:
+            parts *= 2
+        else:
+            kept = worth, classes, between, near
+        while sweep < SWEEPS and still < parts:
+            after = written(moved(kept[3], kept[2], seeds, parts, (sweep + still) % parts), "brown-classes")
+            if not after.filter("moved").isEmpty():
+                break
+            still += 1
+        if sweep == SWEEPS or still == parts:
+            break
+        still, classes = 0, after.drop("moved")
+    return kept[1:3]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -176,7 +325,7 @@ def likelihood(pairs: np.ndarray, of: np.ndarray) -> float:
 class Model:
     """What scoring needs besides the table of counts; its size does not depend on the corpus."""
 
-    classes: np.ndarray  # of items
+    classes: np.ndarray  # of items; those of the endings hold for words that were never seen
     transition: np.ndarray  # log10
     emission_total: np.ndarray  # log10 of each class's denominator
     common: dict[bytes, tuple[int, int]]  # word -> (count, class)
@@ -186,54 +335,49 @@ class Model:
 
 
 def fit(train: DataFrame) -> tuple[DataFrame, Model]:
-    """Table of word counts (word, n) and the model."""
-    sc = train.sparkSession.sparkContext
-    counts = written(word_counts(train), "brown-words")
+    """Table of words (word, n, class) and the model."""
+    spark = train.sparkSession
+    counts = written(numbered(word_counts(train)), "brown-words")
+    bigrams = written(word_bigrams(train), "brown-pairs")
     n_ends = train.count()
     common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()  # COMMON rows at most
-    words, ns = common.column("word").to_pylist(), common.column("n").to_pylist()
-    items = {w: k for k, w in enumerate(words[:ITEMS])}
+    words, ns, ids = (common.column(c).to_pylist() for c in ("word", "n", "id"))
     size = END + 1
     pairs = np.zeros((size, size))
-    found = item_bigrams(train, sc.broadcast(items)).toArrow()  # size * size rows at most
+    seeds = spark.createDataFrame([(i, k) for k, i in enumerate(ids[:ITEMS])], "id long, item int")
+    found = item_bigrams(bigrams, seeds).toArrow()  # size * size rows at most
     pairs[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
-    of = exchange(pairs)
-
-    known = sc.broadcast(items)
-
-    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [known.value.get(w, -1) for w in batch.column(0).to_pylist()]
-            at = [k if k >= 0 else ending(w) for k, w in zip(at, batch.column(0).to_pylist())]
-            n = np.bincount(at, batch.column(1).to_numpy(), size).astype(np.int64)
-            distinct = np.bincount(at, minlength=size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(n), pa.array(distinct)], names=["item", "n", "distinct"])
-
-    totals = counts.mapInArrow(of_items, "item int, n long, distinct long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()  # one row per item
+    of = exchange(pairs, CLASSES, SWEEPS)
+
+    first = F.element_at(F.array(*(F.lit(int(c)) for c in of[ITEMS:END])), (F.col("id").bitwiseAND(511) + 1).cast("int"))
+    placed = spark.createDataFrame([(i, int(of[k])) for k, i in enumerate(ids[:ITEMS])], "id long, seed int")
+    began = counts.select("id").distinct().join(F.broadcast(placed), "id", "left").select("id", F.coalesce("seed", first).alias("class"))  # ITEMS rows
+    began = written(began.union(spark.createDataFrame([(NO_WORD, CLASSES)], "id long, class int")), "brown-classes")
+    near = spark.createDataFrame(pa.table({"id": pa.array([NO_WORD, *ids], pa.int64())}))
+    classes, between = place(bigrams, began, near, np.array(ids[:ITEMS], np.int64))
+    in_common = classes.join(F.broadcast(near), "id", "left_semi").toArrow()  # COMMON rows at most
+    class_of = dict(zip(in_common.column("id").to_pylist(), in_common.column("class").to_pylist()))
+    counts = written(counts.join(classes, "id").select("word", "n", "class"), "brown-words-classed")
     n_class, distinct_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()  # one row per class
     for r in totals:
-        n_class[of[r.item]] += r.n
-        distinct_class[of[r.item]] += r.distinct
-    n_class[CLASSES] += n_ends
-    distinct_class[CLASSES] = 0
-    member = np.zeros((size, CLASSES + 1))
-    member[np.arange(size), of] = 1
-    between = member.T @ pairs @ member
+        n_class[r["class"]], distinct_class[r["class"]] = r.n, r.distinct
+    n_class[CLASSES] = n_ends
     unigram = (between.sum(0) + 1) / (between.sum() + CLASSES + 1)
     transition = np.log10((between + BACKOFF * unigram) / (between.sum(1) + BACKOFF)[:, None])
     emission_total = np.log10(n_class + ADD * (distinct_class + 1))
     emission_total[CLASSES] = 0.0  # the end is all of its class
-    shared = {w: (n, int(of[items.get(w, ending(w))])) for w, n in zip(words, ns)}
-    n_words, n_distinct = sum(r.n for r in totals), sum(r.distinct for r in totals)
+    shared = {w: (n, class_of[i]) for w, n, i in zip(words, ns, ids)}
+    n_words, n_distinct = sum(r["n"] for r in totals), sum(r["distinct"] for r in totals)
     return counts, Model(of, transition, emission_total, shared, n_words + n_ends, n_distinct + (n_ends > 0), n_ends)
 
 
 def _partly_scored(docs: DataFrame, model) -> DataFrame:
-    """Scores without the words outside the common ones, which come along (``rare``)."""
+    """Scores without the words outside the common ones, which come along (``rare``, ``places``) with the classes of the text (``line``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        common, of = m.common, m.classes
+        common, of = m.common, m.classes[-1 - ENDINGS : -1]  # of endings
         base_end = np.log10((m.n_ends + 1) / (m.n_tokens + m.n_distinct + 1))
         base_total = np.log10(m.n_tokens + m.n_distinct + 1)
         for batch in batches:
@@ -243,17 +387,39 @@ def _partly_scored(docs: DataFrame, model) -> DataFrame:
                 for text in part.column(2):
                     words = tokens(text.as_py())
                     known = [common.get(w) for w in words]
-                    rare = [w for w, k in zip(words, known) if k is None]
-                    line = np.array([CLASSES, *(k[1] if k else of[ending(w)] for w, k in zip(words, known)), CLASSES], np.int64)
+                    places = [p for p, k in enumerate(known) if k is None]
+                    rare = [words[p] for p in places]
+                    line = np.array([len(m.transition) - 1, *(k[1] if k else of[last_bytes(w)] for w, k in zip(words, known)), len(m.transition) - 1], np.int64)
                     n = np.array([k[0] for k in known if k], np.float64)
-                    score = m.transition[line[:-1], line[1:]].sum() - m.emission_total[line[1:]].sum() + np.log10(n + ADD).sum()
+                    # A text with rare words waits for their classes.
+                    score = np.log10(n + ADD).sum() + (0.0 if rare else _line_score(m, line))
                     base = np.log10(n + 1).sum() - len(words) * base_total + base_end
-                    rows.append((len(words) + 1, len(n) + (m.n_ends > 0), float(base), float(score), rare))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
+                    rows.append((len(words) + 1, len(n) + (m.n_ends > 0), float(base), float(score), rare, places, line.astype(np.uint8).tobytes() if rare else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "places", "line"])
 
     given = docs.select("doc_id", "held_out", "text")
-    return given.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>")
+    return given.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, places array<int>, line binary")
+
+
+def _line_score(model: Model, line: np.ndarray) -> float:
+    return float(model.transition[line[:-1], line[1:]].sum() - model.emission_total[line[1:]].sum())
+
+
+def _with_lines(rows: DataFrame, model) -> DataFrame:
+    """Adds the scores of the lines that waited; ``found`` has the place and class of each rare word that training knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for text, found in zip(batch.column("line").to_pylist(), batch.column("found").to_pylist()):
+                line = np.frombuffer(text, np.uint8).astype(np.int64)
+                for f in found or ():
+                    line[f["place"] + 1] = f["class"]
+                more.append(_line_score(model.value, line))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("known"), batch.column("base_more"), pa.array(np.array(more) + batch.column("model_more").to_numpy())], names=["row", "known", "base_more", "model_more"])
+
+    return rows.select("row", "line", "known", "base_more", "model_more", "found").mapInArrow(run, "row long, known long, base_more double, model_more double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -263,15 +429,16 @@ def score(docs: DataFrame) -> DataFrame:
     counts, model = fit(docs.filter("not held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # COMMON words at most
     partly = written(_partly_scored(docs, shared).withColumn("row", F.monotonically_increasing_id()), "brown-partly")
-    rare = partly.select("row", F.explode("rare").alias("word"))
+    rare = partly.select("row", F.explode(F.arrays_zip("rare", "places")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.places").alias("place"))
     # A word that is not in the table was never seen; n + 1 and n + ADD are then 1 and ADD.
     n = F.coalesce("n", F.lit(0)).cast("double")
     sums = (
         rare.join(counts, "word", "left")
         .groupBy("row")
-        .agg(F.count("n").alias("known"), F.sum(F.log10(n + 1)).alias("base_more"), F.sum(F.log10(n + ADD)).alias("model_more"))
+        .agg(F.count("n").alias("known"), F.sum(F.log10(n + 1)).alias("base_more"), F.sum(F.log10(n + ADD)).alias("model_more"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("place", "class"))).alias("found"))
     )
-    out = partly.drop("rare").join(sums, "row", "left")
+    sums = _with_lines(sums.join(partly.filter("line is not null").select("row", "line"), "row"), shared)
+    out = partly.drop("rare", "places", "line").join(sums, "row", "left")
     more = lambda c: F.coalesce(c, F.lit(0.0))
     total = F.col("model") + more("model_more")
     return out.select(

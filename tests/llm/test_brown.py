@@ -27,6 +27,51 @@ def test_exchange_moves_raise_the_likelihood_as_computed():
             assert brown.likelihood(pairs, other) <= brown.likelihood(pairs, of) + 1e-6
 
 
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(3, (30, 30)).astype(float)
+    of = np.append(rng.integers(0, 4, 29), 4)
+    member = np.eye(5)[of]
+    right, left = (pairs @ member), (pairs.T @ member)
+    codes, ns, start = [], [], [0]
+    for w in range(29):
+        entries = [(c, n) for c, n in enumerate([*right[w], *left[w]]) if n]
+        codes += [c for c, _ in entries]
+        ns += [n for _, n in entries]
+        start.append(len(codes))
+    got = brown.gains(member.T @ pairs @ member, of[:29], np.array(start), np.array(codes), np.array(ns), np.diag(pairs)[:29].copy())
+    now = brown.likelihood(pairs, of)
+    for w in range(29):
+        for c in range(4):
+            other = of.copy()
+            other[w] = c
+            assert abs(brown.likelihood(pairs, other) - now - (got[w, c] - got[w, of[w]])) < 1e-6
+
+
+def test_words_beyond_the_seeds_move_on_their_own_counts(make_docs, monkeypatch):
+    """Words with one ending but different neighbours part; nothing but a seed set was moved before."""
+    monkeypatch.setattr(brown, "ITEMS", 8)
+    monkeypatch.setattr(brown, "END", 8 + brown.ENDINGS)
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    monkeypatch.setattr(brown, "COMMON", 10)  # most words take the join
+    rng = random.Random(3)
+    pick = lambda seeds, rare: rng.choice(seeds) if rng.random() < 0.6 else f"{rare}{rng.randint(0, 20)}end"
+    rows = [(i, " ".join(" ".join((rng.choice(["the", "a"]), pick(["dog", "cat"], "n"), pick(["runs", "eats"], "v"), rng.choice(["fast", "well"]))) for _ in range(5))) for i in range(300)]
+    counts, m = brown.fit(make_docs(rows).select("doc_id", "text"))
+    of = {bytes(r.word).decode(): r["class"] for r in counts.collect()}
+    assert len({brown.ending(w.encode()) for w in of if w.endswith("end")}) == 1
+    nouns, verbs = ({of[w] for w in of if w[0] == k and w.endswith("end")} for k in "nv")
+    assert not nouns & verbs
+    # Scores take the moved classes.
+    got = {r.doc_id: r for r in brown.score(make_docs(rows)).collect()}
+    counts, m = brown.fit(make_docs([r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]).select("doc_id", "text"))
+    table = {bytes(r.word).decode(): (r.n, r["class"]) for r in counts.collect()}
+    for i, text in rows[:20]:
+        line = [brown.CLASSES, *(table[w][1] for w in text.split()), brown.CLASSES]
+        expected = sum(m.transition[x, y] - m.emission_total[y] for x, y in zip(line, line[1:])) + sum(math.log10(table[w][0] + brown.ADD) for w in text.split())
+        assert abs(got[i].score - expected) < 1e-6
+
+
 def corpus():
     rng = random.Random(2)
     kinds = [["the", "a"], ["dog", "cat", "bird", "fish"], ["runs", "eats", "sings"], ["fast", "well."]]
