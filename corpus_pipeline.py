@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of each document of the mix."""
-    return bpe.encoded(docs, ["doc_id", "lang", "source"])
+    """doc_id, lang, source, n_tokens, the token ids of each document of the mix and the SHA-256 of what they decode to."""
+    return bpe.encoded(docs, ["doc_id", "lang", "source"], check=True)
 
 
 STAGES = [

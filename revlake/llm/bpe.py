@@ -248,12 +248,12 @@ def _ids_column(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
 
 
-def encoded(docs: DataFrame, keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """The columns in ``keep`` (doc_id unless named), then n_tokens long and ids array<int>."""
+def encoded(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, check: bool = False) -> DataFrame:
+    """The columns in ``keep`` (doc_id unless named), then n_tokens long and ids array<int>; with ``check`` also decoded_sha256, of the bytes the ids decode to."""
     kept = docs.select(*(keep or ["doc_id"]))
     vocabulary = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))  # the vocabulary file, whatever the input's size
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_tokens long, ids array<int>"
-    names = [*kept.columns, "n_tokens", "ids"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_tokens long, ids array<int>" + (", decoded_sha256 string" if check else "")
+    names = [*kept.columns, "n_tokens", "ids"] + ["decoded_sha256"] * check
     given = docs.select(F.struct(*kept.columns).alias("k"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,8 @@ def encoded(docs: DataFrame, keep: list[str] | None = None, path: str | None = N
             for part in _parts(batch):
                 packed = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 keys = part.column(0).flatten()
-                yield pa.RecordBatch.from_arrays([*keys, pa.array([len(x) // 4 for x in packed], pa.int64()), _ids_column(packed)], names=names)
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in coder.decode(packed)], pa.string())] if check else []
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([len(x) // 4 for x in packed], pa.int64()), _ids_column(packed), *digests], names=names)
 
     return given.mapInArrow(run, ddl)
 
