@@ -41,7 +41,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot express expectation-maximisation or weighted sampling; tests/llm compares with brute force.
+#: SQL cannot express expectation-maximisation or weighted sampling; tests/llm compares single operators with brute force, not the composed stages.
 ORACLE_SQL = None
 
 
