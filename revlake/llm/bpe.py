@@ -5,19 +5,19 @@ splitting pattern always begins a piece there, so a unit's ids do not depend on
 surroundings.  Distinct units that a worker has not met are split by the pattern, and distinct
 pieces go to DuckDB: one row per token position, joined to the merge table (every pair of
 tokens whose bytes make a token, by rank); each recursion step contracts the leftmost pair of
-least rank of every word, until no word has a pair.  Rows know their right neighbour, so a
-step needs hash joins and no sort.
+least rank of every word, until no word has a pair.  Positions stay dense and rows know the
+token to their right, so a step is one aggregation and one join by word, and no sort.
 
-Decoding.  Ids fall into segments before each token that begins with a space.  Distinct
-segments go to DuckDB: positions join the vocabulary, and an aggregation ordered by position
-strings the bytes together.
+Decoding.  Ids fall into segments before each token that begins with a space, and after four
+tokens.  The distinct segments of a batch go to DuckDB: positions join the vocabulary, and an
+aggregation ordered by position strings the bytes together.
 
 A piece of over ``LONG`` bytes would take a recursion step per merge over all its positions;
 such pieces are merged with a heap over linked positions, in the same order.
 
 Rows: null is the empty text (no ids).  Repeated rows are rows of their own; an empty table
-gives no rows; other columns are ignored.  Caches are per Python worker and bounded; they save
-time only.
+gives no rows; other columns are ignored.  The cache of units is per Python worker and bounded; it
+saves time only.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT_UNITS, KEPT_PIECES, KEPT_SEGMENTS = 500_000, 600_000, 500_000
+KEPT_UNITS = 600_000
 LONG = 512
 #: Words in one recursive query, characters of text taken at once, and tokens strung together at once.
 WORDS, CHARS, GROUP = 10_000, 4_000_000, 2_000
+#: Tokens of a segment, 16 bits each.
+SEGMENT = 4
 
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 #: A text with none of these falls into units at its spaces.
@@ -50,20 +52,17 @@ def units(text: str) -> list[str]:
     return text.split(" ")
 
 _ENCODE = """
-with recursive s(step, w, p, t, np, nt, r) as (
-  select 0, w, p, t, np, nt, m.rank from start left join merges m on m.pair = t * 65536 + nt
+with recursive s(step, w, p, t, nt, r) as (
+  select 0, w, p, t, nt, m.rank from start left join merges m on m.pair = t::bigint * 65536 + nt
   union all
-  (with best as (select w, min(r * 1024 + p) as b from s where r is not null group by w),
-   pair as (select best.w, b & 1023 as p, b >> 10 as t, s.np as gone from best join s on s.w = best.w and s.p = b & 1023),
-   step as (select pair.*, s.np as after_p, s.nt as after_t from pair join s on s.w = pair.w and s.p = pair.gone),
-   new as (select s.step + 1 as step, s.w, s.p, s.r,
-       case when s.p = step.p then step.t else s.t end as t,
-       case when s.p = step.p then step.after_p else s.np end as np,
-       case when s.p = step.p then step.after_t when s.np = step.p then step.t else s.nt end as nt,
-       s.p = step.p or s.np is not distinct from step.p as changed
-     from s join step on step.w = s.w where s.p <> step.gone)
-   select new.step, new.w, new.p, new.t, new.np, new.nt, case when changed then m.rank else new.r end
-   from new left join merges m on m.pair = case when changed then new.t * 65536 + new.nt end)
+  (with best as (select w, min(r::bigint * 1099511627776 + p) as b from s where r is not null group by w),
+   new as (select s.step + 1 as step, s.w, s.r, s.p - b.p as ahead,
+       case when s.p > b.p then s.p - 1 else s.p end as p,
+       case when s.p = b.p + 1 then b.t else s.t end as t,
+       case when s.p = b.p - 1 then b.t else s.nt end as nt
+     from s join (select w, (b >> 40)::int as t, (b & 1099511627775)::int as p from best) b on b.w = s.w where s.p <> b.p)
+   select new.step, new.w, new.p, new.t, new.nt, case when abs(ahead) = 1 then m.rank else new.r end
+   from new left join merges m on m.pair = case when abs(ahead) = 1 then new.t::bigint * 65536 + new.nt end)
 ),
 ended as (select w, max(step) as step from s group by w)
 select s.w, s.t from s join ended on s.w = ended.w and s.step = ended.step order by s.w, s.p"""
@@ -82,18 +81,16 @@ class Coder:
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
-        if max(self.ranks.values()) >= 65536:
-            raise ValueError("pairs are keyed by 16 bits a token")
+        if max(self.ranks.values()) >= 65535:
+            raise ValueError("pairs and segments take 16 bits a token")
         self.pattern = regex.compile(pattern)
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.sizes = np.array([len(t) for t in self.tokens])
         self.leads = np.array([t[:1] == b" " for t in self.tokens])
         self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.segments: dict[bytes, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         pairs, made = [], []
         for token, rank in self.ranks.items():
@@ -102,7 +99,7 @@ class Coder:
                 if left is not None and right is not None:
                     pairs.append(left * 65536 + right)
                     made.append(rank)
-        self._table("merges", {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(made, pa.int64())})
+        self._table("merges", {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(made, pa.int32())})
         # A byte is held as the character 256 above it: text is what strings together, and no byte is special.
         text = ["".join(chr(256 + x) for x in t) for t in self.tokens]
         self._table("vocab", {"id": pa.array(range(len(text)), pa.int32()), "s": pa.array(text)})
@@ -124,7 +121,7 @@ class Coder:
             p = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             last = np.zeros(len(t), bool)
             last[np.cumsum(sizes) - 1] = True
-            self._table("start", {"w": pa.array(np.repeat(np.arange(len(part)), sizes)), "p": pa.array(p), "t": pa.array(t), "np": pa.array(p + 1, mask=last), "nt": pa.array(np.append(t[1:], 0), mask=last)})
+            self._table("start", {"w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)), "p": pa.array(p.astype(np.int32)), "t": pa.array(t), "nt": pa.array(np.append(t[1:], np.int32(0)), mask=last)})
             made = self.db.sql(_ENCODE).to_arrow_table()
             values = made.column("t").to_numpy().astype("<u4").tobytes()
             ends = [0, *(np.cumsum(np.bincount(made.column("w").to_numpy(), minlength=len(part))) * 4).tolist()]
@@ -153,66 +150,91 @@ class Coder:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return np.array([ranks[x] for x in parts if x is not None], "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        words, names = [], []
-        for piece in pieces.difference(self.pieces):
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found: list = [None] * len(pieces)
+        words, at = [], []
+        for i, piece in enumerate(pieces):
             raw = piece.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.pieces[piece] = rank.to_bytes(4, "little")
+                found[i] = rank.to_bytes(4, "little")
             elif len(raw) > LONG:
-                self.pieces[piece] = self.merge_long(raw)
+                found[i] = self.merge_long(raw)
             else:
                 words.append(raw)
-                names.append(piece)
-        self.pieces.update(zip(names, self.merge_words(words)))
+                at.append(i)
+        for i, ids in zip(at, self.merge_words(words)):
+            found[i] = ids
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of the pieces that are a space and one of the words; such a piece is a unit's as well."""
+        new = [w for w in set(words) if w not in self.units]
+        self.units.update(zip(new, self._encode_pieces([" " + w for w in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32 bit) of every text."""
         split = [units(t) for t in texts]
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
         find = self.pattern.findall
-        new = set().union(*(u[1:] for u in split)).difference(self.units)
-        new_pieces = {u: find(" " + u) for u in new}
+        new = set().union(*(u[1:] for u in split))
+        if len(self.units) > KEPT_UNITS:  # what this batch has again stays
+            self.units = {u: self.units[u] for u in new if u in self.units}
+        new.difference_update(self.units)
+        plain, mixed = [], []  # ASCII letters after a space are one piece
+        for u in new:
+            (plain if u.isascii() and u.isalpha() else mixed).append(u)
+        parts = [find(" " + u) for u in mixed]
         firsts = [find(u[0]) for u in split]
-        self._learn_pieces(set().union(*new_pieces.values(), *firsts))
-        known = self.pieces.__getitem__
-        for u, pieces in new_pieces.items():
-            self.units[u] = b"".join(map(known, pieces))
+        others = set().union(*parts, *firsts)
+        self._learn(plain + [p[1:] for p in others if p[0] == " "])
+        loose = [p for p in others if p[0] != " "]
+        found = dict(zip(loose, self._encode_pieces(loose)))
+        for p in others:
+            if p[0] == " ":
+                found[p] = self.units[p[1:]]
+        known = found.__getitem__
+        self.units.update(zip(mixed, (b"".join(map(known, pieces)) for pieces in parts)))
         return [b"".join(map(known, first)) + b"".join(map(self.units.__getitem__, u[1:])) for first, u in zip(firsts, split)]
 
     # decoding
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of every packed id list."""
-        split = []
-        for ids in packed:
-            at = (np.flatnonzero(self.leads[np.frombuffer(ids, "<u4")]) * 4).tolist()
-            if not at or at[0]:
-                at.insert(0, 0)
-            at.append(len(ids))
-            split.append([ids[a:b] for a, b in zip(at, at[1:])])
-        if len(self.segments) > KEPT_SEGMENTS:
-            self.segments.clear()
-        new = list(set().union(*split).difference(self.segments))
-        self.segments[b""] = b""
-        new = [x for x in new if x]
-        for at in range(0, len(new), 2 * WORDS):
-            # A few hundred segments make one group; the tokens' lengths tell them apart again.
-            part = new[at : at + 2 * WORDS]
-            ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-            token_ends = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(x) // 4 for x in part])
-            groups = np.append(np.arange(0, len(ids), GROUP), len(ids)).astype(np.int32)
-            self._table("segments", {"g": pa.array(range(len(groups) - 1), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(groups), pa.array(ids))})
-            strings = self.db.sql(_DECODE).to_arrow_table().column("s").to_pylist()
-            whole = "".join(strings).encode("utf-16-le")[::2]
-            cuts = [0, *token_ends[ends - 1].tolist()]
-            self.segments.update(zip(part, (whole[a:b] for a, b in zip(cuts, cuts[1:]))))
-        return [b"".join(map(self.segments.__getitem__, s)) for s in split]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        if not len(ids):
+            return [b""] * len(packed)
+        ends = np.cumsum([len(x) // 4 for x in packed])
+        lead = self.leads[ids]
+        lead[0] = True
+        lead[ends[ends < len(ids)]] = True
+        at = np.arange(len(ids))
+        lead |= (at - np.maximum.accumulate(np.where(lead, at, 0))) % SEGMENT == 0
+        start = np.flatnonzero(lead)
+        # A segment of at most four tokens is one number of 64 bits.
+        wide = np.append(ids.astype(np.uint64) + np.uint64(1), np.zeros(SEGMENT, np.uint64))
+        size = np.diff(np.append(start, len(ids)))
+        name = wide[start]
+        for k in range(1, SEGMENT):
+            name |= np.where(size > k, wide[start + k], np.uint64(0)) << np.uint64(16 * k)
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        whole, length = self._segments(ids, start[first], size[first])
+        from_ = np.cumsum(length) - length
+        length, from_ = length[which], from_[which]
+        to = np.append(0, np.cumsum(length))
+        out = whole[np.arange(to[-1]) + np.repeat(from_ - to[:-1], length)].tobytes()
+        cuts = [0, *to[np.searchsorted(start, ends)].tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _segments(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the segments one after another, by the ordered aggregation, and the length of each."""
+        to = np.append(0, np.cumsum(size))
+        tokens = ids[np.arange(to[-1]) + np.repeat(start - to[:-1], size)].astype(np.int32)
+        # Some hundred segments make one group; the tokens' lengths tell them apart again.
+        groups = np.append(np.arange(0, len(tokens), GROUP), len(tokens)).astype(np.int32)
+        self._table("segments", {"g": pa.array(range(len(groups) - 1), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(groups), pa.array(tokens))})
+        strings = self.db.sql(_DECODE).to_arrow_table().column("s").to_pylist()
+        whole = np.frombuffer("".join(strings).encode("utf-16-le")[::2], np.uint8)
+        return whole, np.add.reduceat(self.sizes[tokens], to[:-1])
 
 
 _coders: dict[int, Coder] = {}

@@ -36,8 +36,7 @@ def test_long_pieces():
 
 def test_small_caches_change_nothing(monkeypatch):
     texts = [f"word{i} of {i * 7} and\nmore{i % 3}" for i in range(300)]
-    for name in ("KEPT_UNITS", "KEPT_PIECES", "KEPT_SEGMENTS"):
-        monkeypatch.setattr(bpe, name, 5)
+    monkeypatch.setattr(bpe, "KEPT_UNITS", 5)
     coder = bpe.Coder(*bpe._vocabulary(None))
     for at in range(0, 300, 50):
         got = coder.encode(texts[at : at + 50])
