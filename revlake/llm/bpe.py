@@ -34,6 +34,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlake.llm.common import quoted
+
 KEPT_UNITS = 600_000
 LONG = 512
 #: Words in one recursive query, characters of text taken at once, and tokens strung together at once.
@@ -276,7 +278,7 @@ def encoded(docs: DataFrame, keep: list[str] | None = None, path: str | None = N
     vocabulary = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))  # the vocabulary file, whatever the input's size
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_tokens long, ids array<int>" + (", decoded_sha256 string" if check else "")
     names = [*kept.columns, "n_tokens", "ids"] + ["decoded_sha256"] * check
-    given = docs.select(F.struct(*kept.columns).alias("k"), F.col("text").alias("t"))
+    given = docs.select(F.struct(*quoted(kept)).alias("k"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*vocabulary.value)

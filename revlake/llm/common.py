@@ -15,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, laptops).
+    A local session that names none gets a temporary folder; on a cluster that would be a folder
+    of one machine, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="revlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -35,6 +38,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Rows that a cell has on average, at most.
+CELL_ROWS = 20_000
+
+
+def cell_digits(rows: int) -> int:
+    """So many hexadecimal digits of a digest name cells of at most CELL_ROWS of so many rows on average."""
+    digits = 0
+    while rows > CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def order_digest(doc_id: str, text_digest: str) -> Column:
+    """Hexadecimal digest that puts rows in an order of their own; only rows of equal id and text are alike in it."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("n")), F.col(text_digest)).cast("binary"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,8 +10,10 @@ source in a fixed order, one random offset is added to the running sum of expect
 and a document is emitted once for each integer that its step crosses; as a step is at most
 ``most`` long, a document is emitted at most that often.  The order goes by size, so that each
 size class is thinned alike and the taken words stay near the target.  The running sum is a
-position times the rate: positions are counted within cells of a source (size class and
-doc_id class) plus the rows of the cells before, so no task holds a source.
+position times the rate: positions are counted within cells of a source (size class, and
+first digits of a digest of id and text, more of them the more rows there are) plus the rows of
+the cells before, so no task holds a source.  What a source's taken words miss the target by is
+a few times its largest document at most.
 
 Rows: null text has size 0.  Repeated rows are separate rows.  The null source is a source.
 Empty tables give empty results.  Other columns of the input are ignored by ``mix``.
@@ -23,11 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlake.llm.common import WORD, written
+from revlake.llm.common import WORD, cell_digits, order_digest, quoted, written
 
 WEIGHTS = (5, 2, 1)
-#: Classes of doc_id within a size class; a cell of a source has rows of one of each.
-CELLS = 64
 SEED = "mix-1"
 
 
@@ -69,18 +69,18 @@ def offset(source: Column) -> Column:
 
 
 def copies(rows: DataFrame, most: int = 2, budget: float = 1.5) -> DataFrame:
-    """Rows with doc_id, source and size (and any others) -> source_size, target, copies added.
+    """Rows with doc_id, source, size and __tie, a digest of the text (and any others) -> source_size, target, copies added.
 
     The working columns begin with ``__``; the rows themselves are shuffled once.
     """
     summed = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(summed, budget, most)
-    cell = (F.floor(F.log2(F.col("size") + 1) * 8) * CELLS + F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(CELLS))).cast("int")
-    celled = rows.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("__cell", cell)
+    cell = F.struct(F.floor(F.log2(F.col("size") + 1) * 8).cast("int"), F.substring("__order", 1, cell_digits(rows.count())))
+    celled = rows.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("__order", order_digest("doc_id", "__tie")).withColumn("__cell", cell)
     counted = celled.groupBy("__src", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("__src", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__src", "__cell").orderBy("size", "doc_id", *(["__tie"] if "__tie" in rows.columns else []))
+    inside = Window.partitionBy("__src", "__cell").orderBy("__order", "size")
     aimed = aims.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__src"), "source_size", "target", offset(F.col("source")).alias("__u"))
     cells = offsets.join(aimed, "__src")  # as many rows as cells
     placed = (
@@ -90,22 +90,20 @@ def copies(rows: DataFrame, most: int = 2, budget: float = 1.5) -> DataFrame:
         .withColumn("__rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0))
     )
     crossed = F.floor(F.col("__u") + F.col("__rate") * (F.col("__at") + 1.0)) - F.floor(F.col("__u") + F.col("__rate") * F.col("__at"))
-    return placed.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(most), crossed)).cast("long")).drop("__src", "__cell", "__before", "__in", "__u", "__at", "__rate")
+    return placed.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(most), crossed)).cast("long")).drop("__src", "__cell", "__order", "__before", "__in", "__u", "__at", "__rate")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie"))
     out = copies(written(rows, "mixing-rows"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as the mix emits it, with the columns of ``docs``."""
-    names = docs.columns
-    rows = docs.select(*names, word_count(F.col("text")).alias("__size"))
     # Row numbers are written with the rows, so that both uses below see the same ones.
-    tagged = rows.select(F.struct(*names).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__size").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie"), F.monotonically_increasing_id().alias("__row"))
+    tagged = docs.select(F.struct(*quoted(docs)).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie"), F.monotonically_increasing_id().alias("__row"))
     keyed = written(tagged, "mixing-documents")
     taken = copies(keyed.drop("__doc"))
     chosen = taken.filter("copies > 0").select("__row", "copies")
@@ -114,7 +112,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
+with recursive d as (select doc_id, source, md5(coalesce(doc_id::varchar, 'n') || '|' || md5(coalesce(text, ''))) as o, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s as (select source, source_size, 2 * source_size as cap,
   ([5, 2, 1])[((row_number() over (order by source is null, encode(source)) - 1) % 3) + 1]::bigint as w from s0),
@@ -129,7 +127,7 @@ t as (select source, case when capped then cap::double else least(level * w, cap
 k as (select d.doc_id, d.size, s.source_size, t.target,
     case when s.source_size > 0 then t.target / s.source_size::double else 0::double end as rate,
     ('0x' || substr(md5('{SEED}:' || coalesce('s' || d.source, 'n')), 1, 8))::bigint::double / 4294967296::double as u,
-    (row_number() over (partition by d.source order by floor(log2(d.size + 1) * 8)::bigint * {CELLS} + coalesce(d.doc_id, 0) % {CELLS}, d.size, d.doc_id) - 1)::double as pos
+    (row_number() over (partition by d.source order by floor(log2(d.size + 1) * 8), d.o) - 1)::double as pos
   from d join s on s.source is not distinct from d.source join t on t.source is not distinct from d.source),
 c as (select *, greatest(0, least(2, floor(u + rate * (pos + 1)) - floor(u + rate * pos)))::bigint as copies from k)
 select doc_id, size, source_size, target, copies * size as taken, copies from c"""

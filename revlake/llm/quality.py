@@ -10,8 +10,8 @@ fifth of the words stand in repeated 5-word windows.
 Trusted documents are those labelled of good quality, at most ``TRUSTED`` of them (the first by
 MD5 of their id), so that their ids can be broadcast; everything else is counted over all rows.
 The only other thing that leaves the executors is the table of bucket counts, which has
-``BUCKETS`` rows.  All measures are expressions over one row: no row is shuffled.  Windows are
-compared by a 64-bit hash of the five words' CRC-32.
+``BUCKETS`` rows.  All measures are expressions over one row: no row is shuffled.  Windows that
+agree in a 64-bit hash of the five words' CRC-32 are then compared by their words.
 
 Rows: null and empty texts have no words and fail.  Repeated rows are rows of their own; an
 empty table gives no rows; other columns are ignored (``kept_documents`` carries them through).
@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import WORD
+from revlake.llm.common import WORD, quoted
 
 BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 100_000, -0.15
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -56,12 +57,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log p_target - log p_raw of every bucket."""
+    """log p_target - log p_raw of every bucket.
+
+    Words become rows before they are hashed, so that hashing and counting stay in generated code.
+    """
     trusted = F.broadcast(trusted_ids(labels).withColumn("good", F.lit(1)))  # TRUSTED rows at most
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("w"))
-    crc, last = hashes("w")
-    found = found.select("doc_id", crc.alias("c"), last.alias("e")).select("doc_id", grams("c", "e").alias("g"))
-    counted = found.join(trusted, "doc_id", "left").select("good", F.explode("g").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("good").alias("target"), F.count(F.lit(1)).alias("raw"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("w")).join(trusted, "doc_id", "left")
+    found = found.select("good", F.explode(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(0))).alias("next"))).alias("x"))
+    crc = lambda c: F.crc32(c.cast("binary"))
+    found = found.select("good", crc(F.col("x.w")).alias("c"), crc(F.col("x.next")).alias("n"), crc(F.right(F.col("x.w"), F.lit(2))).alias("e"))
+    found = found.select("good", F.explode(F.array(F.col("c"), F.col("c") * 31 + F.col("n"), F.col("e") * 37 + 1)).alias("g")).filter("g is not null")
+    counted = found.groupBy(F.col("g").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("good").alias("target"), F.count(F.lit(1)).alias("raw"))
     target, raw = [0] * BUCKETS, [0] * BUCKETS
     for r in counted.collect():  # one row per bucket
         target[r.bucket], raw[r.bucket] = r.target, r.raw
@@ -77,23 +83,32 @@ def measured(docs: DataFrame, weights: list[float]) -> DataFrame:
     """
     text = F.coalesce(F.col("__doc.text"), F.lit(""))
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-    held = docs.select(F.struct(*docs.columns).alias("__doc"))
+    held = docs.select(F.struct(*quoted(docs)).alias("__doc"))
     held = held.select("__doc", split_words(F.col("__doc.text")).alias("__w"))
     crc, last = hashes("__w")
-    held = held.select("__doc", F.size("__w").cast("long").alias("n_words"), crc.alias("__c"), last.alias("__e"))
-    held = held.select("__doc", "n_words", "__c", grams("__c", "__e").alias("__g"))
+    held = held.select("__doc", "__w", F.size("__w").cast("long").alias("n_words"), crc.alias("__c"), last.alias("__e"))
+    held = held.select("__doc", "__w", "n_words", "__c", grams("__c", "__e").alias("__g"))
     window = lambda i: F.xxhash64(*(F.get(F.col("__c"), i + k) for k in range(5)))
     windows = F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.size("__c") - 5), window)).otherwise(F.array().cast("array<long>"))
     summed = F.aggregate("__g", F.lit(0.0), lambda a, g: a + F.get(table, g.bitwiseAND(BUCKETS - 1).cast("int")))
-    held = held.select("__doc", "n_words", windows.alias("__v"), summed.alias("__sum"), F.size("__g").alias("__n"))
+    held = held.select("__doc", "__w", "n_words", windows.alias("__v"), summed.alias("__sum"), F.size("__g").alias("__n"))
     twice = F.size(F.array_distinct("__v")) < F.size("__v")
-    held = held.select("__doc", "n_words", "__sum", "__n", F.when(twice, F.sort_array(F.transform("__v", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))).alias("__s"))
-    near = lambda s, k: F.when((F.get(F.col("__s"), k - 1)["v"] == s["v"]) | (F.get(F.col("__s"), k + 1)["v"] == s["v"]), s["i"])
-    held = held.select("__doc", "n_words", "__sum", "__n", F.when(F.col("__s").isNotNull(), F.sort_array(F.filter(F.transform("__s", near), lambda i: i.isNotNull()))).alias("__at"))
+    held = held.select("__doc", "__w", "n_words", "__sum", "__n", F.when(twice, F.sort_array(F.transform("__v", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))).alias("__s"))
+
+    def positions(by: str) -> Column:
+        """Positions of the entries of a sorted column of (v, i) whose v is a neighbour's too."""
+        same = lambda s, k: F.when((F.get(F.col(by), k - 1)["v"] == s["v"]) | (F.get(F.col(by), k + 1)["v"] == s["v"]), s["i"])
+        return F.when(F.col(by).isNotNull(), F.sort_array(F.filter(F.transform(by, same), lambda i: i.isNotNull())))
+
+    held = held.select("__doc", "__w", "n_words", "__sum", "__n", positions("__s").alias("__hit"))
+    # What hashes found is compared word by word.
+    held = held.withColumn("__s", F.sort_array(F.transform("__hit", lambda i: F.struct(F.concat_ws(" ", F.slice(F.col("__w"), i + 1, F.lit(5))).alias("v"), i.alias("i")))))
+    held = held.withColumn("__at", positions("__s"))
     start = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("__at", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")), lambda a: a["n"])
+    plain = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, text)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    held = held.select("__doc", "n_words", F.length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("__lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0).alias("score"))
+    held = held.select("__doc", "n_words", F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), (F.length(text) - F.length(plain)).cast("long").alias("n_symbols"), lines.alias("__lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0).alias("score"))
     held = held.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).drop("__lines")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     return held.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= THRESHOLD))

@@ -24,11 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from revlake.llm.common import written
+from revlake.llm.common import cell_digits, order_digest, written
 
 FIRST_DIGITS, MORE_DIGITS, ALL_DIGITS = 3, 2, 32
-#: Rows of a shard are numbered in this many cells of doc_id at once.
-CELLS = 1024
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -124,23 +122,26 @@ def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``law`` is ``bytes``: shard sizes are as even as whole groups in their order allow.
-    ``slot`` counts the rows of a shard from 0 without gaps: rows are numbered inside
-    ``CELLS`` cells of doc_id and each cell begins after the rows of the cells before it, so
-    that no task holds a shard.  ``grown_shard`` belongs to another law and is null.
+    ``slot`` counts the rows of a shard from 0 without gaps, in the order of a digest of id and
+    text: rows are numbered inside cells, which are the first digits of that digest, and each
+    cell begins after the rows of the cells before it.  The number of cells grows with the
+    rows, so that no task holds a shard, whatever the ids.  ``grown_shard`` belongs to another law and is null.
     """
     rows = written(measured(docs), "sharding-rows")
+    total = rows.count()
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("size"))
     _, cuts = boundaries(written(groups, "sharding-groups"), n_shards)
     placed = F.lit(0)
     for key in cuts:
         placed = placed + F.when(F.col("group_key") >= key, 1).otherwise(0)
-    rows = rows.withColumn("shard", placed.cast("int")).withColumn("cell", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(CELLS)).cast("int"))
+    rows = rows.withColumn("shard", placed.cast("int")).withColumn("digest", order_digest("doc_id", "group_key"))
+    rows = rows.withColumn("cell", F.substring("digest", 1, cell_digits(total)))
     counted = rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # n_shards * CELLS rows at most
-    inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "group_key")
+    offsets = counted.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # one row per cell of a shard
+    inside = Window.partitionBy("shard", "cell").orderBy("digest")
     return (
-        rows.join(F.broadcast(offsets), ["shard", "cell"])
+        rows.join(offsets, ["shard", "cell"])
         .withColumn("slot", (F.col("offset") + F.row_number().over(inside) - 1).cast("long"))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
     )
@@ -174,6 +175,6 @@ cap as (select v as c from dp{n_shards} order by i desc limit 1),
 c0 as (select 0::bigint as p){cuts},
 placed as (select m.doc_id, m.size, m.text_crc32, m.k, ({shard_of})::int as shard from m join q using (k))
 select doc_id, size, text_crc32, 'bytes' as law, shard,
-  (row_number() over (partition by shard order by coalesce(doc_id, 0) % {CELLS}, doc_id, k) - 1)::bigint as slot,
+  (row_number() over (partition by shard order by md5(coalesce(doc_id::varchar, 'n') || '|' || k)) - 1)::bigint as slot,
   null::int as grown_shard
 from placed"""

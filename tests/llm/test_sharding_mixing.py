@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from revlake.llm import mixing, sharding
+from pyspark.sql import functions as F
+
+from revlake.llm import common, mixing, sharding
 
 
 def brute_cuts(sizes, n):
@@ -116,3 +118,21 @@ def test_mixed_documents_repeat_rows(make_docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in expected.items() if v})
+
+
+def test_rows_without_ids_are_dealt_over_many_cells(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(common, "CELL_ROWS", 50)
+    rows = [(None, f"t{i} " * (1 + i % 3), "ab"[i % 2]) for i in range(10_000)]
+    got = sharding.shard(make_docs(rows), 4)
+    for k, slots in got.groupBy("shard").agg(F.sort_array(F.collect_list("slot"))).collect():
+        assert slots == list(range(len(slots)))
+    cells = sharding.measured(make_docs(rows)).select(F.substring(common.order_digest("doc_id", "group_key"), 1, common.cell_digits(10_000)).alias("c"))
+    assert cells.groupBy("c").count().agg(F.max("count")).first()[0] < 100
+    mixed = mixing.mix(make_docs(rows)).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert len(mixed) == 2 and all(abs(r.n - r.target) <= 9 for r in mixed)
+    assert mixing.mixed_documents(make_docs([])).collect() == []
+    odd = [(1, None, "a"), (1, "x y", "a"), (1, "x y", "a"), (None, "x y", None)]
+    expected = Counter({(r.doc_id, r["size"]): 0 for r in mixing.mix(make_docs(odd)).collect()})
+    for r in mixing.mix(make_docs(odd)).collect():
+        expected[r.doc_id, r["size"]] += r.copies
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mixed_documents(make_docs(odd)).collect()) == +expected
