@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import written
-from revlake.llm.graph import components
+from revlake.llm.graph import components, local_roots
 
 SEED = 20240501
 #: Rows of a block; share of pairs at the threshold that must meet.
@@ -145,17 +145,6 @@ def _hashed(reps: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
     return reps.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, embedding array<double>, keys array<long>")
 
 
-def _local_roots(linked: np.ndarray) -> np.ndarray:
-    """Least index of each row's component in a symmetric boolean matrix."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(rep, n, side, x, ks, spot: tuple[int, int], parts: tuple[int, int], threshold: float):
     """One pair of blocks of one bucket -> (rep, links, least linked rep of the local component) of rows with links.
 
@@ -179,7 +168,7 @@ def compare(rep, n, side, x, ks, spot: tuple[int, int], parts: tuple[int, int],
         spot_of = np.where(by_one & by_two, np.minimum(one[:, t, 0], two[:, t, 0]), np.where(by_one, one[:, t, 0], two[:, t, 0]))
         counted[s] = ~meet(one[:, :t], two[:, :t]).any(1) & (spot_of == key)
     links = np.bincount(a[counted], n[b[counted]], len(rep)) + np.bincount(b[counted], n[a[counted]], len(rep))
-    root = _local_roots(near)
+    root = local_roots(near)
     rows = near.any(1)
     least = np.full(len(rep), np.iinfo(np.int64).max)
     np.minimum.at(least, root, rep)

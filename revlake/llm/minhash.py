@@ -11,38 +11,46 @@ Each text has ``BANDS`` x ``ROWS`` samples.  The generators' draws (gamma, gamma
 from tables of their quantiles, addressed by bits of a hash of feature and sample, so that equal
 features draw alike everywhere.  A band's samples make a bucket.
 
-Equal texts are one class before anything is compared.  In a bucket every text is compared
-with the least one, by weighted Jaccard similarity over all features.  Then texts of a bucket
-that are still in different components are compared with each other, so a chain of links is
-followed.  A group of near copies that are mostly near its least text takes comparisons in
-proportion to its size; one whose texts are mostly further from it takes up to all its pairs.
+Equal texts are one text before anything is compared.  In a bucket some texts lead: each is
+compared with the texts of the bucket that are in another component, by weighted Jaccard
+similarity over all features.  The least text leads first; after each step components are
+worked out anew, and in buckets that still hold several of them four times as many lead, while
+that leaves less to compare.  Texts that meet one of the leaders, directly or by a chain of
+links, are never compared with each other, so a group of near copies takes comparisons in
+proportion to its size.  Texts that link with none of the leaders are compared with all others
+of the bucket, in blocks of ``BLOCK`` by products of matrices: no pair is a row.
 A pair is not compared if its total weights alone rule a link out, or if under ``AGREE`` of its
 samples agree: at the similarity of a link that has a probability of 3e-5, less than that of
-sharing no bucket (2e-4).  Members of a comparison are dealt in
-parts of ``PART`` texts, each with its own copy of the text they are compared with.
+sharing no bucket (2e-4).  Members of a bucket are dealt in parts of about ``PART`` texts, each
+with its own copies of the leaders, so no task holds a bucket.
 
-Rows: null is the empty text; empty texts equal each other.  A document is its doc_id: rows with
-one doc_id share a class.  Rows without a doc_id have none (class_id null) and are kept.  An
+Rows: null is the empty text; empty texts equal each other.  Different texts of one doc_id are
+compared as texts of their own; class_id is the least doc_id of a class, and of each class the
+text of that doc_id (the least MD5, if several) stays.  Rows without a doc_id have no class
+(class_id null) and are kept.  An
 empty table gives no rows; other columns are ignored (``kept_documents`` carries them through).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import written
-from revlake.llm.graph import components
+from revlake.llm.common import quoted, written
+from revlake.llm.graph import components, join_hubs, local_roots
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BUCKETS, IDF_SHARE = 1 << 18, 0.1
 AGREE = 18
 PART = 128
+#: Texts of a block, and features of a block that are multiplied at once.
+BLOCK, COLUMNS = 512, 2048
 SEED = 20240502
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,6 +138,20 @@ class Sampler:
         return keys, samples
 
 
+def idf_of(df: np.ndarray, total: int) -> np.ndarray:
+    """Weight factor of each bucket from the number of rows with one of its shingles.
+
+    Shingles of few rows share a bucket with others; the median bucket tells how many.  What
+    exceeds it by more than four standard deviations of such a count is a shingle of that many
+    rows, all others count as shingles of one.  The error as a share of all rows falls with
+    the square root of their number.
+    """
+    usual = np.median(df)
+    above = df - usual
+    df = np.where(above > 4 * math.sqrt(usual + 1), above, 1)
+    return 1 + IDF_SHARE * np.log((total + 1) / (df + 1)) / np.log(total + 1)
+
+
 def _idf(docs: DataFrame) -> np.ndarray:
     """Weight factor of each bucket, from document frequencies over all rows."""
 
@@ -146,8 +168,7 @@ def _idf(docs: DataFrame) -> np.ndarray:
     bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
     df = np.zeros(DF_BUCKETS + 1, np.int64)
     df[bucket] = n  # -1 is the number of rows
-    total = max(1, df[-1])
-    return 1 + IDF_SHARE * np.log((total + 1) / (df[:-1] + 1)) / np.log(total + 1)
+    return idf_of(df[:-1], max(1, df[-1]))
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
@@ -189,82 +210,232 @@ def _may_link(one: str, two: str):
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(a, b) pairs and (id, text) -> (a, b, s): the weighted Jaccard similarity of each pair."""
+    """(a, parts, part, b) pairs and (id, text) -> (a, b) of the pairs that are a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = None, None
         for batch in batches:
-            a, b, s = [], [], []
-            for one, part, two, text in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = [], []
+            for *group, two, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if two is None:
-                    at, base = (one, part), weighted(text, idf.value)
+                    at, base = group, weighted(text, idf.value)
                 else:
-                    assert at == (one, part), "the text to compare with comes first"
-                    a.append(one)
-                    b.append(two)
-                    s.append(similarity(base, weighted(text, idf.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "s"])
-
-    counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    members = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
-    leaders = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    dealt = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.select("a", "part", "b", "text").mapInArrow(run, "a long, b long, s double")
-
-
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs; of several texts of one id, that with the least key."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+                    assert at == group, "the text to compare with comes first"
+                    if similarity(base, weighted(text, idf.value)) >= SIMILARITY:
+                        a.append(group[0])
+                        b.append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "parts", "part", "b", "text")
+    leaders = pairs.select("a", "parts", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "parts", "part", F.lit(None).cast("long").alias("b"), "text")
+    dealt = members.unionByName(leaders).repartition("a", "parts", "part").sortWithinPartitions("a", "parts", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _candidates(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the texts, each from one of its rows."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    return written(keyed.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("text", F.md5("text")).alias("text")), "minhash-candidates")
+    given = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.md5(text).alias("key"), text.alias("text"))
+    found = given.join(texts.select("id", "first_id", "key", "rows").hint("shuffle_hash"), ["first_id", "key"])
+    once = found.filter("rows = 1").select("id", "text")
+    return written(once.unionByName(found.filter("rows > 1").groupBy("id").agg(F.first("text").alias("text"))), "minhash-candidates")
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    """id, band, bucket, n, least: the entries of buckets that hold several texts, with their number and least id."""
+    entries = texts.select("id", F.posexplode("bands").alias("band", "bucket"))
+    shared = entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
+    return written(entries.join(shared, ["band", "bucket"]), "minhash-buckets")
+
+
+def _leads(step: int) -> Column:
+    """Has the entry led its bucket by this step?  The least text leads first, then four times as many in each step, by a hash, in the end all."""
+    if step < 0:
+        return F.lit(False)
+    drawn = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    return (F.col("id") == F.col("least")) | (drawn * F.col("n") < (4.0**step if step else 0.0))
+
+
+def _step_pairs(met: DataFrame, roots: DataFrame | None, step: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of the buckets that still hold several components, and their pairs (lo, hi, a, parts) of this step's leaders with texts of other components."""
+    if roots is None:
+        near = met.withColumn("root", F.col("id"))
+    else:
+        near = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = near.filter(~_leads(step - 1)).groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("band", "bucket")
+        near = written(near.join(open_, ["band", "bucket"]), "minhash-open")
+    waiting = near.filter(~_leads(step - 1)).withColumn("leads", _leads(step)).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    leaders = waiting.filter("leads").select("band", "bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = waiting.select("band", "bucket", part.alias("part"), F.col("id").alias("b"), F.col("root").alias("root_b"), "leads")
+    pairs = leaders.join(members, ["band", "bucket", "part"]).filter("root_a <> root_b and (not leads or a < b)")
+    # Of the buckets that a pair meets in, one decides who leads.
+    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "parts")).alias("x"))
+    return near, pairs.select("lo", "hi", "x.*")
+
+
+def shared_weights(texts: list[str], idf: np.ndarray, cut: int) -> np.ndarray:
+    """Similarity of each of the first ``cut`` texts with each of the others (with all but itself, if ``cut`` is their number).
+
+    A feature of frequency tf is tf features that weigh what each raises the weight by, so the
+    weight that two texts share is a product of two rows.
+    """
+    names, steps, rows = [], [], []
+    total = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        features, tf = np.unique(shingles(text), return_counts=True)
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        weight = np.repeat(idf[_buckets(features)], tf) * np.where(level, np.log1p(level) - np.log(np.maximum(level, 1)), 1.0)
+        with np.errstate(over="ignore"):
+            names.append(np.repeat(features, tf) + level.astype(np.uint64) * _MIX)
+        steps.append(weight)
+        rows.append(np.full(len(weight), i))
+        total[i] = weight.sum()
+    name, step, row = np.concatenate(names), np.concatenate(steps), np.concatenate(rows)
+    _, column, times = np.unique(name, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    step, row, column = np.sqrt(step[several]), row[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    step, row, column = step[order], row[order], column[order]
+    first, second = slice(0, cut), slice(0 if cut == len(texts) else cut, len(texts))
+    shared = np.zeros((cut, second.stop - second.start))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(texts), COLUMNS))
+        held[row[a:b], column[a:b] - at] = step[a:b]
+        shared += held[first] @ held[second].T
+    return shared / (total[first, None] + total[None, second] - shared)
+
+
+def block_links(ids: np.ndarray, roots: np.ndarray, texts: list[str], cut: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the first ``cut`` texts and the others (all, if ``cut`` is their number) of other components, as (id, least id it is linked with by a chain)."""
+    n, other = len(ids), 0 if cut == len(ids) else cut
+    found = shared_weights(texts, idf, cut)
+    linked = np.zeros((n, n), bool)
+    linked[:cut, other:] = found >= SIMILARITY
+    for i, j in zip(*np.nonzero(np.abs(found - SIMILARITY) < 1e-9)):  # the rounding of one sum decides, as in the steps before
+        linked[i, j + other] = similarity(weighted(texts[i], idf), weighted(texts[j + other], idf)) >= SIMILARITY
+    linked &= roots[:, None] != roots[None, :]
+    linked |= linked.T
+    rows = linked.any(1)
+    root = local_roots(linked)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    return ids[rows], least[root][rows]
+
+
+def _blocks(near: DataFrame) -> DataFrame:
+    """Open entries (band, bucket, id, root) -> band, bucket, i, j, second, id, root: the blocks that meet, and which of the two an entry is in.
+
+    The largest component of a bucket is dealt in blocks of its own, which do not meet each other.
+    """
+    spot = ["band", "bucket"]
+    sizes = near.groupBy(*spot, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*spot).agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("k"))
+    parts = lambda k: F.ceil(k / BLOCK).cast("int")
+    sizes = sizes.select(*spot, F.col("x.root").alias("largest"), parts(F.col("k") - F.col("x.k")).alias("few"), parts(F.col("x.k")).alias("more"))
+    dealt = near.select(*spot, "id", "root").join(sizes, spot).withColumn("inner", F.col("root") == F.col("largest"))
+    part = F.when(F.col("inner"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("more"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int")
+    every = F.when(F.col("inner"), F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("more") - 1))
+    dealt = dealt.withColumn("part", part).select(*spot, "id", "root", "part", F.explode(every).alias("with"))
+    return dealt.select(*spot, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), (F.col("part") > F.col("with")).alias("second"), "id", "root")
+
+
+def _block_links(blocks: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b): links between texts of the blocks that meet; no pair is a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot, ids, roots, held, cut = None, [], [], [], 0
+
+        def links():
+            if len(ids) < 2 or spot[2] != spot[3] and not 0 < cut < len(ids):
+                return
+            a, b = block_links(np.array(ids, np.int64), np.array(roots, np.int64), held, len(ids) if spot[2] == spot[3] else cut, idf.value)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for *at, second, id_, root, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != spot:
+                    yield from links()
+                    spot, ids, roots, held, cut = at, [], [], [], 0
+                ids.append(id_)
+                roots.append(root)
+                held.append(text)
+                cut += not second
+        yield from links()
+
+    spot = ["band", "bucket", "i", "j"]
+    dealt = blocks.join(texts, "id").repartition(*spot).sortWithinPartitions(*spot, "second").select(*spot, "second", "id", "root", "text")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def linked_texts(docs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(id, root) of the texts that are linked with another.
+
+    Leaders are compared in steps while that spares work; a pair that one step has compared is
+    not compared again.  What is open then is compared block by block.
+    """
+    met = _met(texts.filter("bands is not null"))
+    ids = met.select("id").distinct()
+    candidates = _candidates(docs, texts.join(ids, "id", "left_semi"))
+    tests = texts.select("id", "samples", "weight")
+    roots, done, step, before = None, None, 0, None
+    while True:
+        near, pairs = _step_pairs(met, roots, step)
+        if near.isEmpty():
+            break
+        if step > 1:
+            blocks = written(_blocks(near), "minhash-blocks")
+            work = blocks.count()
+            if work < 4 * near.count() or before and work > 0.7 * before:
+                found = written(_block_links(blocks, candidates, idf), "minhash-links")
+                roots = components(found.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))), "a", "b")
+                break
+            before = work
+        met = near.drop("root")
+        if done is not None:
+            pairs = pairs.join(done, ["lo", "hi"], "left_anti")
+        pairs = written(pairs.withColumn("b", F.col("lo") + F.col("hi") - F.col("a")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")), "minhash-pairs")
+        one = pairs.select("a", "parts", "part").distinct().join(tests.withColumnRenamed("id", "a"), "a").alias("one")
+        tested = pairs.join(tests.withColumnRenamed("id", "b"), "b").alias("two").join(one, ["a", "parts", "part"]).filter(_may_link("one", "two")).select("a", "parts", "part", "b")
+        new = written(_compared(written(tested, "minhash-tested"), candidates, idf), "minhash-links")
+        kept = new if roots is None else new.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = components(kept, "a", "b")
+        done = pairs.select("lo", "hi") if done is None else done.unionByName(pairs.select("lo", "hi"))
+        step += 1
+    return docs.sparkSession.createDataFrame([], "id long, root long") if roots is None else roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, class_id: one row per document row."""
+    """doc_id, key, class_id, class_key (that text of the class which stays): one row per document row."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(_idf(docs))  # DF_BUCKETS numbers
     rows = written(_signed(docs, idf), "minhash-rows")
     named = rows.filter("doc_id is not null")
     firsts = [F.first(c).alias(c) for c in ("bands", "samples", "weight")]
-    reps = written(named.groupBy("key").agg(F.min("doc_id").alias("rep"), *firsts), "minhash-texts")
-    # A doc_id with several texts is one document: it is compared by the text with the least key.
-    signed = reps.filter("bands is not null").groupBy("rep").agg(F.min_by(F.struct("bands", "samples", "weight"), "key").alias("x")).select("rep", "x.*")
-    entries = signed.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = entries.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "bucket", "least")
-    met = written(entries.join(shared, ["band", "bucket"]), "minhash-buckets")
-    tests = signed.select("rep", "samples", "weight")
-    pairs = met.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    one, two = tests.alias("one"), tests.alias("two")
-    pairs = written(pairs.join(one, F.col("a") == F.col("one.rep")).join(two, F.col("b") == F.col("two.rep")).filter(_may_link("one", "two")).select("a", "b"), "minhash-pairs")
-    linked = written(_compared(pairs, _texts(docs, pairs), idf), "minhash-compared").filter(F.col("s") >= SIMILARITY).select("a", "b")
-    roots = components(linked, "a", "b")
-    # Buckets whose texts are not all in one component yet.
-    near = met.select("band", "bucket", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = near.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("band", "bucket")
-    left = written(near.join(apart, ["band", "bucket"]).join(tests, "rep"), "minhash-apart")
-    one, two = left.alias("one"), left.alias("two")
-    may = (F.col("one.rep") < F.col("two.rep")) & (F.col("one.root") != F.col("two.root")) & _may_link("one", "two")
-    met_in = (F.col("one.band") == F.col("two.band")) & (F.col("one.bucket") == F.col("two.bucket"))
-    more = one.join(two, met_in & may).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
-    second = written(_compared(more, _texts(docs, more), idf), "minhash-compared").filter(F.col("s") >= SIMILARITY).select("a", "b")
-    final = components(linked.unionByName(second), "a", "b")
-    of_text = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
-    return rows.select("doc_id", "key").join(of_text, "key", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
+    texts = named.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), *firsts)
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "minhash-texts")  # numbers are read back, so they stay
+    roots = linked_texts(docs, texts, idf)
+    rooted = written(texts.select("id", "key", "first_id", "rows").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "minhash-rooted")
+    total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    ends = rooted.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("x"), F.count(F.lit(1)).alias("n")).select("root", F.col("x.first_id").alias("class_id"), F.col("x.key").alias("class_key"), "n")
+    of_text = join_hubs(rooted.select("root", "key", "rows"), ends, "root", "n", total[0]).drop("root")
+    known = join_hubs(named.select("doc_id", "key"), written(of_text, "minhash-classes"), "key", "rows", total[1] or 0)
+    none = F.lit(None)
+    return known.select("doc_id", "key", "class_id", "class_key").unionByName(rows.filter("doc_id is null").select("doc_id", "key", none.cast("long").alias("class_id"), none.cast("string").alias("class_key")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), kept: one row per document."""
-    return classes(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    return classes(docs).select("doc_id", "class_id", F.coalesce(stays, F.lit(True)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns; of repeated rows one stays."""
-    stay = classes(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("key").alias("__key"), F.count(F.lit(1)).alias("__rows"))
+    stay = classes(docs).filter("doc_id = class_id and key = class_key").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__md5")).agg(F.count(F.lit(1)).alias("__rows"))
     stay = written(stay, "minhash-kept")
-    held = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__md5"))
-    found = held.join(stay.hint("shuffle_hash"), "__id").filter("__md5 = __key")
-    single, repeated = found.filter("__rows = 1"), found.filter("__rows > 1").dropDuplicates(["__id"])
+    held = docs.select(F.struct(*quoted(docs)).alias("__doc"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__md5"))
+    found = held.join(stay.hint("shuffle_hash"), ["__id", "__md5"])
+    single, repeated = found.filter("__rows = 1"), found.filter("__rows > 1").dropDuplicates(["__id", "__md5"])
     unnamed = held.filter("__id is null")
     return single.select("__doc.*").unionByName(repeated.select("__doc.*")).unionByName(unnamed.select("__doc.*"))

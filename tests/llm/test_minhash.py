@@ -72,6 +72,47 @@ def test_odd_rows(make_docs):
     assert minhash.near_duplicates(empty).collect() == [] and minhash.kept_documents(empty).collect() == []
 
 
+def test_texts_of_one_id_are_compared_on_their_own(make_docs):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
+    docs = make_docs([(5, "quite another text than all the rest of them here"), (5, long), (2, long + "end"), (9, long)])
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 5, True), (9, 2, False)]
+    assert sorted((r.doc_id, r.text[:5]) for r in minhash.kept_documents(docs).collect()) == [(2, "a b c"), (5, "quite")]
+
+
+def test_a_large_group_of_distant_copies(make_docs, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+
+    def copy(edits):
+        out = list(base)
+        for _ in range(edits):
+            out[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    rows = [(i, copy(rng.choice([1, 2, 3, 3, 4, 5, 6]))) for i in range(500)]
+    monkeypatch.setattr(minhash, "BLOCK", 64)  # several blocks a bucket
+    compared = []
+    step = minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda pairs, *more: compared.append(pairs.count()) or step(pairs, *more))
+    docs = make_docs(rows)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    expected = brute(rows, minhash._idf(docs))
+    assert sum(got[i] != expected[i] for i in got) <= 1  # a miss has a probability of 2e-4 a link
+    assert sum(compared) < 500 * 499 / 2 / 6  # pairs that were rows
+
+
+def test_blocks_give_the_similarity():
+    rng = np.random.default_rng(1)
+    idf = rng.uniform(1, 1.1, minhash.DF_BUCKETS)
+    texts = [" ".join(rng.choice(["a", "b", "c"], 80, p=[0.9, 0.05, 0.05])) for _ in range(9)] + ["x " * 300, "x " * 301, "p q"]
+    for cut in (5, 12):
+        found = minhash.shared_weights(texts, idf, cut)
+        expected = [[minhash.similarity(minhash.weighted(a, idf), minhash.weighted(b, idf)) for b in texts[cut % 12 :]] for a in texts[:cut]]
+        same = np.eye(12, dtype=bool)[:cut, cut % 12 :]  # a text with itself is not meant
+        assert np.allclose(found[~same], np.array(expected)[~same])
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.integers(0, 1000), st.sampled_from([0.3, 0.6, 0.85]))
 def test_samples_agree_as_often_as_texts_are_similar(seed, share):
