@@ -3,23 +3,23 @@
 Training tokens are the ASCII lower-case words of every training document and an end after
 each.  Their counts are gathered over all training documents and stay a distributed table.
 
-Classes.  Every training word is assigned by exchange.  Counts of neighbouring words are a
-distributed table that grows with the corpus; in it a word is a number of 63 bits (54 of its hash
-and the ending below).  The ``ITEMS`` most frequent words are the seeds; each in turn moves to the
-class in which the likelihood of the class bigrams is greatest, until a sweep moves none or
-``SWEEPS`` are done.  There all other words stand together by ``ENDINGS`` items, a hash of their
-last three bytes, which is where they start, and the end is an item (at most (ITEMS + ENDINGS + 1)
-squared counts go to the driver).  Then each word beyond the seeds moves on its own counts of
-neighbouring classes, all at once in a sweep, until none moves or ``SWEEPS`` are done; a sweep
-that does not raise the likelihood is taken back, and half as many words move at once from then on.  Only words that no training document has
-keep the class of their ending.
+Classes.  The ``ITEMS`` most frequent words are the seeds; each in turn moves to the class in which
+the likelihood of the class bigrams is greatest, until a sweep moves none or ``SWEEPS`` are done.
+There all other words stand together by ``ENDINGS`` items, a hash of their last three bytes, and
+the end is an item (at most (ITEMS + ENDINGS + 1) squared counts go to the driver).  Then every
+other word seen at least ``LEAST`` times, a set that grows with the corpus, moves from the class of
+its ending to the class in which the likelihood is greatest on its own counts of neighbouring
+classes, which are a distributed table.  Words seen less often have too few neighbours to tell
+classes by: they keep the class of their ending, as words that were never seen do.  Transitions
+are counted over all training tokens with the classes that resulted; there the words outside the
+``COMMON`` most frequent ones count by their ending.
 
 Scores.  P(w | before) = P(class | class before) * P(w | class).  Transitions are smoothed with
 ``BACKOFF`` counts of the class unigram, emissions with ``ADD`` for each word of the class and
 one unseen word.  A text begins after an end.  Logarithms are decimal.
 
-Counts and classes of the ``COMMON`` most frequent words travel to the executors as a map of that
-size at most; the words it lacks are joined to the table of words, so every count and class is exact.
+Counts and classes of the most frequent words, ``COMMON`` at most, travel to the executors as a map;
+the words it lacks are joined to the table of words, so every count and class is exact.
 
 Rows: null is the empty text, which is one end.  Rows with a null doc_id are held out or not by
 the empty string.  Repeated rows are rows of their own (and train as often); an empty table
@@ -28,11 +28,11 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,13 @@ from revlake.llm.common import written
 
 ITEMS, ENDINGS, CLASSES, SWEEPS = 1000, 500, 48, 8
 COMMON = 200_000
+#: Words seen this often move on their own.
+LEAST = 3
 BACKOFF, ADD = 20.0, 0.2
 #: Distinct words a task counts before it hands them on.
 HELD = 400_000
 #: Tokens whose pairs a task counts before it hands them on.
 LINE = 2_000_000
-NO_WORD = -1  # the number of the end
 END = ITEMS + ENDINGS  # the item of the end of a text; ITEMS + h are the endings
 
 
@@ -65,11 +66,6 @@ def ending(word: bytes) -> int:
     return ITEMS + last_bytes(word)
 
 
-def number(word: bytes) -> int:
-    """63 bits: 54 of a hash of the word, and its ending in the lowest nine."""
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 10 << 9 | last_bytes(word)
-
-
 def held_out(doc_id):
     """remainder 2 of the CRC-32 of the id's digits by 7."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
@@ -96,72 +92,99 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(counts: DataFrame) -> DataFrame:
-    """word, n, id."""
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, n) of the most frequent words, ``most`` at most; words of one count are in or out together.
+
+    A histogram of the counts tells the least count, so no task sorts more than it returns.
+    """
+    bins = counts.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect()  # some thousand rows
+    seen, least = 0, None
+    for r in sorted(bins, key=lambda r: -r.bin):
+        seen += r.k
+        if seen > most:
+            break
+        least = r.bin
+    if least is None:  # the commonest bin alone is too large
+        return []
+    found = counts.filter(F.floor(F.log2("n") * 64) >= least).select("word", "n").toArrow()  # ``most`` rows at most
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
+def _label_pairs(train: DataFrame, labels, size: int) -> np.ndarray:
+    """Counts of neighbouring labels over all training tokens; ``labels`` has the label of some words, of each ending, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of, end = labels.value
+        total, line = np.zeros(size * size, np.int64), [end]
+
+        def add():
+            x = np.array(line, np.int64)
+            at, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
+            total[at] += n
+            line[:] = [end]
+
         for batch in batches:
-            ids = pa.array([number(w) for w in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "id"])
+            for text in batch.column(0):
+                line.extend(known[w] if w in known else of[last_bytes(w)] for w in tokens(text.as_py()))
+                line.append(end)
+                if len(line) > LINE:
+                    add()
+        add()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+
+    found = train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
+    pairs = np.zeros((size, size))
+    pairs[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return pairs
 
-    return counts.select("word", "n").mapInArrow(run, "word binary, n long, id long")
 
+def neighbours(train: DataFrame, wanted: DataFrame, labels) -> DataFrame:
+    """word, codes, ns: how often each class stands after the words wanted (code = class), before them (CLASSES + 1 more), and the word itself after them (the code after those).
 
-def word_bigrams(train: DataFrame) -> DataFrame:
-    """a, b, n: how often word b follows word a, by numbers."""
+    ``labels`` has the class of each seed, of each ending, and of the end; seeds have no entries.
+    """
+    k = CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of, end = labels.value
         seen: dict[bytes, int] = {}
-        line = [0]  # the end; words of the task count from 1
+        line, who = [end], [-1]
 
         def rows():
-            size, x = len(seen) + 1, np.array(line, np.int64)
-            pairs, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
-            ids = np.array([NO_WORD, *map(number, seen)], np.int64)
-            for k in range(0, len(pairs), 100_000):
-                part = pairs[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part // size]), pa.array(ids[part % size]), pa.array(n[k : k + 100_000])], names=["a", "b", "n"])
+            x, w = np.array(line, np.int64), np.array(who, np.int64)
+            at = np.flatnonzero(w >= 0)
+            width = 2 * k + 1
+            same = at[w[at] == w[at + 1]]
+            cells, n = np.unique(np.concatenate([w[at] * width + x[at + 1], w[at] * width + k + x[at - 1], w[same] * width + 2 * k]), return_counts=True)
+            words = pa.array(list(seen), pa.binary())
+            for first in range(0, len(seen), 50_000):
+                last = min(first + 50_000, len(seen))
+                a, b = np.searchsorted(cells, (first * width, last * width))
+                starts = pa.array(np.searchsorted(cells[a:b], np.arange(first, last + 1) * width).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([words[first:last], pa.ListArray.from_arrays(starts, pa.array((cells[a:b] % width).astype(np.int32))), pa.ListArray.from_arrays(starts, pa.array(n[a:b]))], names=["word", "codes", "ns"])
 
         for batch in batches:
             for text in batch.column(0):
-                line += [seen.setdefault(w, len(seen) + 1) for w in tokens(text.as_py())]
-                line.append(0)
+                for w in tokens(text.as_py()):
+                    if w in known:
+                        line.append(known[w])
+                        who.append(-1)
+                    else:
+                        line.append(of[last_bytes(w)])
+                        who.append(seen.setdefault(w, len(seen)))
+                line.append(end)
+                who.append(-1)
                 if len(line) > LINE or len(seen) > HELD:
                     yield from rows()
                     seen.clear()
-                    line[:] = [0]
-        if len(line) > 1:
+                    line[:], who[:] = [end], [-1]
+        if seen:
             yield from rows()
 
-    return train.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def item_bigrams(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """a, b, n by items; ``seeds`` has the id and the item of each seed."""
-    for side in ("a", "b"):
-        known = F.broadcast(seeds.select(F.col("id").alias(side), F.col("item").alias(f"seed_{side}")))  # ITEMS rows
-        pairs = pairs.join(known, side, "left")
-    item = lambda c: F.coalesce(f"seed_{c}", F.when(F.col(c) == NO_WORD, END).otherwise(ITEMS + F.col(c).bitwiseAND(511)).cast("int")).alias(c)
-    return pairs.select(item("a"), item("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def neighbours(pairs: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
-    """id, class, codes, ns, self: for each word, how often each class stands after it (code = class) or before it (CLASSES + 1 more).
-
-    ``classes`` has the id and class of every word.  Those of the ``common`` ids, COMMON rows at most, are broadcast, so that no frequent word is a key of the join.
-    """
-    near = classes.join(F.broadcast(common), "id", "left_semi")
-
-    def side(of: str, other: str, more: int) -> DataFrame:
-        given = pairs.select(F.col(of).alias("word"), F.col(other).alias("id"), "n").join(F.broadcast(near.withColumnRenamed("class", "near")), "id", "left")
-        rest = given.filter("near is null").join(classes.join(F.broadcast(common), "id", "left_anti"), "id")
-        out = given.filter("near is not null").select("word", F.col("near").alias("code"), "n").union(rest.select("word", "class", "n"))
-        return out.select("word", (F.col("code") + more).alias("code"), "n")
-
-    found = side("a", "b", 0).union(side("b", "a", CLASSES + 1)).groupBy("word", "code").agg(F.sum("n").alias("n"))
-    lists = found.groupBy(F.col("word").alias("id")).agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
-    own = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("n").alias("self"))
-    return lists.join(classes, "id").join(own, "id", "left").select("id", "class", "codes", "ns", F.coalesce("self", F.lit(0)).cast("long").alias("self"))
+    found = train.select("text").mapInArrow(run, "word binary, codes array<int>, ns array<long>").join(wanted.select("word"), "word")
+    cells = found.select("word", F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("word", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n"))
+    return cells.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
 
 
 def gains(between: np.ndarray, of: np.ndarray, start: np.ndarray, codes: np.ndarray, ns: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -211,47 +234,37 @@ def gains(between: np.ndarray, of: np.ndarray, start: np.ndarray, codes: np.ndar
     return gain
 
 
-def moved(near: DataFrame, between: np.ndarray, seeds: np.ndarray, parts: int, part_of: int) -> DataFrame:
-    """id, class, moved after each word beyond the seeds, or those of one of ``parts`` parts, took its best class."""
+def moved(near: DataFrame, between: np.ndarray, of_endings: np.ndarray) -> DataFrame:
+    """word, class: where the likelihood is greatest with the word moved there from the class of its ending."""
+    k = CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, of = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64)
-                codes, ns = (part.column(c).flatten().to_numpy() for c in (2, 3))
-                start = np.concatenate([[0], np.cumsum(part.column(2).value_lengths().to_numpy())])
-                gain = gains(between, of, start, codes, ns.astype(np.float64), part.column(4).to_numpy().astype(np.float64))
+                of = of_endings[[last_bytes(w) for w in part.column(0).to_pylist()]]
+                codes, ns = (part.column(c).flatten().to_numpy() for c in (1, 2))
+                row = np.repeat(np.arange(len(of)), part.column(1).value_lengths().to_numpy())
+                self_ = codes == 2 * k
+                own = np.bincount(row[self_], ns[self_], len(of))
+                start = np.concatenate([[0], np.cumsum(np.bincount(row[~self_], minlength=len(of)))])
+                gain = gains(between, of, start, codes[~self_].astype(np.int64), ns[~self_].astype(np.float64), own)
                 best, every = gain.argmax(1), np.arange(len(of))
-                go = (gain[every, best] > gain[every, of] + 1e-6) & (ids != NO_WORD) & ~np.isin(ids, seeds) & ((ids >> 9) % parts == part_of)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(go, best, of).astype(np.int32)), pa.array(go)], names=["id", "class", "moved"])
-
-    return near.mapInArrow(run, "id long, class int, moved boolean")
-
-
-def place(pairs: DataFrame, classes: DataFrame, common: DataFrame, seeds: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """Classes of every word after the sweeps over the words beyond the seeds, and the counts of class bigrams."""
-    kept, parts, still, k = None, 1, 0, CLASSES + 1
-    for sweep in range(SWEEPS + 1):
-        near = written(neighbours(pairs, classes, common), "brown-neighbours")
-        cells = near.select("class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).filter(F.col("x.codes") < k)
-        between = np.zeros((k, k))
-        for r in cells.groupBy("class", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n")).collect():  # k * k rows at most
-            between[r["class"], r.code] = r.n
-        worth = likelihood(between, np.arange(k))
-        if kept and worth <= kept[0]:
-            parts *= 2
-        else:
-            kept = worth, classes, between, near
-        while sweep < SWEEPS and still < parts:
-            after = written(moved(kept[3], kept[2], seeds, parts, (sweep + still) % parts), "brown-classes")
-            if not after.filter("moved").isEmpty():
-                break
-            still += 1
-        if sweep == SWEEPS or still == parts:
-            break
-        still, classes = 0, after.drop("moved")
-    return kept[1:3]
+                best = np.where(gain[every, best] > gain[every, of] + 1e-6, best, of)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["word", "class"])
+
+    return near.mapInArrow(run, "word binary, class int")
+
+
+def _classed(counts: DataFrame, seeds: dict[bytes, int], of_endings: np.ndarray) -> DataFrame:
+    """word, n, class: the class given, or the seed's, or that of the ending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c if c is not None else seeds[w] if w in seeds else int(of_endings[last_bytes(w)]) for w, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["word", "n", "class"])
+
+    return counts.select("word", "n", "class").mapInArrow(run, "word binary, n long, class int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -336,28 +349,24 @@ class Model:
 
 def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     """Table of words (word, n, class) and the model."""
-    spark = train.sparkSession
-    counts = written(numbered(word_counts(train)), "brown-words")
-    bigrams = written(word_bigrams(train), "brown-pairs")
+    context = train.sparkSession.sparkContext
+    counts = written(word_counts(train), "brown-words")
     n_ends = train.count()
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()  # COMMON rows at most
-    words, ns, ids = (common.column(c).to_pylist() for c in ("word", "n", "id"))
-    size = END + 1
-    pairs = np.zeros((size, size))
-    seeds = spark.createDataFrame([(i, k) for k, i in enumerate(ids[:ITEMS])], "id long, item int")
-    found = item_bigrams(bigrams, seeds).toArrow()  # size * size rows at most
-    pairs[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
+    common = frequent(counts, COMMON)
+    seeds = {w: k for k, (w, _) in enumerate(common[:ITEMS])}
+    pairs = _label_pairs(train, context.broadcast((seeds, list(range(ITEMS, END)), END)), END + 1)
     of = exchange(pairs, CLASSES, SWEEPS)
-
-    first = F.element_at(F.array(*(F.lit(int(c)) for c in of[ITEMS:END])), (F.col("id").bitwiseAND(511) + 1).cast("int"))
-    placed = spark.createDataFrame([(i, int(of[k])) for k, i in enumerate(ids[:ITEMS])], "id long, seed int")
-    began = counts.select("id").distinct().join(F.broadcast(placed), "id", "left").select("id", F.coalesce("seed", first).alias("class"))  # ITEMS rows
-    began = written(began.union(spark.createDataFrame([(NO_WORD, CLASSES)], "id long, class int")), "brown-classes")
-    near = spark.createDataFrame(pa.table({"id": pa.array([NO_WORD, *ids], pa.int64())}))
-    classes, between = place(bigrams, began, near, np.array(ids[:ITEMS], np.int64))
-    in_common = classes.join(F.broadcast(near), "id", "left_semi").toArrow()  # COMMON rows at most
-    class_of = dict(zip(in_common.column("id").to_pylist(), in_common.column("class").to_pylist()))
-    counts = written(counts.join(classes, "id").select("word", "n", "class"), "brown-words-classed")
+    member = np.eye(CLASSES + 1)[of]
+    of_endings = of[ITEMS:END]
+    seeds = {w: int(of[k]) for w, k in seeds.items()}
+    labels = context.broadcast((seeds, of_endings.tolist(), CLASSES))
+    near = written(neighbours(train, counts.filter(F.col("n") >= LEAST), labels), "brown-neighbours")
+    after = moved(near, member.T @ pairs @ member, of_endings)
+    counts = written(_classed(counts.join(after, "word", "left"), seeds, of_endings), "brown-words-classed")
+    least = common[-1][1] if common else math.inf
+    in_common = counts.filter(F.col("n") >= least).select("word", "class").toArrow()  # COMMON rows at most
+    class_of = dict(zip(in_common.column("word").to_pylist(), in_common.column("class").to_pylist()))
+    between = _label_pairs(train, context.broadcast((class_of, of_endings.tolist(), CLASSES)), CLASSES + 1)
     n_class, distinct_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()  # one row per class
     for r in totals:
@@ -367,7 +376,7 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     transition = np.log10((between + BACKOFF * unigram) / (between.sum(1) + BACKOFF)[:, None])
     emission_total = np.log10(n_class + ADD * (distinct_class + 1))
     emission_total[CLASSES] = 0.0  # the end is all of its class
-    shared = {w: (n, class_of[i]) for w, n, i in zip(words, ns, ids)}
+    shared = {w: (n, class_of[w]) for w, n in common}
     n_words, n_distinct = sum(r["n"] for r in totals), sum(r["distinct"] for r in totals)
     return counts, Model(of, transition, emission_total, shared, n_words + n_ends, n_distinct + (n_ends > 0), n_ends)
 

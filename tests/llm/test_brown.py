@@ -53,7 +53,7 @@ def test_words_beyond_the_seeds_move_on_their_own_counts(make_docs, monkeypatch)
     monkeypatch.setattr(brown, "ITEMS", 8)
     monkeypatch.setattr(brown, "END", 8 + brown.ENDINGS)
     monkeypatch.setattr(brown, "CLASSES", 5)
-    monkeypatch.setattr(brown, "COMMON", 10)  # most words take the join
+    monkeypatch.setattr(brown, "COMMON", 12)  # most words take the join
     rng = random.Random(3)
     pick = lambda seeds, rare: rng.choice(seeds) if rng.random() < 0.6 else f"{rare}{rng.randint(0, 20)}end"
     rows = [(i, " ".join(" ".join((rng.choice(["the", "a"]), pick(["dog", "cat"], "n"), pick(["runs", "eats"], "v"), rng.choice(["fast", "well"]))) for _ in range(5))) for i in range(300)]
@@ -62,6 +62,25 @@ def test_words_beyond_the_seeds_move_on_their_own_counts(make_docs, monkeypatch)
     assert len({brown.ending(w.encode()) for w in of if w.endswith("end")}) == 1
     nouns, verbs = ({of[w] for w in of if w[0] == k and w.endswith("end")} for k in "nv")
     assert not nouns & verbs
+    # Each word beyond the seeds has the class that a plain evaluation of all classes finds.
+    lines = [[None, *text.encode().lower().split()] for _, text in rows]
+    order = sorted({w for x in lines for w in x[1:]}, key=lambda w: (-sum(x.count(w) for x in lines), w))
+    seeds, k = order[:8], brown.CLASSES + 1
+    first = lambda w: brown.CLASSES if w is None else int(m.classes[seeds.index(w) if w in seeds else brown.ending(w)])
+    tokens = [w for x in lines for w in x] + [None]
+    names = [None, *order]
+    count = np.zeros((len(names), len(names)))
+    for a, b in zip(tokens, tokens[1:]):
+        count[names.index(a), names.index(b)] += 1
+    start = np.array([first(w) for w in names])
+    for w in [w for w in order[8:] if count[names.index(w)].sum() >= brown.LEAST][:10]:
+        worth = []
+        for c in range(brown.CLASSES):
+            other = start.copy()
+            other[names.index(w)] = c
+            member = np.eye(k)[other]
+            worth.append(brown.likelihood(member.T @ count @ member, np.arange(k)))
+        assert worth[of[w.decode()]] > max(worth) - 1e-5
     # Scores take the moved classes.
     got = {r.doc_id: r for r in brown.score(make_docs(rows)).collect()}
     counts, m = brown.fit(make_docs([r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]).select("doc_id", "text"))
@@ -109,12 +128,11 @@ def test_scores(make_docs, monkeypatch):
 def test_model_is_a_distribution(spark, make_docs):
     docs = make_docs(corpus()).select("doc_id", "text")
     counts, m = brown.fit(docs)
-    table = {bytes(r.word): r.n for r in counts.collect()}
+    table = {bytes(r.word): (r.n, r["class"]) for r in counts.collect()}
     assert np.allclose((10**m.transition).sum(1), 1)
     mass = np.zeros(brown.CLASSES + 1)
-    items = {w: k for k, w in enumerate(sorted(table, key=lambda w: (-table[w], w))[: brown.ITEMS])}
-    for w, n in table.items():
-        mass[m.classes[items.get(w, brown.ending(w))]] += n + brown.ADD
+    for n, c in table.values():
+        mass[c] += n + brown.ADD
     used = mass > 0
     assert (mass[used] / 10 ** m.emission_total[used] <= 1).all() and (mass[used] / 10 ** m.emission_total[used] > 0.5).all()
 
