@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ def version_key(column: str) -> Column:
     return F.transform(F.split(column, "[.]"), lambda x: x.cast("int"))
 
 
+_ERFC = np.vectorize(math.erfc, otypes=[float])
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal; SQL has no error function."""
-    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(v / math.sqrt(2)) / 2)
+    return pd.Series(_ERFC(z.to_numpy(float) / math.sqrt(2)) / 2).where(z.notna())

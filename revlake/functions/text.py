@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Short function-word lists of the language flag, words a trimmed ending must not touch.
-ENGLISH = ("the", "is", "and", "to", "it", "this", "app", "for", "not", "very", "good", "of", "in", "you", "that", "works")
-INDONESIAN = ("yang", "dan", "di", "ini", "itu", "saya", "tidak", "untuk", "bisa", "ada", "aplikasi", "sangat", "nya", "tapi", "juga")
+# Function words of the language flag, in two languages; words a trimmed ending must not touch; the patterns of
+# URLs, mentions, non-ASCII, digits, punctuation, repeats and white space below.
+ENGLISH = tuple(
+    """
+the to and i a it is my of for you this not but that with be was are have they
+me your can so very in on at just when or if from no all what there more
+because too even after would will dont don't cant can't it's i'm im their them
+our we us has had been than only also really still always never every
+""".split()
+)
+INDONESIAN = tuple(
+    """
+dan yang di ke dari tidak ga gak nggak ngga gk tdk ini itu saya aku nya ada
+bisa sudah udah sangat banget tapi untuk dengan kalau kalo mau lagi juga sih
+aja saja jadi karena krn yg dgn sama buat kok deh dong apa kenapa mohon tolong
+belum blm masih harus
+""".split()
+)
 KEEP_ENDINGS = ("bill", "ss", "pbb", "cc")
 
 
@@ -18,8 +33,9 @@ def squeeze(text: Column) -> Column:
 def clean_ascii(text: Column) -> Column:
     """Lower case; URLs, mentions, non-ASCII, digits and punctuation go; white space collapses."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in ((r"https?://\S+|www\.\S+", " "), (r"[@#][\p{L}\p{N}_]+", " "), (r"[^\x00-\x7F]+", " "), (r"[0-9]+", " "), (r"[^a-z\s]", " ")):
-        t = F.regexp_replace(t, pattern, by)
+    # What is neither a letter a-z nor white space covers non-ASCII, digits and punctuation in one pass.
+    for pattern in (r"https?://\S+|www\.\S+", r"[@#][\p{L}\p{N}_]+", r"[^a-z\s]+"):
+        t = F.regexp_replace(t, pattern, " ")
     return squeeze(t)
 
 
@@ -60,7 +76,7 @@ def fold_slang(words: Column, table: dict[str, list[str]], noise: tuple[str, ...
 
 
 def without(words: Column, stop: tuple[str, ...]) -> Column:
-    return F.array_except(words, F.array()) if not stop else F.filter(words, lambda w: ~w.isin(*stop))
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
 def bigrams(words: Column) -> Column:

@@ -45,9 +45,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def number_check(prose: DataFrame, facts: DataFrame) -> DataFrame:
     """Numbers of a text that equal no fact, nor a hundred times one, at the decimals they are written with."""
-    found = prose.select("line", F.explode(F.regexp_extract_all("text", F.lit(r"\d+(?:\.\d{3})*(?:,\d+)?|\d+(?:\.\d+)?"), F.lit(0))).alias("written"))
-    thousands, comma = F.col("written").rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.col("written").contains(",")
-    plain = F.when(thousands | comma, F.translate(F.regexp_replace("written", r"\.", ""), ",", ".")).otherwise(F.col("written"))
+    # Dots or commas group thousands where groups of three and no other reading fit; a single comma is a decimal mark.
+    shape = r"\d{1,3}(?:\.\d{3})+(?:,\d+)?(?!\d)|\d{1,3}(?:,\d{3})+\.\d+|\d{1,3}(?:,\d{3}){2,}(?!\d)|\d+(?:[.,]\d+)?"
+    found = prose.select("line", F.explode(F.regexp_extract_all("text", F.lit(shape), F.lit(0))).alias("written"))
+    dots, commas = F.col("written").rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.col("written").rlike(r"^\d{1,3}(,\d{3})+\.\d+$|^\d{1,3}(,\d{3}){2,}$")
+    plain = F.when(dots, F.translate(F.translate("written", ".", ""), ",", ".")).when(commas, F.translate("written", ",", "")).otherwise(F.translate("written", ",", "."))
     numbers = found.withColumn("plain", plain).withColumn("d", F.length(F.regexp_extract("plain", r"\.(\d+)$", 1)))
     places = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("d")
     scaled = facts.select(F.explode(F.array(F.col("value"), F.col("value") * 100)).alias("v"))

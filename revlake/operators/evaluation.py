@@ -49,7 +49,7 @@ def model_overlap(predictions: DataFrame) -> DataFrame:
 def kappa(scores: DataFrame) -> DataFrame:
     """Cohen's kappa of the labels of the two models."""
     pair = scores.groupBy("review_id").agg(F.max(F.when(F.col("model_name") == "final", F.col("pred_label"))).alias("x"), F.max(F.when(F.col("model_name") == "alt", F.col("pred_label"))).alias("y"))
-    t = pair.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("same"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    t = pair.filter("x is not null and y is not null").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("same"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     po = F.col("same") / F.col("n")
     pe = (F.col("sx") * F.col("sy") + (F.col("n") - F.col("sx")) * (F.col("n") - F.col("sy"))) / (F.col("n") * F.col("n"))
-    return t.select(F.col("n").cast("long").alias("n"), F.round(po, 6).alias("agreement"), F.round((po - pe) / (1 - pe), 6).alias("kappa"))
+    return t.select(F.col("n").cast("long").alias("n"), F.round(po, 6).alias("agreement"), F.round((po - pe) / F.nullif(1 - pe, F.lit(0.0)), 6).alias("kappa"))

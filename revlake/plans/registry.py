@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,17 +80,21 @@ class Frames:
     """The canonical frames of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.r, self.s = A.reviews(spark, sf_dir), A.scores(spark, sf_dir)
-        self.t, self.x = A.topics(spark, sf_dir), A.review_topics(spark, sf_dir)
-        self.docs, self.labels, self.events = (A.table(spark, sf_dir, n) for n in ("documents", "labels", "events"))
-
-    @property
-    def monthly(self) -> DataFrame:
-        return marts.agg_monthly(self.r, self.s)
-
-    @property
-    def pairs(self) -> DataFrame:
-        return marts.review_category(self.t, self.x, self.r, self.s)
+        self.spark, self.sf_dir = spark, sf_dir
+
+    # Each frame is opened when a query first asks for it.
+    r = cached_property(lambda self: A.reviews(self.spark, self.sf_dir))
+    s = cached_property(lambda self: A.scores(self.spark, self.sf_dir))
+    t = cached_property(lambda self: A.topics(self.spark, self.sf_dir))
+    x = cached_property(lambda self: A.review_topics(self.spark, self.sf_dir))
+    docs = cached_property(lambda self: A.table(self.spark, self.sf_dir, "documents"))
+    labels = cached_property(lambda self: A.table(self.spark, self.sf_dir, "labels"))
+    events = cached_property(lambda self: A.table(self.spark, self.sf_dir, "events"))
+    lines = cached_property(lambda self: A.table(self.spark, self.sf_dir, "lineitem"))
+    monthly = cached_property(lambda self: marts.agg_monthly(self.r, self.s))
+    actual = cached_property(lambda self: marts.agg_monthly_actual(self.r))
+    version = cached_property(lambda self: marts.agg_version(self.r, self.s))
+    pairs = cached_property(lambda self: marts.review_category(self.t, self.x, self.r, self.s))
 
     @property
     def texts(self) -> DataFrame:
@@ -172,7 +177,7 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "clean_full": (lambda f: f.docs.select("doc_id", T.clean_full(F.col("text")).alias("clean")), None),
     "slang_fold": (lambda f: f.docs.select("doc_id", F.array_join(T.fold_slang(T.tokens(T.clean_ascii(F.col("text"))), SLANG, ("a",)), " ").alias("folded")), None),
     "stopword_filter": (lambda f: f.docs.select("doc_id", F.array_join(T.without(T.tokens(T.clean_ascii(F.col("text"))), STOP), " ").alias("kept")), _with(_TOK, f"select doc_id, coalesce(array_to_string(list_filter(w, lambda x: x not in {STOP}), ' '), '') as kept from tok")),
-    "language_flag": (lambda f: T.language_counts(f.docs).select("doc_id", "n_words", "n_en", "n_id", "is_english"), f"select *, n_words >= 3 and n_en >= 2 and n_en > 2 * n_id as is_english from (select doc_id, len(w)::bigint as n_words, len(list_filter(w, lambda x: x in {T.ENGLISH}))::bigint as n_en, len(list_filter(w, lambda x: x in {T.INDONESIAN}))::bigint as n_id from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') as w from documents))"),
+    "language_flag": (lambda f: T.language_counts(f.docs).select("doc_id", "n_words", "n_en", "n_id", "is_english"), f"select *, n_words >= 3 and n_en >= 2 and n_en > 2 * n_id as is_english from (select doc_id, len(w)::bigint as n_words, len(list_filter(w, lambda x: list_contains(string_split('the to and i a it is my of for you this not but that with be was are have they me your can so very in on at just when or if from no all what there more because too even after would will dont don''t cant can''t it''s i''m im their them our we us has had been than only also really still always never every', ' '), x)))::bigint as n_en, len(list_filter(w, lambda x: list_contains(string_split('dan yang di ke dari tidak ga gak nggak ngga gk tdk ini itu saya aku nya ada bisa sudah udah sangat banget tapi untuk dengan kalau kalo mau lagi juga sih aja saja jadi karena krn yg dgn sama buat kok deh dong apa kenapa mohon tolong belum blm masih harus', ' '), x)))::bigint as n_id from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') as w from documents))"),
     "token_counts": (lambda f: topics.ngram_top(f.docs, 1, 500), _with(_TOK, "select term, count(*) as freq, count(distinct doc_id) as n_dokumen from (select doc_id, unnest(w) as term from tok) group by 1 order by freq desc, term limit 500")),
     "ngram_top": (lambda f: topics.ngram_top(f.docs, 2), _with(_TOK, "select term, count(*) as freq, count(distinct doc_id) as n_dokumen from (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from tok) group by 1 order by freq desc, term limit 30")),
     "keyword_match": (lambda f: topics.keyword_match(f.docs, _keywords(f)), _with(_TOK, "g as (select distinct doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as keyword from tok)", "select doc_id, kategori, keyword from g join (values ('the', 'a'), ('of the', 'a'), ('tion', 'a'), ('der', 'b'), ('in der', 'b'), ('de la', 'c'), ('que', 'c')) k(keyword, kategori) using (keyword)")),
@@ -202,9 +207,15 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
 }
 
 
+def _all() -> dict[str, tuple[Callable[[Frames], DataFrame], str | None]]:
+    from revlake.plans import more
+
+    return QUERIES | more.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, (build, _) in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, (build, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
