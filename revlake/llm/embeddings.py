@@ -15,8 +15,10 @@ pair is ever a row: a block gives its vectors' weighted link counts and, for the
 links to the least vector of each local component.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing;
-vectors of different lengths do not link.  Repeated rows are rows of their own.  An empty table
-gives no rows; other columns are ignored.
+vectors of different lengths do not link.  Repeated rows, and rows of one id with different
+vectors, are rows of their own: each counts its own links.  Rows without an id are linked as all
+others, have the least id of their component (null, if it has none), and are kept.  An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import written
-from revlake.llm.graph import components, local_roots
+from revlake.llm.graph import components, join_hubs, local_roots
 
 SEED = 20240501
 #: Rows of a block; share of pairs at the threshold that must meet.
@@ -216,8 +218,9 @@ def _compared(blocks: DataFrame, plan: dict[int, tuple[int, int]], threshold: fl
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     rows = written(classes(vectors), "vectors")
-    grouped = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    reps = written(grouped.filter("rep is not null"), "vector-classes")
+    # A class is named by a number of its own, which is read back with the class: ids may be null or repeat.
+    grouped = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    reps = written(grouped.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     widths = {r.w: r.n for r in reps.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = {w: tables(w, 1 << (n - 1).bit_length(), threshold) for w, n in widths.items()}
     hashed = written(_hashed(reps, plan), "vector-keys")
@@ -233,7 +236,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = written(_compared(blocks.select("w", "t", "key", "i", "j", "part", "rep", "n", "embedding", "keys"), plan, threshold), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, "rep", "least").withColumnRenamed("id", "rep")
-    named = reps.select("key", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left").select("key", "n", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.select("vec_id", "key").join(named, "key", "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    named = written(reps.select("key", "rep", "n", "first_id").join(links, "rep", "left").join(roots, "rep", "left").select("key", "n", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "vector-named")
+    total = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = written(join_hubs(named, ends, "root", "size", total[0]).select("key", "n", F.col("n").alias("rows"), "links", "component_id"), "vector-components")
+    linked = join_hubs(rows.select("vec_id", "key").filter("key is not null"), named, "key", "rows", total[1])
+    linked = linked.select("vec_id", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
+    alone = rows.filter("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

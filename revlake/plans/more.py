@@ -141,7 +141,7 @@ QUERIES = {
     "number_check": (lambda f: dictionary.number_check(_frame(f, _PROSE, "line int, text string"), _frame(f, [(x,) for x in _FACTS], "value double")), None),
     "upsert_labels": (lambda f: warehouse.upsert(f.labels, f.labels.filter("doc_id % 7 = 0").select("doc_id", (1 - F.col("quality")).cast("int").alias("quality"), "toxic"), ["doc_id"]).select("doc_id", F.col("quality").cast("int").alias("quality")), "select doc_id, (case when doc_id % 7 = 0 then 1 - quality else quality end)::int as quality from labels"),
     "pending_docs": (lambda f: warehouse.pending(f.docs, f.labels, ["doc_id"]).select("doc_id", "lang"), "select doc_id, lang from documents where doc_id not in (select doc_id from labels where doc_id is not null)"),
-    "masked_update": (lambda f: warehouse.masked_update(f.docs.select("doc_id", "text"), f.docs.filter("lang = 'en'"), f.docs.select("doc_id", F.upper("text").alias("text")).filter("text is not null"), "doc_id", "text").select("doc_id", F.md5("text").alias("digest")), "select doc_id, md5(case when lang = 'en' then upper(text) else text end) as digest from documents"),
+    "masked_update": (lambda f: warehouse.masked_update(f.docs.select("doc_id", "text"), f.docs.filter("lang = 'en'"), f.docs.select("doc_id", F.concat(F.lit("> "), "text").alias("text")).filter("text is not null"), "doc_id", "text").select("doc_id", F.md5("text").alias("digest")), "select doc_id, md5(case when lang = 'en' then '> ' || text else text end) as digest from documents"),
     "replace_suffix": (lambda f: warehouse.replace_suffix(f.s.groupBy("model_name").agg(F.count(F.lit(1)).alias("n")), _frame(f, [("new_al", 1)], "model_name string, n long"), "model_name", "al"), _with(_R, _S, "select model_name, count(*) as n from scores where model_name not like '%al' group by 1 union all select 'new_al', 1")),
     "completeness": (lambda f: warehouse.complete(f.docs, f.labels, ["doc_id"]).groupBy("lacks").agg(F.count(F.lit(1)).alias("n")), "select 'right' as lacks, count(*) as n from (select distinct doc_id from documents where doc_id not in (select doc_id from labels)) having count(*) > 0 union all select 'left', count(*) from (select distinct doc_id from labels where doc_id not in (select doc_id from documents)) having count(*) > 0"),
     "constraint_report": (lambda f: warehouse.constraints({"reviews": f.r, "scores": f.s, "topics": f.t, "review_topics": f.x}, {"reviews": ["id"], "scores": ["review_id", "model_name"], "topics": ["id"], "review_topics": ["review_id", "topic_id"]}, [("scores", "review_id", "reviews", "id"), ("review_topics", "topic_id", "topics", "id"), ("review_topics", "review_id", "reviews", "id")]), _with(_R, _S, _T, "select 'pk reviews' as rule, (count(*) - count(distinct id))::bigint as violations from reviews union all select 'pk scores', count(*) - count(distinct (review_id, model_name)) from scores union all select 'pk topics', count(*) - count(distinct id) from topics union all select 'pk review_topics', count(*) - count(distinct (review_id, topic_id)) from review_topics union all select 'fk scores.review_id', count(*) from scores where review_id not in (select id from reviews) union all select 'fk review_topics.topic_id', count(*) from review_topics where topic_id not in (select id from topics) union all select 'fk review_topics.review_id', count(*) from review_topics where review_id not in (select id from reviews)")),

@@ -73,3 +73,10 @@ def test_components(spark, edges):
         p, q = sorted((root(a), root(b)))
         parent[q] = p
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (3, [1.0, 0.01, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0]), (None, None), (9, [0.0, 0.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (9, 0, 9, True)], key=key)
