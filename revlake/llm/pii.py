@@ -1,9 +1,10 @@
 """Operator 6, personal data by weak supervision.
 
 Base rules find e-mail addresses, IPv4 addresses, card and phone numbers; what they find
-always stays.  Wider patterns propose more candidates of the four kinds: written-out
-addresses, national phone numbers, IPv6 addresses, shorter card numbers.  Five labelers vote on
-every candidate, base matches included: the strict pattern, a validity rule, a gazetteer, the
+always stays.  More candidates of the four kinds are proposed: what the strict checks refuse
+(numbers failing Luhn or too short for a card, dotted quads beyond 255, phone numbers of too many
+digits), and matches of wider patterns (written-out addresses, national phone numbers with or
+without separators, IPv6 addresses).  Five labelers vote on every candidate, base matches included: the strict pattern, a validity rule, a gazetteer, the
 words before it and the characters at its edges.  Each may abstain.
 
 Candidates are counted by kind, vote pattern and feature over all documents: a table bounded by
@@ -39,10 +40,10 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-WIDE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+", re.I)
-WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")
+_HOST = r"[A-Za-z0-9-]+"
+WIDE_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?: ?[\[(] ?at ?[\])] ?{_HOST}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?{_HOST})+| at {_HOST}(?: dot {_HOST})+)", re.I)
+WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.,+(/#=-])[0-9]{9,12}(?![0-9A-Za-z]|[.,-][0-9])")
 WIDE_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-WIDE_CARD = re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z]|[\x20.-][0-9])")
 
 # The gazetteers and context words of the labelers.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co eu de fr es it uk us ca nl be ch at pl se no dk fi pt ru cn jp kr in br mx au nz id".split())
@@ -89,26 +90,43 @@ def emails(text: str) -> list[tuple[int, int]]:
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 
-def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+def strict_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
+    """Base spans by kind, and the matches that the strict checks refuse (kind, start, end)."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    refused = []
     found["email"] = emails(text)
     if _ANY_DIGIT.search(text):
-        found["ip"] = [m.span() for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+        for m in IP.finditer(text):
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
+                found["ip"].append(m.span())
+            else:
+                refused.append(("ip", *m.span()))
         for m in CARD.finditer(text):
-            if 16 <= m.end() - m.start() and 16 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
-                found["card"].append(m.span())
-        found["phone"] = [m.span() for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
-    return found
+            if m.end() - m.start() >= 13:
+                d = _digits(m[0])
+                if 16 <= len(d) <= 19 and _luhn(d):
+                    found["card"].append(m.span())
+                elif 13 <= len(d) <= 19:
+                    refused.append(("card", *m.span()))
+        for m in PHONE.finditer(text):
+            if 8 <= len(_digits(m[0])) <= 15:
+                found["phone"].append(m.span())
+            else:
+                refused.append(("phone", *m.span()))
+    return found, refused
+
 
+def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    return strict_spans(text)[0]
 
-def wide_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Candidates of the wider patterns that touch no base span."""
-    found = []
-    if any(x in text for x in ("at)", "at]", "AT)", "AT]", "at )", "at ]", "At)", "At]")):
+
+def wide_spans(text: str, base: dict[str, list[tuple[int, int]]], refused: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Candidates that touch no base span: what the strict checks refused, and matches of the wider patterns; of several of one kind that overlap the first."""
+    found = list(refused)
+    if any(x in text for x in (" dot ", " DOT ", "at)", "at]", "AT)", "AT]", "at )", "at ]", "At)", "At]")):
         found += [("email", *m.span()) for m in WIDE_EMAIL.finditer(text)]
     if _ANY_DIGIT.search(text):
         found += [("phone", *m.span()) for m in WIDE_PHONE.finditer(text)]
-        found += [("card", *m.span()) for m in WIDE_CARD.finditer(text)]
         if text.count(":") >= 7:
             found += [("ip", *m.span()) for m in WIDE_IP.finditer(text)]
     begins, ends = [], []  # of the union of the base spans
@@ -118,24 +136,29 @@ def wide_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         else:
             begins.append(a)
             ends.append(b)
-    return [x for x in found if bisect_left(begins, x[2]) == bisect_right(ends, x[1])]
+    out, last = [], {}
+    for kind, a, b in sorted(found, key=lambda x: (x[1], x[2])):
+        if bisect_left(begins, b) == bisect_right(ends, a) and last.get(kind, -1) <= a:
+            out.append((kind, a, b))
+            last[kind] = b
+    return out
 
 
 def votes(text: str, kind: str, begin: int, end: int, strict: bool) -> tuple[int, ...]:
     """1 for, 0 against, -1 abstains: pattern, validity, gazetteer, words before, edges."""
     span = text[begin:end]
     digits = _digits(span)
-    pattern = 1 if strict else -1
+    pattern = int(strict)
     if kind == "card":
         valid = int(_luhn(digits))
         known = 1 if digits[0] in "3456" else 0
     elif kind == "phone":
         national = digits[-10:]
-        valid = 0 if len(set(digits)) <= 2 or not strict and (national[0] in "01" or national[3] in "01") else 1
+        valid = 0 if len(set(digits)) <= 2 or not 8 <= len(digits) <= 15 or not strict and len(national) == 10 and (national[0] in "01" or national[3] in "01") else 1
         known = (1 if any(digits[:k] in CALLING_CODES for k in (1, 2)) else 0) if strict else -1
     elif kind == "ip":
         parts = span.split(".")
-        valid = 1 if len(parts) != 4 else int(all(len(p) == len(str(int(p[-4:]))) for p in parts))
+        valid = 1 if len(parts) != 4 else int(all(len(p) <= 3 and int(p) <= 255 and p == str(int(p)) for p in parts))
         known = -1 if len(parts) != 4 else int(parts[0] not in ("0", "1", "2", "3"))
     else:
         host = re.split(r"\.|[\[(] ?dot ?[\])]", span, flags=re.I)[-1].strip()
@@ -168,11 +191,11 @@ def features(text: str, kind: str, begin: int, end: int) -> list[str]:
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    base = base_spans(text)
+    base, refused = strict_spans(text)
     for kind in KINDS:
         for begin, end in base[kind]:
             yield kind, begin, end, True
-    for kind, begin, end in wide_spans(text, base):
+    for kind, begin, end in wide_spans(text, base, refused):
         yield kind, begin, end, False
 
 
@@ -273,9 +296,9 @@ def fit(docs: DataFrame) -> Model:
 
 def spans(text: str, model: Model) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """Base spans by kind, and all spans by kind as listed, then start."""
-    base = base_spans(text)
+    base, refused = strict_spans(text)
     every = [(k, b, e) for k in KINDS for b, e in base[k]]
-    every += [(k, b, e) for k, b, e in wide_spans(text, base) if model.probability(k, features(text, k, b, e)) > 0.5]
+    every += [(k, b, e) for k, b, e in wide_spans(text, base, refused) if model.probability(k, features(text, k, b, e)) > 0.5]
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -316,7 +339,8 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with every span replaced by its kind and n_chars counted anew; texts without spans are untouched."""
     model = model or fit(docs)
     at = docs.columns.index("text")
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a name may hold a dot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +351,8 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 texts.append(redacted(text, found) if found else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.column(names.index("n_chars")).type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))])
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
