@@ -10,6 +10,12 @@ from revlake.functions.expr import half_up, month
 from revlake.functions.text import bigrams, clean_ascii, tokens
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Deals rows over the cores where a file is read by fewer tasks than there are cores: cleaning costs more than moving them."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if len(texts.inputFiles()) < cores else texts
+
+
 def average_rank(column: str):
     """Rank from the largest, ties at their mean, cut to an integer."""
     order, ties = Window.orderBy(F.desc(column)), Window.partitionBy(column)
@@ -46,7 +52,7 @@ def story_examples(pairs: DataFrame, top: int = 3) -> DataFrame:
 def ngram_top(texts: DataFrame, order: int = 1, limit: int = 30) -> DataFrame:
     """Most frequent n-grams of the cleaned text with term and document frequency."""
     words = tokens(clean_ascii(F.col("text")))
-    grams = texts.select("doc_id", words.alias("w")).select("doc_id", F.explode("w" if order == 1 else bigrams(F.col("w"))).alias("term"))
+    grams = spread(texts).select("doc_id", words.alias("w")).select("doc_id", F.explode("w" if order == 1 else bigrams(F.col("w"))).alias("term"))
     per_doc = grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("n_dokumen")).orderBy(F.desc("freq"), "term").limit(limit)
 
@@ -60,7 +66,7 @@ def keyword_match(texts: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def tfidf_weights(texts: DataFrame, least: int = 3) -> DataFrame:
     """Sublinear tf times smooth idf, one unit per document, of unigrams in enough documents."""
-    counts = texts.select("doc_id", F.explode(tokens(clean_ascii(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = spread(texts).select("doc_id", F.explode(tokens(clean_ascii(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
     n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
     idf = df.join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
