@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from revlake.llm.common import written
 
 #: A key is a hub from so many rows on, and at least from a share of all rows that HUBS keys can have at most.
-HUB_ROWS, HUBS = 1000, 100_000
+HUB_ROWS, HUBS = 100, 100_000
 
 
 def join_hubs(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
