@@ -9,22 +9,22 @@ from revlake.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts do, repeated rows are judged alike."""
     return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, one row of repeated ones, and all rows without an id."""
     return minhash.kept_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
+    """Spans of personal data are replaced by their kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated so that sources meet their target shares."""
+    """Documents are dropped or repeated so that sources, the null source among them, meet their target shares."""
     return mixing.mixed_documents(docs)
 
 
@@ -41,7 +41,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot express expectation-maximisation or weighted sampling; tests/llm compares single operators with brute force, not the composed stages.
+#: SQL cannot express expectation-maximisation or weighted sampling; tests/llm compares run() with a brute-force composition of the stages.
 ORACLE_SQL = None
 
 
