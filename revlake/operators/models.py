@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import time
+from functools import reduce
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from revlake.operators.analysis import smallest_near_best, u_mass
 from revlake.functions.text import bigrams, clean_ascii, tokens
 
 
@@ -19,11 +25,33 @@ def terms(texts: DataFrame) -> DataFrame:
     return rows.withColumn("terms", F.concat("__w", bigrams(F.col("__w")))).drop("__w")
 
 
+def dealt(texts: DataFrame, cuts: list[float], seed: int = 42) -> DataFrame:
+    """Labelled rows with ``part``: each label's rows, ordered by a digest of the id, are cut at exactly these shares of them.
+
+    Rows are counted in 65,536 cells of the digest.  A cell that no cut divides goes to one part as a
+    whole; only the rows of divided cells, one cell a label and cut, are ranked.
+    """
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    rows = texts.filter("label is not null").withColumn("__h", digest).withColumn("__cell", F.substring("__h", 1, 4))
+    upto = Window.partitionBy("label").orderBy("__cell")
+    cells = rows.groupBy("label", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    cells = cells.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy("label")))
+
+    def part_of(position):
+        return sum((F.when(position > F.round(F.lit(c) * F.col("__all")), 1).otherwise(0) for c in cuts), F.lit(0))
+
+    cells = cells.withColumn("__first", part_of(F.col("__before") + 1)).withColumn("__last", part_of(F.col("__before") + F.col("__n")))
+    placed = rows.join(F.broadcast(cells.drop("__n")), ["label", "__cell"])  # 65,536 rows a label at most
+    order = Window.partitionBy("label", "__cell").orderBy("__h", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    whole = placed.filter(F.col("__first") == F.col("__last")).withColumn("part", F.col("__first"))
+    divided = placed.filter(F.col("__first") < F.col("__last")).withColumn("part", part_of(F.col("__before") + F.row_number().over(order)))
+    return whole.unionByName(divided).select(*texts.columns, "part")
+
+
 def split(texts: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Stratified by label: in each the ids with the least hashes train, exactly ``share`` of them."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    rows = texts.filter("label is not null").withColumn("__p", F.percent_rank().over(order))
-    return rows.filter(F.col("__p") < share).drop("__p"), rows.filter(F.col("__p") >= share).drop("__p")
+    """Training and test rows, stratified by label: ``share`` of each label's rows, rounded, train."""
+    rows = dealt(texts, [share], seed)
+    return rows.filter("part = 0").drop("part"), rows.filter("part = 1").drop("part")
 
 
 def first_of_text(train: DataFrame) -> DataFrame:
@@ -39,16 +67,66 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(counts.join(total)), "label").withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")  # a row per class
 
 
-def fit(train: DataFrame, kind: str = "lr", features: int = 30_000, min_df: int = 3) -> PipelineModel:
-    """``lr``, ``svc``, ``nb`` (multinomial) or ``cnb`` (complement), vectoriser included."""
-    model = {
-        "lr": lambda: LogisticRegression(featuresCol="features", weightCol="weight", regParam=0.001, standardization=False, maxIter=50),
-        "svc": lambda: LinearSVC(featuresCol="features", weightCol="weight", regParam=0.001, maxIter=50),
-        "nb": lambda: NaiveBayes(featuresCol="features", smoothing=1.0),
-        "cnb": lambda: NaiveBayes(featuresCol="features", modelType="complement", smoothing=1.0),
+def vocabulary(train: DataFrame, most: int = 30_000, least: int = 3) -> tuple[list[str], list[float]]:
+    """The ``most`` terms with the greatest corpus count (ties by term) of those in ``least`` documents, and their smooth idf.
+
+    A histogram of the counts, some hundred rows, tells how low the last place can lie; only terms above that are sorted.
+    """
+    found = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df")))
+    stats = train.select(F.inline(F.concat(found, once))).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).filter(F.col("df") >= least)
+    stats = stats.withColumn("__bin", F.floor(8 * F.log2("n"))).persist()
+    left, lowest = most, 0
+    for bin_, n in stats.groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("__bin")).collect():  # a row per eighth of a power of two
+        left, lowest = left - n, bin_
+        if left <= 0:
+            break
+    docs = train.count()
+    idf = F.ln((1 + F.lit(docs)) / (1 + F.col("df"))) + 1
+    chosen = stats.filter(F.col("__bin") >= lowest).orderBy(F.desc("n"), "term").limit(most).select("term", idf.alias("idf")).collect()  # ``most`` rows
+    stats.unpersist()
+    return [r.term for r in chosen], [r.idf for r in chosen]
+
+
+_VECTOR = StructType([StructField("x", VectorUDT())]).json()
+_PLAIN = "x struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+#: 1 + ln(tf) on the values of a sparse vector; as SQL, so that the step is saved with its pipeline.
+_SUBLINEAR = f"""SELECT * EXCEPT (__v), from_json(to_json(named_struct('x', named_struct('type', __v.type, 'size', __v.size,
+  'indices', __v.indices, 'values', transform(__v.values, v -> 1 + ln(v))))), '{_VECTOR}').x AS __sub
+  FROM (SELECT *, from_json(to_json(named_struct('x', __tf)), '{_PLAIN}').x AS __v FROM __THIS__)"""
+
+
+def vectoriser(train: DataFrame, most: int = 30_000, least: int = 3) -> PipelineModel:
+    """``terms`` -> ``features``: sublinear tf times smooth idf, of unit length, as ``analysis.tfidf`` weighs them."""
+    terms_, idf = vocabulary(train, most, least)
+    if not terms_:
+        raise ValueError(f"no term occurs in {least} documents")
+    return PipelineModel([
+        CountVectorizerModel.from_vocabulary(terms_, inputCol="terms", outputCol="__tf"),
+        SQLTransformer(statement=_SUBLINEAR),
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__sub", outputCol="__idf"),
+        Normalizer(inputCol="__idf", outputCol="features"),
+    ])
+
+
+def classifier(kind: str, n: int, setting: float = 1.0):
+    """``lr``, ``svc``: ``setting`` is C, so that the penalty is 1 / (C * sum of weights); ``nb`` (multinomial), ``cnb`` (complement): alpha."""
+    penalty = 1 / (setting * max(n, 1))  # balanced weights sum to the number of rows
+    return {
+        "lr": lambda: LogisticRegression(weightCol="weight", regParam=penalty, standardization=False, maxIter=50),
+        "svc": lambda: LinearSVC(weightCol="weight", regParam=penalty, standardization=False, maxIter=50),
+        "nb": lambda: NaiveBayes(smoothing=setting),
+        "cnb": lambda: NaiveBayes(modelType="complement", smoothing=setting),
     }[kind]()
-    stages = [CountVectorizer(inputCol="terms", outputCol="__tf", minDF=min_df, vocabSize=features), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="features"), model]
-    return Pipeline(stages=stages).fit(balanced(train))
+
+
+def fit(train: DataFrame, kind: str = "lr", features: int = 30_000, min_df: int = 3, setting: float = 1.0) -> PipelineModel:
+    """Vectoriser and classifier, fitted on the same rows."""
+    made = vectoriser(train, features, min_df)
+    rows = made.transform(balanced(train)).persist()  # each iteration reads it
+    model = classifier(kind, rows.count(), setting).fit(rows)
+    rows.unpersist()
+    return PipelineModel([*made.stages, model])
 
 
 def score(model: PipelineModel, texts: DataFrame) -> DataFrame:
@@ -58,26 +136,173 @@ def score(model: PipelineModel, texts: DataFrame) -> DataFrame:
     return out.select("doc_id", "label", F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
 
 
-def fit_lda(rows: DataFrame, k: int, seed: int, passes: int = 10):
-    """Vocabulary (document frequency from 10 to half of the documents, no other limit) and the ``pyspark.mllib`` model's JVM object.
+def score_all(fitted: dict[str, PipelineModel], texts: DataFrame) -> DataFrame:
+    """Every row under every model, one below the other: model_name, doc_id, label, pred, proba."""
+    scored = [score(m, texts).withColumn("model_name", F.lit(name)) for name, m in fitted.items()]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def log_ratios(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """term, log_ratio: what a term says for class 1, from coefficients or from the difference of the classes' log probabilities."""
+    last = model.stages[-1]
+    if hasattr(last, "theta"):
+        theta = last.theta.toArray()
+        weights = theta[1] - theta[0]
+    else:
+        weights = last.coefficients.toArray()
+    return spark.createDataFrame([(t, round(float(w), 6)) for t, w in zip(model.stages[0].vocabulary, weights)], "term string, log_ratio double")
+
+
+def macro_f1(predictions: DataFrame, *by: str) -> DataFrame:
+    """macro_f1 over any number of classes by the columns ``by``; a class that is neither label nor prediction does not count, 0 where undefined."""
+    cells = predictions.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col("label").cast("int").alias("class"), F.lit(1).alias("l"), F.lit(0).alias("p")), F.struct(F.col("pred").cast("int").alias("class"), F.lit(0).alias("l"), F.lit(1).alias("p")))
+    rows = cells.withColumn("__hit", (F.col("label") == F.col("pred")).cast("int")).select(*by, "n", "__hit", F.inline(sides))
+    per = rows.groupBy(*by, "class").agg(F.sum(F.col("n") * F.col("__hit") * F.col("l")).alias("tp"), F.sum(F.col("n") * F.col("l")).alias("n_label"), F.sum(F.col("n") * F.col("p")).alias("n_pred"))
+    f1 = 2 * F.col("tp") / (F.col("n_label") + F.col("n_pred"))
+    return per.groupBy(*by).agg(F.round(F.avg(f1), 6).alias("macro_f1"))
+
+
+def class_metrics(predictions: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of each class; 0 where undefined."""
+    hit = F.col("label") == F.col("pred")
+    sides = predictions.select(F.explode(F.array(F.struct(F.col("label").alias("class"), F.lit(True).alias("l"), hit.alias("hit")), F.struct(F.col("pred").alias("class"), F.lit(False).alias("l"), hit.alias("hit")))).alias("x")).select("x.*")
+    per = sides.groupBy("class").agg(F.count_if("l").alias("support"), F.count_if(~F.col("l")).alias("n_pred"), F.count_if(F.col("l") & F.col("hit")).alias("tp"))
+    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    tp, n_label, n_pred = map(F.col, ("tp", "support", "n_pred"))
+    return per.select("class", "support", ratio(tp, n_pred).alias("precision"), ratio(tp, n_label).alias("recall"), ratio(2 * tp, n_label + n_pred).alias("f1"))
+
+
+def cv_grid(train: DataFrame, grid: dict[str, list[float]], folds: int = 5, seed: int = 42, min_df: int = 3) -> DataFrame:
+    """Macro-F1 on held-out and training rows, over stratified folds: one row per model and setting, as ``analysis.one_se_choice`` takes them.
+
+    The vectoriser is fitted anew on each fold's training rows.
+    """
+    rows = dealt(train, [i / folds for i in range(1, folds)], seed).persist()
+    found = []
+    for fold in range(folds):
+        kept = balanced(rows.filter(F.col("part") != fold))
+        made = vectoriser(kept, least=min_df)
+        parts = made.transform(kept).persist(), made.transform(rows.filter(F.col("part") == fold)).persist()
+        n = parts[0].count()
+        for kind, settings in grid.items():
+            for setting in settings:
+                model = classifier(kind, n, setting).fit(parts[0])
+                test, own = (macro_f1(model.transform(p).select("label", F.col("prediction").cast("int").alias("pred"))).first() for p in (parts[1], parts[0]))
+                found.append((kind, float(setting), fold, test.macro_f1, own.macro_f1))
+        for p in parts:
+            p.unpersist()
+    rows.unpersist()
+    table = train.sparkSession.createDataFrame(found, "model_name string, complexity double, fold int, test double, train double")
+    means = table.groupBy("model_name", "complexity").agg(F.round(F.avg("test"), 6).alias("mean_score"), F.round(F.stddev_pop("test"), 6).alias("std_score"), F.round(F.avg("train"), 6).alias("train_score"))
+    return means.withColumn("gap", F.round(F.col("train_score") - F.col("mean_score"), 6))
+
+
+def dedup_impact(texts: DataFrame, kinds: tuple[str, ...] = ("nb", "cnb"), seed: int = 42) -> DataFrame:
+    """Test macro-F1 of models fitted with and without the training rows' repeated texts, and the seconds of each fit."""
+    train, test = split(texts, seed=seed)
+    found = []
+    for deduplicated, rows in ((False, train), (True, first_of_text(train))):
+        n = rows.count()
+        for kind in kinds:
+            began = time.monotonic()
+            model = fit(rows, kind)
+            seconds = time.monotonic() - began
+            found.append((kind, deduplicated, n, macro_f1(score(model, test)).first().macro_f1, seconds))
+    return texts.sparkSession.createDataFrame(found, "model_name string, deduplicated boolean, n_train long, macro_f1 double, fit_seconds double")
+
+
+def calibrated(train: DataFrame, texts: DataFrame, kind: str = "svc", folds: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, label, pred, proba of a margin model: a logistic curve over margins of rows that the fold's model has not seen."""
+    margin = lambda m, rows: m.transform(rows).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"), array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
+    rows = dealt(train, [i / folds for i in range(1, folds)], seed).persist()
+    unseen = reduce(DataFrame.unionByName, (margin(fit(rows.filter(F.col("part") != fold), kind), rows.filter(F.col("part") == fold)) for fold in range(folds)))
+    curve = LogisticRegression().fit(unseen)
+    rows.unpersist()
+    return curve.transform(margin(fit(train, kind), texts)).select("doc_id", "label", "pred", F.round(vector_to_array("probability")[1], 4).alias("proba"))
+
+
+def three_class(texts: DataFrame, seed: int = 42) -> DataFrame:
+    """Measures of each class (``label`` 0, 1, 2) on test rows, by one margin model per class against the others."""
+    train, test = split(texts, seed=seed)
+    train = balanced(first_of_text(train))
+    made = vectoriser(train)
+    rows = made.transform(train).persist()
+    model = OneVsRest(classifier=classifier("svc", rows.count()), weightCol="weight").fit(rows.withColumn("label", F.col("label").cast("double")))
+    scored = model.transform(made.transform(test)).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+    return class_metrics(scored)
+
+
+def reload_check(model: PipelineModel, texts: DataFrame, path: str) -> DataFrame:
+    """Saves the model, reads it back and counts rows, and rows that the two score alike."""
+    model.write().overwrite().save(path)
+    again = score(PipelineModel.load(path), texts).select("doc_id", F.col("pred").alias("pred2"), F.col("proba").alias("proba2"))
+    both = score(model, texts).join(again, "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("pred") == F.col("pred2")) & F.col("proba").eqNullSafe(F.col("proba2"))).alias("n_same"))
+
+
+def error_sheet(predictions: DataFrame, previous: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
+    """Work-sheet: of each model ``n`` wrongly predicted rows by a digest of the id, least first, with the labels that people have given before."""
+    wrong = predictions.filter("label <> pred").withColumn("__h", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary")))
+    order = Window.partitionBy("model_name").orderBy("__h", "doc_id")
+    chosen = wrong.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).drop("__h")
+    return chosen.join(previous.select("doc_id", "cause"), "doc_id", "left").select("model_name", "rank", "doc_id", "label", "pred", "cause")
+
+
+def scoring_sanity(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """By model: rows, share predicted negative, and agreement with the labels where there are any."""
+    rows = scores.join(labels, "id", "left")
+    return rows.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("pred") == 0).cast("double")), 6).alias("neg_pct"), F.round(100 * F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("agreement_pct"))
+
+
+def lda_vectors(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """Vocabulary (document frequency from 10 to half of the documents, no other limit) and count vectors."""
+    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=10, maxDF=0.5, vocabSize=2**31 - 1).fit(rows)
+    return counter.vocabulary, counter.transform(rows).select("features")
+
+
+def lda_model(vectors: DataFrame, k: int, seed: int, passes: int = 10):
+    """The JVM object of the ``pyspark.mllib`` model of these count vectors.
 
     Every pass visits every document once.  ``pyspark.ml`` cannot do so: it draws documents with replacement,
     and at a rate of 1 misses 37 % of them in each pass, so the optimizer is set up here.
     """
-    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=10, maxDF=0.5, vocabSize=2**31 - 1).fit(rows)
-    vectors = counter.transform(rows).select("features").persist()  # each pass reads it
-    jvm = rows.sparkSession.sparkContext._jvm.org.apache.spark
+    jvm = vectors.sparkSession.sparkContext._jvm.org.apache.spark
     optimizer = jvm.mllib.clustering.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setTau0(1024.0).setKappa(0.51).setOptimizeDocConcentration(True)
     lda = jvm.mllib.clustering.LDA().setK(k).setSeed(seed).setMaxIterations(passes).setOptimizer(optimizer)
-    numbered = getattr(getattr(jvm.ml.clustering, "LDA$"), "MODULE$").getOldDataset(vectors._jdf, "features")
-    model = lda.run(numbered)
+    return lda.run(getattr(getattr(jvm.ml.clustering, "LDA$"), "MODULE$").getOldDataset(vectors._jdf, "features"))
+
+
+def fit_lda(rows: DataFrame, k: int, seed: int, passes: int = 10):
+    """Vocabulary and model of ``terms``."""
+    vocabulary_, vectors = lda_vectors(rows)
+    vectors = vectors.persist()  # each pass reads it
+    model = lda_model(vectors, k, seed, passes)
     vectors.unpersist()
-    return counter.vocabulary, model
+    return vocabulary_, model
+
+
+def described(vocabulary_: list[str], model, top: int) -> list[tuple[int, int, str, float]]:
+    """(topic, rank, term, weight) of each topic's first terms."""
+    topics = [(t, list(x._1()), list(x._2())) for t, x in enumerate(model.describeTopics(top))]
+    return [(t, rank, vocabulary_[i], float(w)) for t, at, weights in topics for rank, (i, w) in enumerate(zip(at, weights), 1)]
 
 
 def lda_topics(texts: DataFrame, k: int = 5, top: int = 10, seed: int = 42) -> DataFrame:
     """Top terms of each topic."""
-    vocabulary, model = fit_lda(texts.select(tokens(clean_ascii(F.col("text"))).alias("terms")), k, seed)
-    described = [(t, list(x._1()), list(x._2())) for t, x in enumerate(model.describeTopics(top))]
-    rows = [(t, rank, vocabulary[i], float(w)) for t, at, weights in described for rank, (i, w) in enumerate(zip(at, weights), 1)]
+    rows = described(*fit_lda(texts.select(tokens(clean_ascii(F.col("text"))).alias("terms")), k, seed), top)
     return texts.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double").withColumn("weight", F.round("weight", 6))
+
+
+def lda_sweep(texts: DataFrame, ks: range = range(5, 13), top: int = 10, seed: int = 42) -> DataFrame:
+    """k, coherence (u_mass, mean over the topics), chosen: the least k within 0.005 of the best coherence.
+
+    The documents are read once for all topics of all models.
+    """
+    vocabulary_, vectors = lda_vectors(texts.select(tokens(clean_ascii(F.col("text"))).alias("terms")))
+    vectors = vectors.persist()  # each pass of each model reads it
+    rows = [(1000 * k + t, rank, term) for k in ks for t, rank, term, _ in described(vocabulary_, lda_model(vectors, k, seed), top)]
+    vectors.unpersist()
+    scores = u_mass(texts, texts.sparkSession.createDataFrame(rows, "topic int, rank int, term string"))
+    means = scores.groupBy(F.floor(F.col("topic") / 1000).cast("int").alias("k")).agg(F.round(F.avg("u_mass"), 6).alias("coherence"))
+    return means.join(F.broadcast(smallest_near_best(means).select(F.col("k").alias("chosen_k"))), F.lit(True)).select("k", "coherence", (F.col("k") == F.col("chosen_k")).alias("chosen"))  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlake.functions import normalise as N
 from revlake.functions import text as T
 from revlake.operators import analysis as X
-from revlake.operators import dictionary, evaluation, marts, release, serving, topics, warehouse
+from revlake.operators import dictionary, evaluation, marts, models, release, serving, topics, warehouse
 from revlake.plans.registry import _ACTUAL, _MONTHLY, _PAIRS, _PRED, _R, _S, _T, _TOK, _VER, _VERSION, _Z, FROM, TO, Frames, _kpi, _pct, _r2, _with
 from revlake.sources import files
 
@@ -113,6 +113,7 @@ QUERIES = {
     "top_features": (lambda f: X.top_features(dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "select * exclude (s) from (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term, log_ratio, s from (select 'positive' as class, term, log_ratio, log_ratio as s from nb union all select 'negative', term, log_ratio, -log_ratio from nb)) where rank <= 20")),
     "artifact_audit": (lambda f: X.artifact_audit(X.top_features(dictionary.nb_counts(f.texts))), _with(_TOK, _NB, "k as (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term from (select 'positive' as class, term, log_ratio as s from nb union all select 'negative', term, -log_ratio from nb) qualify rank <= 20)", "select class, count(*) as n, count(*) filter (where regexp_matches(term, '[0-9]')) as with_digit, count(*) filter (where regexp_matches(term, '[^a-z0-9 ]')) as with_mark, count(*) filter (where list_contains(list_transform(string_split(term, ' '), lambda x: length(x)), 1)) as with_letter from k group by 1")),
     "predict": (lambda f: X.predict(f.docs, dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "h as (select doc_id, sum(log_ratio) as s, count(*) as n from (select doc_id, unnest(w) as term from tok) join nb using (term) group by 1)", "p as (select d.doc_id, coalesce(s, 0) as s, coalesce(n, 0) as n, 1 / (1 + exp(-greatest(-700.0::double, least(700.0::double, coalesce(s, 0))))) as p from documents d left join h using (doc_id))", "select doc_id, n as n_known, (s >= 0)::int as pred, round(greatest(p, 1 - p), 4) as confidence from p")),
+    "error_sheet": (lambda f: models.error_sheet(_rules(f), f.labels.filter("toxic = 1").select("doc_id", F.lit("toxic").alias("cause")), 50), f"with {_TEXTS}, {_RULES}, k as (select *, row_number() over (partition by model_name order by md5(doc_id::varchar || ':42'), doc_id) as rank from rules where label <> pred qualify rank <= 50) select model_name, rank, k.doc_id, label, pred, case when l.toxic = 1 then 'toxic' end as cause from k left join labels l on l.doc_id = k.doc_id"),
     "tfidf_exact": (lambda f: X.tfidf(f.docs), "with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+') as w from documents), t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d), c as (select doc_id, term, count(*) as tf from t group by 1, 2), s as (select term, count(*) as df, sum(tf) as n from c group by 1 having count(*) >= 3 order by n desc, encode(term) limit 30000), x as (select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents))::double / (1 + df)::double) + 1) as w from c join s using (term)) select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from x"),
     # topics
     "keyword_lift": (_lifted, _with(_TOK, _TERMS1, _LIFT, "select * from lift")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlake.functions import text as T
-from revlake.operators import dictionary, evaluation, explore, marts, models, release, serving, topics
+from revlake.operators import analysis, dictionary, evaluation, explore, marts, models, release, serving, topics
 from revlake.sources import adapters as A
 from revlake.streaming import windows
 
@@ -119,9 +119,29 @@ def _dual(f: Frames) -> DataFrame:
     return f.by_version.select("versi_minor", F.col("n").alias("n_pred"), F.col("neg").alias("neg_pred")).join(actual.select("versi_minor", F.col("n").alias("n_actual"), F.col("neg").alias("neg_actual")), "versi_minor", "left")
 
 
-def _classified(f: Frames, kind: str) -> DataFrame:
+def _parts(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """Training rows, each text once, and test rows."""
     train, test = models.split(models.terms(f.texts))
-    return models.score(models.fit(models.first_of_text(train), kind), test)
+    return models.first_of_text(train), test
+
+
+def _fitted(f: Frames, kind: str):
+    return models.fit(_parts(f)[0], kind)
+
+
+def _classified(f: Frames, kind: str) -> DataFrame:
+    return models.score(_fitted(f, kind), _parts(f)[1])
+
+
+def _score_all(f: Frames) -> DataFrame:
+    """All rows, labelled or not, under all models."""
+    return models.score_all({kind: _fitted(f, kind) for kind in ("lr", "svc", "nb", "cnb")}, models.terms(f.texts))
+
+
+def _three(f: Frames) -> DataFrame:
+    """Toxic texts are class 0, others of low quality 1, of high quality 2."""
+    label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return f.docs.join(f.labels.select("doc_id", label.alias("label")), "doc_id", "left")
 
 
 def _keywords(f: Frames) -> DataFrame:
@@ -204,6 +224,16 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "svc_scores": (lambda f: _classified(f, "svc"), None),
     "cnb_scores": (lambda f: _classified(f, "cnb"), None),
     "lda_topics": (lambda f: models.lda_topics(f.docs), None),
+    "lda_sweep": (lambda f: models.lda_sweep(f.docs), None),
+    "score_all": (lambda f: _score_all(f), None),
+    "model_features": (lambda f: analysis.top_features(models.log_ratios(_fitted(f, "cnb"), f.spark)), None),
+    "cv_grid": (lambda f: models.cv_grid(models.first_of_text(models.split(models.terms(f.texts))[0]), {"nb": [0.1, 0.5, 1.0], "cnb": [0.1, 1.0], "lr": [1.0]}), None),
+    "dedup_impact": (lambda f: models.dedup_impact(models.terms(f.texts)).drop("fit_seconds"), None),
+    "svc_calibrated": (lambda f: models.calibrated(*_parts(f)), None),
+    "three_class": (lambda f: models.three_class(models.terms(_three(f))), None),
+    "stratified_split": (lambda f: models.dealt(f.texts, [0.8]).select("doc_id", "label", "part"), "with t as (select doc_id, quality as label, row_number() over (partition by quality order by md5(doc_id::varchar || ':42'), doc_id) as pos, count(*) over (partition by quality) as n from documents join labels using (doc_id) where quality is not null) select doc_id, label, (pos > round(0.8::double * n))::int as part from t"),
+    "stratified_folds": (lambda f: models.dealt(f.texts, [0.2, 0.4, 0.6, 0.8]).select("doc_id", "label", "part"), "with t as (select doc_id, quality as label, row_number() over (partition by quality order by md5(doc_id::varchar || ':42'), doc_id) as pos, count(*) over (partition by quality) as n from documents join labels using (doc_id) where quality is not null) select doc_id, label, (pos > round(0.2::double * n))::int + (pos > round(0.4::double * n))::int + (pos > round(0.6::double * n))::int + (pos > round(0.8::double * n))::int as part from t"),
+    "scoring_sanity": (lambda f: models.scoring_sanity(f.s.select(F.col("review_id").alias("id"), "model_name", F.col("pred_label").alias("pred")), f.r.select("id", F.col("sentimen_aktual").alias("label"))), _with(_R, _S, "select model_name, count(*) as n, round(100.0::double * avg((c.pred_label = 0)::int), 6) as neg_pct, round(100.0::double * avg((c.pred_label = r.sentimen_aktual)::int), 6) as agreement_pct from scores c left join reviews r on r.id = c.review_id group by 1")),
 }
 
 
