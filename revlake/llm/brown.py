@@ -18,8 +18,10 @@ Scores.  P(w | before) = P(class | class before) * P(w | class).  Transitions ar
 ``BACKOFF`` counts of the class unigram, emissions with ``ADD`` for each word of the class and
 one unseen word.  A text begins after an end.  Logarithms are decimal.
 
-Counts and classes of the most frequent words, ``COMMON`` at most, travel to the executors as a map;
-the words it lacks are joined to the table of words, so every count and class is exact.
+Texts are split twice: for the counts of words, and to be written as codes, by the rank of the most
+frequent words, ``COMMON`` at most, beside the words that are not among them.  All later passes read
+codes.  Counts and classes of the frequent words travel to the executors as arrays; all other words
+are joined to the table of words, so every count and class is exact.
 
 Rows: null is the empty text, which is one end.  Rows with a null doc_id are held out or not by
 the empty string.  Repeated rows are rows of their own (and train as often); an empty table
@@ -51,6 +53,8 @@ HELD = 400_000
 #: Tokens whose pairs a task counts before it hands them on.
 LINE = 2_000_000
 END = ITEMS + ENDINGS  # the item of the end of a text; ITEMS + h are the endings
+#: Codes of a coded text: 0 is the end, 1 + h a word outside the common ones whose ending is h, FIRST + r the common word of rank r.
+FIRST = 1 + ENDINGS
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -110,79 +114,102 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
+def coded(docs: DataFrame, common) -> DataFrame:
+    """doc_id, held_out, codes (32-bit, little endian, the end last) and the words that are not common, in order: what later passes read instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = {w: FIRST + r for r, w in enumerate(common.value)}.get
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                lines, rare = [], []
+                for text in part.column(2):
+                    words = tokens(text.as_py())
+                    line = [code(w) or 1 + last_bytes(w) for w in words]
+                    rare.append([w for w, c in zip(words, line) if c < FIRST])
+                    line.append(0)
+                    lines.append(np.array(line, "<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "held_out", "codes", "rare"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, codes binary, rare array<binary>")
+
+
 def _label_pairs(train: DataFrame, labels, size: int) -> np.ndarray:
-    """Counts of neighbouring labels over all training tokens; ``labels`` has the label of some words, of each ending, and of the end."""
+    """Counts of neighbouring labels over all training tokens of coded texts; ``labels`` has the label of each code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of, end = labels.value
-        total, line = np.zeros(size * size, np.int64), [end]
+        of = labels.value
+        total, held, n = np.zeros(size * size, np.int64), [], 0
 
         def add():
-            x = np.array(line, np.int64)
+            x = of[np.concatenate([[0], np.frombuffer(b"".join(held), "<i4")])]  # the end stands before the first text
             at, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
             total[at] += n
-            line[:] = [end]
+            held.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                line.extend(known[w] if w in known else of[last_bytes(w)] for w in tokens(text.as_py()))
-                line.append(end)
-                if len(line) > LINE:
+            for codes in batch.column(0):
+                held.append(codes.as_py())
+                n += len(held[-1]) // 4
+                if n > LINE:
                     add()
+                    n = 0
         add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
-    found = train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
+    found = train.select("codes").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
     pairs = np.zeros((size, size))
     pairs[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
     return pairs
 
 
-def neighbours(train: DataFrame, wanted: DataFrame, labels) -> DataFrame:
+def neighbours(train: DataFrame, wanted: DataFrame, common, labels, seeds: int) -> DataFrame:
     """word, codes, ns: how often each class stands after the words wanted (code = class), before them (CLASSES + 1 more), and the word itself after them (the code after those).
 
-    ``labels`` has the class of each seed, of each ending, and of the end; seeds have no entries.
+    ``train`` are coded texts, ``common`` the common words by rank, ``labels`` has the class of each code; the first ``seeds`` words have no entries.
     """
     k = CLASSES + 1
+    width = 2 * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of, end = labels.value
-        seen: dict[bytes, int] = {}
-        line, who = [end], [-1]
+        words, of = common.value, labels.value
+        held, rare, n = [], [], 0
 
         def rows():
-            x, w = np.array(line, np.int64), np.array(who, np.int64)
-            at = np.flatnonzero(w >= 0)
-            width = 2 * k + 1
-            same = at[w[at] == w[at + 1]]
-            cells, n = np.unique(np.concatenate([w[at] * width + x[at + 1], w[at] * width + k + x[at - 1], w[same] * width + 2 * k]), return_counts=True)
-            words = pa.array(list(seen), pa.binary())
-            for first in range(0, len(seen), 50_000):
-                last = min(first + 50_000, len(seen))
-                a, b = np.searchsorted(cells, (first * width, last * width))
-                starts = pa.array(np.searchsorted(cells[a:b], np.arange(first, last + 1) * width).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([words[first:last], pa.ListArray.from_arrays(starts, pa.array((cells[a:b] % width).astype(np.int32))), pa.ListArray.from_arrays(starts, pa.array(n[a:b]))], names=["word", "codes", "ns"])
+            line = np.concatenate([[0], np.frombuffer(b"".join(held), "<i4")])
+            x = of[line]
+            seen: dict[bytes, int] = {}
+            who = np.where(line >= FIRST + seeds, line - FIRST, -1)
+            who[(line > 0) & (line < FIRST)] = [seen.setdefault(w, len(words) + len(seen)) for w in rare]
+            at = np.flatnonzero(who >= 0)
+            w = who[at]
+            same = w[w == who[at + 1]]
+            cells, ns = np.unique(np.concatenate([w * width + x[at + 1], w * width + k + x[at - 1], same * width + 2 * k]), return_counts=True)
+            others = list(seen)
+            ids, starts = np.unique(cells // width, return_index=True)
+            starts = np.append(starts, len(cells))
+            for first in range(0, len(ids), 50_000):
+                last = min(first + 50_000, len(ids))
+                a, b = starts[first], starts[last]
+                lists = pa.array((starts[first : last + 1] - a).astype(np.int32))
+                named = pa.array([words[i] if i < len(words) else others[i - len(words)] for i in ids[first:last].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([named, pa.ListArray.from_arrays(lists, pa.array((cells[a:b] % width).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(ns[a:b]))], names=["word", "codes", "ns"])
+            held.clear()
+            rare.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                for w in tokens(text.as_py()):
-                    if w in known:
-                        line.append(known[w])
-                        who.append(-1)
-                    else:
-                        line.append(of[last_bytes(w)])
-                        who.append(seen.setdefault(w, len(seen)))
-                line.append(end)
-                who.append(-1)
-                if len(line) > LINE or len(seen) > HELD:
+            for codes, more in zip(batch.column(0), batch.column(1)):
+                held.append(codes.as_py())
+                rare.extend(more.as_py())
+                n += len(held[-1]) // 4
+                if n > LINE or len(rare) > HELD:
                     yield from rows()
-                    seen.clear()
-                    line[:], who[:] = [end], [-1]
-        if seen:
+                    n = 0
+        if held:
             yield from rows()
 
-    found = train.select("text").mapInArrow(run, "word binary, codes array<int>, ns array<long>").join(wanted.select("word"), "word")
+    found = train.select("codes", "rare").mapInArrow(run, "word binary, codes array<int>, ns array<long>").join(wanted.select("word"), "word")
     cells = found.select("word", F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("word", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n"))
     return cells.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
 
@@ -341,7 +368,8 @@ class Model:
     classes: np.ndarray  # of items; those of the endings hold for words that were never seen
     transition: np.ndarray  # log10
     emission_total: np.ndarray  # log10 of each class's denominator
-    common: dict[bytes, tuple[int, int]]  # word -> (count, class)
+    common_n: np.ndarray  # of the common words by rank, as the next
+    common_class: np.ndarray
     n_tokens: int
     n_distinct: int
     n_ends: int
@@ -349,24 +377,39 @@ class Model:
 
 def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     """Table of words (word, n, class) and the model."""
-    context = train.sparkSession.sparkContext
-    counts = written(word_counts(train), "brown-words")
-    n_ends = train.count()
+    return _fitted(train.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"))[:2]
+
+
+def _fitted(docs: DataFrame) -> tuple[DataFrame, Model, DataFrame]:
+    """Table of words and model, learned from what is not held out, and all coded texts."""
+    context = docs.sparkSession.sparkContext
+    counts = written(word_counts(docs.filter("not held_out")), "brown-words")
     common = frequent(counts, COMMON)
-    seeds = {w: k for k, (w, _) in enumerate(common[:ITEMS])}
-    pairs = _label_pairs(train, context.broadcast((seeds, list(range(ITEMS, END)), END)), END + 1)
+    words = context.broadcast([w for w, _ in common])  # COMMON at most
+    every = written(coded(docs, words), "brown-coded")
+    train = every.filter("not held_out")
+    n_ends = train.count()
+    n_seeds = min(ITEMS, len(common))
+    rank = {w: r for r, (w, _) in enumerate(common)}
+    of_common = np.array([last_bytes(w) for w, _ in common], np.int64)  # their endings
+
+    def by_code(end: int, endings: np.ndarray, of_ranks: np.ndarray):
+        return context.broadcast(np.concatenate([[end], endings, of_ranks]).astype(np.int64))
+
+    items = np.concatenate([np.arange(n_seeds), ITEMS + of_common[n_seeds:]])
+    pairs = _label_pairs(train, by_code(END, np.arange(ITEMS, END), items), END + 1)
     of = exchange(pairs, CLASSES, SWEEPS)
     member = np.eye(CLASSES + 1)[of]
     of_endings = of[ITEMS:END]
-    seeds = {w: int(of[k]) for w, k in seeds.items()}
-    labels = context.broadcast((seeds, of_endings.tolist(), CLASSES))
-    near = written(neighbours(train, counts.filter(F.col("n") >= LEAST), labels), "brown-neighbours")
+    seeds = {w: int(of[k]) for k, (w, _) in enumerate(common[:n_seeds])}
+    near = written(neighbours(train, counts.filter(F.col("n") >= LEAST), words, by_code(CLASSES, of_endings, of[items]), n_seeds), "brown-neighbours")
     after = moved(near, member.T @ pairs @ member, of_endings)
     counts = written(_classed(counts.join(after, "word", "left"), seeds, of_endings), "brown-words-classed")
     least = common[-1][1] if common else math.inf
     in_common = counts.filter(F.col("n") >= least).select("word", "class").toArrow()  # COMMON rows at most
-    class_of = dict(zip(in_common.column("word").to_pylist(), in_common.column("class").to_pylist()))
-    between = _label_pairs(train, context.broadcast((class_of, of_endings.tolist(), CLASSES)), CLASSES + 1)
+    common_class = np.zeros(len(common), np.int64)
+    common_class[[rank[w] for w in in_common.column("word").to_pylist()]] = in_common.column("class").to_numpy()
+    between = _label_pairs(train, by_code(CLASSES, of_endings, common_class), CLASSES + 1)
     n_class, distinct_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()  # one row per class
     for r in totals:
@@ -376,38 +419,38 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     transition = np.log10((between + BACKOFF * unigram) / (between.sum(1) + BACKOFF)[:, None])
     emission_total = np.log10(n_class + ADD * (distinct_class + 1))
     emission_total[CLASSES] = 0.0  # the end is all of its class
-    shared = {w: (n, class_of[w]) for w, n in common}
     n_words, n_distinct = sum(r["n"] for r in totals), sum(r["distinct"] for r in totals)
-    return counts, Model(of, transition, emission_total, shared, n_words + n_ends, n_distinct + (n_ends > 0), n_ends)
+    model = Model(of, transition, emission_total, np.array([n for _, n in common], np.float64), common_class, n_words + n_ends, n_distinct + (n_ends > 0), n_ends)
+    return counts, model, every
 
 
-def _partly_scored(docs: DataFrame, model) -> DataFrame:
-    """Scores without the words outside the common ones, which come along (``rare``, ``places``) with the classes of the text (``line``)."""
+def _partly_scored(every: DataFrame, model) -> DataFrame:
+    """Scores of coded texts without the words outside the common ones, which come along (``rare``, ``places``) with the classes of the text (``line``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        common, of = m.common, m.classes[-1 - ENDINGS : -1]  # of endings
+        end = len(m.transition) - 1
+        of = np.concatenate([[end], m.classes[-1 - ENDINGS : -1], m.common_class])  # by code
         base_end = np.log10((m.n_ends + 1) / (m.n_tokens + m.n_distinct + 1))
         base_total = np.log10(m.n_tokens + m.n_distinct + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows = []
-                for text in part.column(2):
-                    words = tokens(text.as_py())
-                    known = [common.get(w) for w in words]
-                    places = [p for p, k in enumerate(known) if k is None]
-                    rare = [words[p] for p in places]
-                    line = np.array([len(m.transition) - 1, *(k[1] if k else of[last_bytes(w)] for w, k in zip(words, known)), len(m.transition) - 1], np.int64)
-                    n = np.array([k[0] for k in known if k], np.float64)
+                for codes in part.column(2):
+                    x = np.frombuffer(codes.as_py(), "<i4")
+                    places = np.flatnonzero((x > 0) & (x < FIRST))
+                    line = np.concatenate([[end], of[x]])
+                    n = m.common_n[x[x >= FIRST] - FIRST]
                     # A text with rare words waits for their classes.
-                    score = np.log10(n + ADD).sum() + (0.0 if rare else _line_score(m, line))
-                    base = np.log10(n + 1).sum() - len(words) * base_total + base_end
-                    rows.append((len(words) + 1, len(n) + (m.n_ends > 0), float(base), float(score), rare, places, line.astype(np.uint8).tobytes() if rare else None))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "places", "line"])
-
-    given = docs.select("doc_id", "held_out", "text")
+                    score = np.log10(n + ADD).sum() + (0.0 if len(places) else _line_score(m, line))
+                    base = np.log10(n + 1).sum() - (len(x) - 1) * base_total + base_end
+                    rows.append((len(x), len(n) + (m.n_ends > 0), float(base), float(score), places.astype(np.int32), line.astype(np.uint8).tobytes() if len(places) else None))
+                *numbers, places, lines = zip(*rows)
+                columns = [pa.array(c, t) for c, t in zip(numbers, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, part.column(3), pa.array(places, pa.list_(pa.int32())), pa.array(lines, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "places", "line"])
+
+    given = every.select("doc_id", "held_out", "codes", "rare")
     return given.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, places array<int>, line binary")
 
 
@@ -435,9 +478,9 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row per document."""
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "text")
-    counts, model = fit(docs.filter("not held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # COMMON words at most
-    partly = written(_partly_scored(docs, shared).withColumn("row", F.monotonically_increasing_id()), "brown-partly")
+    counts, model, every = _fitted(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers of COMMON words at most
+    partly = written(_partly_scored(every, shared).withColumn("row", F.monotonically_increasing_id()), "brown-partly")
     rare = partly.select("row", F.explode(F.arrays_zip("rare", "places")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.places").alias("place"))
     # A word that is not in the table was never seen; n + 1 and n + ADD are then 1 and ADD.
     n = F.coalesce("n", F.lit(0)).cast("double")
