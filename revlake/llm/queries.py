@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import bpe, brown, chat, collocation, embeddings, minhash, mixing, pii, quality, sharding, tokencount
+from revlake.llm import bpe, brown, chat, clustering, collocation, embeddings, minhash, mixing, pii, quality, sharding, tokencount
 from revlake.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op11_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(documents(spark, sf_dir))
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -73,8 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_mixing": op10_mixing,
         "op11_collocation": op11_collocation,
+        "op12_clustering": op12_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE_SQL, "op8_sharding": sharding.oracle_sql(8), "op10_mixing": mixing.ORACLE_SQL, "op11_collocation": collocation.ORACLE_SQL}
+    return {
+        "op1_quality": quality.ORACLE_SQL,
+        "op8_sharding": sharding.oracle_sql(8),
+        "op10_mixing": mixing.ORACLE_SQL,
+        "op11_collocation": collocation.ORACLE_SQL,
+        "op12_clustering": clustering.ORACLE_SQL,
+    }
