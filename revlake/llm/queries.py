@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import bpe, brown, chat, clustering, collocation, embeddings, minhash, mixing, pii, quality, sharding, tokencount
+from revlake.llm import bpe, brown, chat, clustering, collocation, embeddings, minhash, mixing, pii, quality, secrets, sharding, tokencount
 from revlake.llm.common import documents
 
 
@@ -64,6 +64,10 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_collocation": op11_collocation,
         "op12_clustering": op12_clustering,
+        "op13_secrets": op13_secrets,
     }
 
 
