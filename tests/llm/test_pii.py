@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +126,15 @@ def test_added_spans_match_brute_force(make_docs):
     added = sum(len(s.split(",")) for s in got.values()) - sum(len(v) for t in texts for v in pii.base_spans(t).values())
     assert 0 < added < wide  # the classifier takes some and refuses some
     assert pii.redact(make_docs([])).collect() == []
+
+
+def test_runs_of_digits_take_linear_time():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["0" * rng.randrange(1, 9), "7", "25", ".", ".", ".", " "]) for _ in range(40))
+        assert pii.base_spans(text)["ip"] == brute(text)["ip"]
+    n = 1_000_000
+    for text in ("0" * n, "1." * (n // 2), "1.1.1 " * (n // 6), ("9" * (n // 4) + ".") * 4, "+1 " + " " * n):
+        began = time.perf_counter()
+        pii.strict_spans(text)
+        assert time.perf_counter() - began < 5
