@@ -59,22 +59,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def fold_slang(words: Column, table: dict[str, list[str]], noise: tuple[str, ...] = ()) -> Column:
-    """Drops noise and expands slang; after a form ``x-x...`` the next token equal to either half is skipped once."""
-    entries = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    lookup = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.array(F.lit("")))
-    drop = F.array(*map(F.lit, noise)).cast("array<string>")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("skip"))
-
-    def step(acc: Column, w: Column) -> Column:
-        made = F.when(F.array_contains(drop, w), F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at(lookup, w), F.array(w)))
-        halves = F.when(F.exists(made, lambda x: x.contains("-")), F.flatten(F.transform(made, lambda x: F.split(x, "-")))).otherwise(F.array().cast("array<string>"))
-        skip = F.array_contains(acc["skip"], w)
-        return F.struct(F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], made)).alias("out"), F.when(skip, F.array().cast("array<string>")).otherwise(halves).alias("skip"))
-
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
-
-
 def without(words: Column, stop: tuple[str, ...]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 

@@ -11,9 +11,9 @@ from revlake.functions.text import bigrams, clean_ascii, tokens
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Deals rows over the cores where a file is read by fewer tasks than there are cores: cleaning costs more than moving them."""
+    """Deals rows over the cores where the scan has fewer tasks than there are cores: cleaning costs more than moving them."""
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(cores) if len(texts.inputFiles()) < cores else texts
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
 
 
 def average_rank(column: str):

@@ -73,10 +73,6 @@ def _windows(f: Frames) -> DataFrame:
     return release.windows(marts.scored(f.r, f.s).withColumn("label", F.col("pred_label")), f.by_version)
 
 
-def _clean_rows(f: Frames) -> DataFrame:
-    return f.docs.select(F.col("doc_id").alias("id"), F.col("source").alias("nama_user"), F.col("text").alias("ulasan"), F.lit(4).alias("rating"), F.lit("2020-01-01").alias("tanggal"), F.lit(0).alias("likes"), F.lit("4.1.2").alias("versi_app"))
-
-
 _NWIN = "w as (select v.versi_minor, (count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0))::double as nb, (count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0 and pred_label = 0))::double as gb, (count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day))::double as na, (count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day and pred_label = 0))::double as ga from v join s on s.tanggal >= t0 - interval 28 day and s.tanggal < t0 + interval 28 day group by 1)"
 _KPI = _kpi("true")
 
@@ -85,8 +81,6 @@ QUERIES = {
     "language_words": (lambda f: T.language_counts(f.docs).groupBy("lang").agg(F.sum("n_words").alias("n_words"), F.sum("n_en").alias("n_en"), F.sum("n_id").alias("n_id"), F.count_if("is_english").alias("n_english")), "with w as (select lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') as w from documents), c as (select lang, len(w) as n, len(list_filter(w, lambda x: list_contains(string_split('the to and i a it is my of for you this not but that with be was are have they me your can so very in on at just when or if from no all what there more because too even after would will dont don''t cant can''t it''s i''m im their them our we us has had been than only also really still always never every', ' '), x))) as e, len(list_filter(w, lambda x: list_contains(string_split('dan yang di ke dari tidak ga gak nggak ngga gk tdk ini itu saya aku nya ada bisa sudah udah sangat banget tapi untuk dengan kalau kalo mau lagi juga sih aja saja jadi karena krn yg dgn sama buat kok deh dong apa kenapa mohon tolong belum blm masih harus', ' '), x))) as d from w) select lang, sum(n)::bigint as n_words, sum(e)::bigint as n_en, sum(d)::bigint as n_id, count(*) filter (where n >= 3 and e >= 2 and e > 2 * d) as n_english from c group by 1"),
     "phrase_rewrite": (lambda f: f.docs.select("doc_id", N.rewrite_phrases(F.lower(F.coalesce("text", F.lit("")))).alias("text")), None),
     "clean_adaptive": (lambda f: f.docs.select("doc_id", N.clean_adaptive(F.col("text")).alias("clean")), None),
-    "clean_table": (lambda f: N.clean_table(_clean_rows(f), {"th": ["the"], "er": ["error"]}, ("a",), ("the", "of")), None),
-    "stem_lookup": (lambda f: N.stems(f.docs, T.tokens(T.clean_ascii(F.col("text")))), _with(_TOK, "d as (select distinct unnest(w) as word from tok)", "a as (select word, regexp_replace(word, '(lah|kah|pun)$', '') as c from d)", "b as (select word, case when length(c) >= 4 then c else word end as x from a)", "c as (select word, x, regexp_replace(x, '(nya|ku|mu)$', '') as y from b)", "e as (select word, case when length(y) >= 4 then y else x end as x from c)", "g as (select word, x, regexp_replace(x, '(kan|an|i)$', '') as y from e)", "h as (select word, case when length(y) >= 4 then y else x end as x from g)", "k as (select word, x, regexp_replace(x, '^(meng|meny|mem|men|me|peng|peny|pem|pen|pe|ber|di|ter|ke|se)', '') as y from h)", "o(word, s) as (values " + _values(N.STEM_OVERRIDE.items()) + ")", "select k.word, coalesce(o.s, case when length(y) >= 4 then y else x end) as stem from k left join o using (word)")),
     "sentences": (lambda f: f.docs.select("doc_id", F.posexplode(N.sentences(F.col("text"))).alias("pos", "sentence")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars")), "with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') as s from documents) select doc_id, len(s)::bigint as n, list_sum(list_transform(s, lambda x: length(x)))::bigint as chars from p where len(s) > 0"),
     "review_sample": (lambda f: N.review_sample(f.docs, f.labels, 25).select("doc_id", "text"), "select d.doc_id, text from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) order by md5('42:' || d.doc_id), d.doc_id limit 25"),
     # description

@@ -18,7 +18,6 @@ from revlake.streaming import windows
 FROM, TO = date(1996, 3, 15), date(1997, 11, 2)
 STOP = ("the", "of", "and", "to", "in", "de", "la", "der", "die", "und")
 PHRASES = ("of the", "in der", "de la", "the", "que", "no such phrase")
-SLANG = {"th": ["the"], "er": ["error"], "an": ["an-an"], "onth": ["on", "the"]}
 
 _R = """reviews as (select o_orderkey as id, substr(o_orderpriority, 1, 1)::int as rating, o_orderdate as tanggal,
   greatest(0, floor((o_totalprice - 300000) / 1000))::bigint as likes,
@@ -193,9 +192,8 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "release_chi2": (lambda f: release.chi_square(f.by_version).select(F.round("chi2", 4).alias("chi2"), "dof"), _with(_R, _S, _VER, "select round(sum((neg - e) * (neg - e) / e + (neg - e) * (neg - e) / (n - e)), 4) as chi2, count(*) - 1 as dof from (select n::double as n, neg::double as neg, n * (sum(neg) over ())::double / (sum(n) over ())::double as e from v)")),
     "release_windows": (lambda f: release.windows(marts.scored(f.r, f.s).withColumn("label", F.col("pred_label")), f.by_version), _with(_R, _S, _VER, "select v.versi_minor, count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0) as n_before, count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0 and pred_label = 0) as neg_before, count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day) as n_after, count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day and pred_label = 0) as neg_after from v join s on s.tanggal >= t0 - interval 28 day and s.tanggal < t0 + interval 28 day group by 1")),
     "release_composition": (lambda f: release.composition(f.pairs, f.r, _tests(f).filter("delta_pp > 0")), _with(_R, _S, _T, _PAIRS, _VER, _Z, "select kategori, nf as n_flagged, na as n_all, round(100.0::double * nf / nullif(sum(nf) over (), 0), 6) as pct_flagged, round(100.0::double * na / sum(na) over (), 6) as pct_all from (select kategori, count(z.versi_minor) as nf, count(*) as na from pairs p join reviews r on r.id = p.review_id left join z on z.versi_minor = r.versi_minor and z.delta_pp > 0 where p.pred_label = 0 group by 1)")),
-    "clean_ascii": (lambda f: f.docs.select("doc_id", T.clean_ascii(F.col("text")).alias("clean")), f"select doc_id, {_CLEAN} as clean from documents"),
+    "clean_ascii": (lambda f: topics.spread(f.docs).select("doc_id", T.clean_ascii(F.col("text")).alias("clean")), f"select doc_id, {_CLEAN} as clean from documents"),
     "clean_full": (lambda f: f.docs.select("doc_id", T.clean_full(F.col("text")).alias("clean")), None),
-    "slang_fold": (lambda f: f.docs.select("doc_id", F.array_join(T.fold_slang(T.tokens(T.clean_ascii(F.col("text"))), SLANG, ("a",)), " ").alias("folded")), None),
     "stopword_filter": (lambda f: f.docs.select("doc_id", F.array_join(T.without(T.tokens(T.clean_ascii(F.col("text"))), STOP), " ").alias("kept")), _with(_TOK, f"select doc_id, coalesce(array_to_string(list_filter(w, lambda x: x not in {STOP}), ' '), '') as kept from tok")),
     "language_flag": (lambda f: T.language_counts(f.docs).select("doc_id", "n_words", "n_en", "n_id", "is_english"), f"select *, n_words >= 3 and n_en >= 2 and n_en > 2 * n_id as is_english from (select doc_id, len(w)::bigint as n_words, len(list_filter(w, lambda x: list_contains(string_split('the to and i a it is my of for you this not but that with be was are have they me your can so very in on at just when or if from no all what there more because too even after would will dont don''t cant can''t it''s i''m im their them our we us has had been than only also really still always never every', ' '), x)))::bigint as n_en, len(list_filter(w, lambda x: list_contains(string_split('dan yang di ke dari tidak ga gak nggak ngga gk tdk ini itu saya aku nya ada bisa sudah udah sangat banget tapi untuk dengan kalau kalo mau lagi juga sih aja saja jadi karena krn yg dgn sama buat kok deh dong apa kenapa mohon tolong belum blm masih harus', ' '), x)))::bigint as n_id from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') as w from documents))"),
     "token_counts": (lambda f: topics.ngram_top(f.docs, 1, 500), _with(_TOK, "select term, count(*) as freq, count(distinct doc_id) as n_dokumen from (select doc_id, unnest(w) as term from tok) group by 1 order by freq desc, term limit 500")),
@@ -238,9 +236,9 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
 
 
 def _all() -> dict[str, tuple[Callable[[Frames], DataFrame], str | None]]:
-    from revlake.plans import more
+    from revlake.plans import more, words
 
-    return QUERIES | more.QUERIES
+    return QUERIES | more.QUERIES | words.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from revlake.functions import text as T
 from revlake.functions.expr import half_up, normal_upper, version_key
-from revlake.operators import explore, marts, release, serving, topics
+from revlake.operators import explore, lexicon, marts, release, serving, topics
 from revlake.sources import adapters
 
 REVIEWS = "id long, rating int, tanggal timestamp, likes long, versi_app string, versi_minor string, sentimen_aktual int"
@@ -68,8 +68,9 @@ def test_text(spark):
     assert one(T.clean_ascii(F.lit("Lihat https://a.b/c @dia #tag BAGUS!!  café 123"))) == "lihat bagus caf"
     assert one(T.clean_full(F.lit("jahatt mudahh bill sooooo"))) == "jahat mudah bill so"
     assert one(T.tokens(F.lit(""))) == [] and one(T.clean_ascii(F.lit(None).cast("string"))) == ""
-    table = {"gara": ["gara-gara"], "gabisa": ["tidak", "bisa"]}
-    assert one(T.fold_slang(F.split(F.lit("gara gara gabisa x noise"), " "), table, ("noise",))) == ["gara-gara", "tidak", "bisa", "x"]
+    table = spark.createDataFrame([("gara", ["gara-gara"]), ("gabisa", ["tidak", "bisa"]), ("noise", [])], "token string, words array<string>")
+    rows = spark.createDataFrame([(1, "gara gara gabisa x noise".split())], "id int, w array<string>")
+    assert lexicon.folded(lexicon.attach(rows, "id", "w", table, "words", "e"), "w", "e", "out").first().out == ["gara-gara", "tidak", "bisa", "x"]
     assert one(T.bigrams(F.split(F.lit("a b c"), " "))) == ["a b", "b c"]
     flagged = T.language_counts(spark.createDataFrame([("the app is good and it works",), ("good",), (None,)], "text string")).collect()
     assert [r.is_english for r in flagged] == [True, False, False]

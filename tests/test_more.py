@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions import normalise as N
 from revlake.operators import analysis as X
-from revlake.operators import dictionary, marts, serving, warehouse
+from revlake.operators import dictionary, lexicon, marts, serving, stemming, warehouse
 from revlake.plans import more
 from revlake.sources import adapters, files
 
@@ -38,7 +38,10 @@ def test_emoji_count_in_short_texts_only(spark):
 def test_a_single_text_goes_the_way_of_the_table(spark):
     row = (1, "n", "Pengemudinya tidak memuaskan, th lemot", 1, datetime(2024, 1, 1), 0, "5.11.2")
     raw = spark.createDataFrame([row], "id long, nama_user string, ulasan string, rating int, tanggal timestamp, likes int, versi_app string")
-    got = N.clean_table(raw, {"th": ["tahun"]}, stop=("tidak",)).first()
+    slang = spark.createDataFrame([("th", ["tahun"])], "token string, words array<string>")
+    stop = lexicon.stop_words(spark.createDataFrame([("tidak",)], "word string"), keep=())
+    roots = spark.createDataFrame([("tahun",)], "root string")
+    got = lexicon.clean_table(raw, slang, stop, lambda words: stemming.stem_words(words, roots)).first()
     assert (got.ulasan_normalized, got.ulasan_clean, got.versi_minor, got.word_count, got.sentimen_aktual) == ("pengemudinya tidak memuaskan tahun lemot", "pengemudi puas tahun lemot", "5.11", 5, 0)
     assert len(got) == 12
 
