@@ -41,3 +41,12 @@ _ERFC = np.vectorize(math.erfc, otypes=[float])
 def normal_upper(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal; SQL has no error function."""
     return pd.Series(_ERFC(z.to_numpy(float) / math.sqrt(2)) / 2).where(z.notna())
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of the logarithm of the gamma function for x > 0: six steps of its recurrence, then the asymptotic series."""
+    y = x + 6
+    series = F.ln(y) - 1 / (2 * y) - 1 / (12 * F.pow(y, 2)) + 1 / (120 * F.pow(y, 4)) - 1 / (252 * F.pow(y, 6))
+    for k in range(6):
+        series = series - 1 / (x + k)
+    return series

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from revlake.operators.analysis import smallest_near_best, u_mass
 from revlake.functions.text import bigrams, clean_ascii, tokens
+from revlake.operators import topicmodel
+from revlake.operators.analysis import dominant_topic, smallest_near_best, u_mass
 
 
 def terms(texts: DataFrame) -> DataFrame:
@@ -295,7 +296,7 @@ def lda_topics(texts: DataFrame, k: int = 5, top: int = 10, seed: int = 42) -> D
 
 
 def lda_sweep(texts: DataFrame, ks: range = range(5, 13), top: int = 10, seed: int = 42) -> DataFrame:
-    """k, coherence (u_mass, mean over the topics), chosen: the least k within 0.005 of the best coherence.
+    """k, c_v and u_mass (means over the topics), chosen: the least k whose c_v is within 0.005 of the best.
 
     The documents are read once for all topics of all models.
     """
@@ -303,6 +304,24 @@ def lda_sweep(texts: DataFrame, ks: range = range(5, 13), top: int = 10, seed: i
     vectors = vectors.persist()  # each pass of each model reads it
     rows = [(1000 * k + t, rank, term) for k in ks for t, rank, term, _ in described(vocabulary_, lda_model(vectors, k, seed), top)]
     vectors.unpersist()
-    scores = u_mass(texts, texts.sparkSession.createDataFrame(rows, "topic int, rank int, term string"))
-    means = scores.groupBy(F.floor(F.col("topic") / 1000).cast("int").alias("k")).agg(F.round(F.avg("u_mass"), 6).alias("coherence"))
-    return means.join(F.broadcast(smallest_near_best(means).select(F.col("k").alias("chosen_k"))), F.lit(True)).select("k", "coherence", (F.col("k") == F.col("chosen_k")).alias("chosen"))  # one row
+    chosen = texts.sparkSession.createDataFrame(rows, "topic int, rank int, term string")
+    return with_choice(coherences(texts, chosen))
+
+
+def coherences(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """k, c_v, u_mass: means over the topics of each model, whose numbers are 1000 k + topic."""
+    scores = topicmodel.c_v(topicmodel.words_of(texts), chosen).join(u_mass(texts, chosen).select("topic", "u_mass"), "topic")
+    return scores.groupBy(F.floor(F.col("topic") / 1000).cast("int").alias("k")).agg(F.round(F.avg("c_v"), 6).alias("c_v"), F.round(F.avg("u_mass"), 6).alias("u_mass"))
+
+
+def with_choice(means: DataFrame) -> DataFrame:
+    best = smallest_near_best(means.withColumnRenamed("c_v", "coherence")).select(F.col("k").alias("chosen_k"))
+    return means.join(F.broadcast(best), F.lit(True)).select("k", "c_v", "u_mass", (F.col("k") == F.col("chosen_k")).alias("chosen"))  # one row
+
+
+def lda_assignment(texts: DataFrame, k: int = 5, seed: int = 42, passes: int = 10) -> DataFrame:
+    """doc_id, weights, topic, weight: the posterior of every document under fitted topics, and its dominant topic or -1."""
+    rows = topicmodel.words_of(texts)
+    vocabulary_, model = fit_lda(rows.select(F.col("words").alias("terms")), k, seed, passes)
+    weights = topicmodel.posterior(rows, "doc_id", topicmodel.topic_table(vocabulary_, model), [1.0 / k] * k)
+    return weights.join(dominant_topic(weights), "doc_id")

@@ -28,7 +28,6 @@ _SETS = """sa as (select l_orderkey as id, list_sort(list(distinct (l_shipdate::
 sb as (select l_orderkey as id, list_sort(list(distinct (l_shipdate::varchar)[:4] || l_returnflag)) as set_b from lineitem where l_linenumber <= 3 group by 1),
 sets as (select id, set_a, set_b, set_a[1] as main_a, set_b[1] as main_b from sa join sb using (id))"""
 _CV = [("lr", 0.1, 0.880, 0.004), ("lr", 1.0, 0.8992, 0.005), ("lr", 10.0, 0.8951, 0.004), ("svc", 0.1, 0.9004, 0.003), ("svc", 1.0, 0.8990, 0.003), ("nb", -2.0, 0.8760, 0.002), ("nb", -1.0, 0.8761, 0.002), ("nb", -0.5, 0.8750, 0.002)]
-_COHERENCE = [(5, 0.5908), (6, 0.5870), (7, 0.5950), (8, 0.5911), (9, 0.5702)]
 _FACTS, _PROSE = [0.9261, 0.8951, 526322.0, 77.25], [(1, "526.322 ulasan, 92,61 persen"), (2, "0,9261 atau 0,93; salah 0,91"), (3, "77,25 persen dari 1.234"), (4, "v 89,5 dan 89.5")]
 _B = "bounds as (select min(tanggal) as lo, max(tanggal) as hi from reviews)"
 
@@ -103,7 +102,6 @@ QUERIES = {
     "noise_ceiling": (lambda f: X.noise_ceiling(_rules(f), F.col("doc_id") % 3 == 0, F.col("words") < 30), _with(_TEXTS, _RULES, "k as (select model_name, count(*) as n, count(*) filter (where label <> pred) as n_errors, count(*) filter (where label <> pred and doc_id % 3 = 0) as n_sampled, count(*) filter (where label <> pred and doc_id % 3 = 0 and words < 30) as n_noisy from rules group by 1)", "select *, round(100 * (n_noisy::double / nullif(n_sampled, 0)), 6) as noise_pct, round(100 * (1 - n_errors * (1 - n_noisy::double / nullif(n_sampled, 0)) / n), 6) as ceiling_pct from k")),
     "agreement_jaccard": (lambda f: X.set_agreement(_sets(f)), _with(_SETS, "r as (select list_contains(set_b, main_a)::int as l, (main_a = main_b)::int as s, len(list_intersect(set_a, set_b))::double / len(list_distinct(list_concat(set_a, set_b))) as j from sets)", "pe as (select coalesce(sum(a.n::double * b.n), 0) as x from (select main_a as m, count(*) as n from sets group by 1) a join (select main_b as m, count(*) as n from sets group by 1) b using (m))", "t as (select count(*) as n, avg(l) as lo, avg(s) as st, avg(j) as j from r)", "select n, round(lo, 6) as loose, round(st, 6) as strict, round(j, 6) as jaccard, round((st - x / (n::double * n)) / nullif(1 - x / (n::double * n), 0), 6) as kappa from t, pe")),
     "one_se_choice": (lambda f: X.one_se_choice(_frame(f, _CV, "model_name string, complexity double, mean_score double, std_score double")), f"with cv(model_name, complexity, mean_score, std_score) as (values {_values(_CV)}), b as (select distinct on (model_name) model_name, mean_score as top, mean_score - std_score as bar from cv order by model_name, mean_score desc, complexity), k as (select cv.*, top, bar, count(*) over (partition by cv.model_name) as n_within, row_number() over (partition by cv.model_name order by complexity, mean_score desc) as r from cv join b using (model_name) where mean_score >= bar) select model_name, complexity, mean_score, round(bar, 6) as bar, n_within, mean_score = top as same_as_best from k where r = 1"),
-    "coherence_choice": (lambda f: X.smallest_near_best(_frame(f, _COHERENCE, "k int, coherence double")), f"with c(k, coherence) as (values {_values(_COHERENCE)}) select min(k) filter (where coherence >= b - 0.005::double) as k, max(coherence) as best from c, (select max(coherence) as b from c)"),
     "top_features": (lambda f: X.top_features(dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "select * exclude (s) from (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term, log_ratio, s from (select 'positive' as class, term, log_ratio, log_ratio as s from nb union all select 'negative', term, log_ratio, -log_ratio from nb)) where rank <= 20")),
     "artifact_audit": (lambda f: X.artifact_audit(X.top_features(dictionary.nb_counts(f.texts))), _with(_TOK, _NB, "k as (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term from (select 'positive' as class, term, log_ratio as s from nb union all select 'negative', term, -log_ratio from nb) qualify rank <= 20)", "select class, count(*) as n, count(*) filter (where regexp_matches(term, '[0-9]')) as with_digit, count(*) filter (where regexp_matches(term, '[^a-z0-9 ]')) as with_mark, count(*) filter (where list_contains(list_transform(string_split(term, ' '), lambda x: length(x)), 1)) as with_letter from k group by 1")),
     "predict": (lambda f: X.predict(f.docs, dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "h as (select doc_id, sum(log_ratio) as s, count(*) as n from (select doc_id, unnest(w) as term from tok) join nb using (term) group by 1)", "p as (select d.doc_id, coalesce(s, 0) as s, coalesce(n, 0) as n, 1 / (1 + exp(-greatest(-700.0::double, least(700.0::double, coalesce(s, 0))))) as p from documents d left join h using (doc_id))", "select doc_id, n as n_known, (s >= 0)::int as pred, round(greatest(p, 1 - p), 4) as confidence from p")),
@@ -118,7 +116,6 @@ QUERIES = {
     "topic_assignment": (lambda f: X.assigned(f.docs, X.keyword_owners(_chosen(f))), _with(_TOK, _TERMS1, _LIFT, _CHOSEN, _OWNERS, "h as (select doc_id, x.topic as topic, count(*) as n from (select doc_id, unnest(w) as term from tok) join owners using (term) group by 1, 2)", "g as (select doc_id, max(struct_pack(weight := weight, topic := topic)) as x from (select *, n::double / sum(n) over (partition by doc_id) as weight from h) group by 1)", "select doc_id, case when x.weight >= 0.3 then x.topic end as topic from g")),
     "topic_agreement": (lambda f: X.assignment_agreement(X.assigned(f.docs, X.keyword_owners(_chosen(f))), f.docs.select("doc_id", F.col("lang").alias("topic"))), _with(_TOK, _TERMS1, _LIFT, _CHOSEN, _OWNERS, "h as (select doc_id, x.topic as topic, count(*) as n from (select doc_id, unnest(w) as term from tok) join owners using (term) group by 1, 2)", "g as (select doc_id, max(struct_pack(weight := weight, topic := topic)) as x from (select *, n::double / sum(n) over (partition by doc_id) as weight from h) group by 1)", "j as (select x.topic = lang as same from g join documents using (doc_id) where x.weight >= 0.3 and lang is not null)", f"select count(*) as n, count(*) filter (where same) as n_same, {_pct('count(*) filter (where same)', 'count(*)')} as agreement_pct from j")),
     "u_mass": (lambda f: X.u_mass(f.docs, _chosen(f)), _with(_TOK, _TERMS1, _LIFT, _CHOSEN, "h as (select distinct doc_id, topic, rank from (select doc_id, unnest(w) as term from tok) join chosen using (term))", "n as (select topic, rank as b, count(*) as n_b from h group by 1, 2)", "p as (select x.topic, x.rank as a, y.rank as b, count(*) as n_ab from h x join h y on x.doc_id = y.doc_id and x.topic = y.topic and x.rank > y.rank group by all)", "e as (select x.topic, x.rank as a, y.rank as b from chosen x join chosen y on x.topic = y.topic and x.rank > y.rank)", "select topic, count(*) as n_pairs, round(avg(ln((coalesce(n_ab, 0) + 1)::double / n_b)), 6) as u_mass from e left join n using (topic, b) left join p using (topic, a, b) group by 1")),
-    "dominant_topic": (lambda f: X.dominant_topic(f.docs.select("doc_id", F.array(*(F.pmod(F.col("doc_id") * k, F.lit(17)) / 40.0 for k in (3, 5, 7))).alias("weights"))), "select doc_id, (case when m >= 0.3 then list_position(w, m) - 1 else -1 end)::bigint as topic, round(m, 6) as weight from (select *, list_max(w) as m from (select doc_id, [(doc_id * 3 % 17) / 40.0::double, (doc_id * 5 % 17) / 40.0::double, (doc_id * 7 % 17) / 40.0::double] as w from documents))"),
     "category_ranking": (lambda f: X.ranking(f.pairs), _with(_R, _S, _T, _PAIRS, f"c as (select kategori, count(*) as n, sum(likes)::bigint as likes, {_pct('count(*)', '(select count(distinct review_id) from pairs where pred_label = 0)')} as share from pairs where pred_label = 0 group by 1), k as (select *, row_number() over (order by n desc, kategori) as rank_n, row_number() over (order by likes desc, kategori) as rank_likes from c)", "select *, rank_n - rank_likes as gap from k")),
     "category_trend_partial": (lambda f: X.trend_with_partial(f.pairs, f.monthly), _with(_R, _S, _T, _PAIRS, _MONTHLY, "select c.bulan, kategori, jumlah, periode_parsial from (select date_trunc('month', tanggal)::date as bulan, kategori, count(*) as jumlah from pairs group by 1, 2) c join monthly using (bulan)")),
     "category_first_last_year": (lambda f: X.first_last_year(f.pairs, _bounds(f)), _with(_R, _S, _T, _PAIRS, _B, "n as (select *, tanggal < lo + interval 12 month as e, tanggal >= hi - interval 12 month as l from pairs, bounds where pred_label = 0), a as (select count(distinct review_id) filter (where e) as ae, count(distinct review_id) filter (where l) as al from n)", f"select kategori, count(*) filter (where e) as n_first, count(*) filter (where l) as n_last, {_pct('count(*) filter (where e)', 'any_value(ae)')} as pct_first, {_pct('count(*) filter (where l)', 'any_value(al)')} as pct_last from n, a group by 1")),

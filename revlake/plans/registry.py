@@ -236,9 +236,9 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
 
 
 def _all() -> dict[str, tuple[Callable[[Frames], DataFrame], str | None]]:
-    from revlake.plans import more, words
+    from revlake.plans import more, topicqueries, words
 
-    return QUERIES | more.QUERIES | words.QUERIES
+    return QUERIES | more.QUERIES | words.QUERIES | topicqueries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
