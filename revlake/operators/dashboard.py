@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.operators import analysis, serving
+from revlake.operators.refresh import Store
 
 
 class Dashboard:
-    """Reads over the folder that ``warehouse.load_all`` and ``refresh_all`` wrote."""
+    """Reads over one commit of a store, or over the folder that ``warehouse.load_all`` and ``refresh_all`` wrote.
+
+    All reads of one dashboard see the same commit, whatever is committed meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.store = spark, folder, Store(spark, folder)
+        self.commit = self.store.commit()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.store.table(name, self.commit) if self.commit else self.spark.read.parquet(f"{self.folder}/{name}")
 
     monthly = cached_property(lambda self: self.table("agg_monthly"))
     weekly = cached_property(lambda self: self.table("agg_weekly"))

@@ -49,7 +49,7 @@ def refresh_all(spark: SparkSession, folder: str) -> list[str]:
         "agg_monthly_actual": lambda: marts.agg_monthly_actual(r),
         "agg_version": lambda: marts.agg_version(r, s),
         "agg_topic_keyword": lambda: marts.agg_topic_keyword(t, x, r),
-        "review_category": lambda: marts.review_category(t, x, r, s).repartition("kategori_id").sortWithinPartitions("kategori_id", F.desc("likes")),
+        "review_category": lambda: marts.review_category(t, x, r, s).repartitionByRange("kategori_id", F.desc("likes"), "review_id").sortWithinPartitions("kategori_id", F.desc("likes")),
         "agg_category": lambda: marts.agg_category(read("review_category")),
         "agg_meta": lambda: marts.agg_meta(r),
     }
