@@ -6,7 +6,7 @@ import time
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from revlake.functions.text import bigrams, clean_ascii, tokens
-from revlake.operators import topicmodel
+from revlake.operators import margin, topicmodel
 from revlake.operators.analysis import dominant_topic, smallest_near_best, u_mass
 
 
@@ -57,8 +57,9 @@ def split(texts: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFra
 
 def first_of_text(train: DataFrame) -> DataFrame:
     """One training row per text and the one with the least id; never applied to test rows."""
-    order = Window.partitionBy(F.md5(F.coalesce("text", F.lit("")))).orderBy("doc_id")
-    return train.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id")
+    kept = train.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("__text")).agg(F.min_by(F.struct(*train.columns), rank).alias("__row"))
+    return kept.select("__row.*")
 
 
 def balanced(train: DataFrame) -> DataFrame:
@@ -111,18 +112,24 @@ def vectoriser(train: DataFrame, most: int = 30_000, least: int = 3) -> Pipeline
 
 
 def classifier(kind: str, n: int, setting: float = 1.0):
-    """``lr``, ``svc``: ``setting`` is C, so that the penalty is 1 / (C * sum of weights); ``nb`` (multinomial), ``cnb`` (complement): alpha."""
+    """``lr``: ``setting`` is C, so that the penalty is 1 / (C * sum of weights); ``nb`` (multinomial), ``cnb`` (complement): alpha."""
     penalty = 1 / (setting * max(n, 1))  # balanced weights sum to the number of rows
     return {
         "lr": lambda: LogisticRegression(weightCol="weight", regParam=penalty, standardization=False, maxIter=50),
-        "svc": lambda: LinearSVC(weightCol="weight", regParam=penalty, standardization=False, maxIter=50),
         "nb": lambda: NaiveBayes(smoothing=setting),
         "cnb": lambda: NaiveBayes(modelType="complement", smoothing=setting),
     }[kind]()
 
 
-def fit(train: DataFrame, kind: str = "lr", features: int = 30_000, min_df: int = 3, setting: float = 1.0) -> PipelineModel:
+def margin_model(train: DataFrame, features: int = 30_000, min_df: int = 3, setting: float = 1.0) -> margin.MarginModel:
+    """``svc``: squared hinge with balanced costs; ``setting`` is C."""
+    return margin.fit(balanced(train), [2 * F.col("label") - 1], [F.col("weight")], vocabulary(train, features, min_df), setting)
+
+
+def fit(train: DataFrame, kind: str = "lr", features: int = 30_000, min_df: int = 3, setting: float = 1.0) -> PipelineModel | margin.MarginModel:
     """Vectoriser and classifier, fitted on the same rows."""
+    if kind == "svc":
+        return margin_model(train, features, min_df, setting)
     made = vectoriser(train, features, min_df)
     rows = made.transform(balanced(train)).persist()  # each iteration reads it
     model = classifier(kind, rows.count(), setting).fit(rows)
@@ -145,13 +152,13 @@ def score_all(fitted: dict[str, PipelineModel], texts: DataFrame) -> DataFrame:
 
 def log_ratios(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """term, log_ratio: what a term says for class 1, from coefficients or from the difference of the classes' log probabilities."""
-    last = model.stages[-1]
-    if hasattr(last, "theta"):
-        theta = last.theta.toArray()
-        weights = theta[1] - theta[0]
+    if isinstance(model, margin.MarginModel):
+        names, weights = model.terms, model.weights[0]
     else:
-        weights = last.coefficients.toArray()
-    return spark.createDataFrame([(t, round(float(w), 6)) for t, w in zip(model.stages[0].vocabulary, weights)], "term string, log_ratio double")
+        last, names = model.stages[-1], model.stages[0].vocabulary
+        theta = last.theta.toArray() if hasattr(last, "theta") else None
+        weights = last.coefficients.toArray() if theta is None else theta[1] - theta[0]
+    return spark.createDataFrame([(t, round(float(w), 6)) for t, w in zip(names, weights)], "term string, log_ratio double")
 
 
 def macro_f1(predictions: DataFrame, *by: str) -> DataFrame:
@@ -188,7 +195,10 @@ def cv_grid(train: DataFrame, grid: dict[str, list[float]], folds: int = 5, seed
         n = parts[0].count()
         for kind, settings in grid.items():
             for setting in settings:
-                model = classifier(kind, n, setting).fit(parts[0])
+                if kind == "svc":
+                    model = margin.fit(parts[0], [2 * F.col("label") - 1], [F.col("weight")], (made.stages[0].vocabulary, list(made.stages[2].getScalingVec())), setting)
+                else:
+                    model = classifier(kind, n, setting).fit(parts[0])
                 test, own = (macro_f1(model.transform(p).select("label", F.col("prediction").cast("int").alias("pred"))).first() for p in (parts[1], parts[0]))
                 found.append((kind, float(setting), fold, test.macro_f1, own.macro_f1))
         for p in parts:
@@ -213,25 +223,34 @@ def dedup_impact(texts: DataFrame, kinds: tuple[str, ...] = ("nb", "cnb"), seed:
     return texts.sparkSession.createDataFrame(found, "model_name string, deduplicated boolean, n_train long, macro_f1 double, fit_seconds double")
 
 
-def calibrated(train: DataFrame, texts: DataFrame, kind: str = "svc", folds: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, label, pred, proba of a margin model: a logistic curve over margins of rows that the fold's model has not seen."""
-    margin = lambda m, rows: m.transform(rows).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"), array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
+def calibrated(train: DataFrame, texts: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, label, pred, proba of the margin model: a logistic curve over margins of rows that the fold's model has not seen.
+
+    The models of all folds and the final one are problems of one fit, over the vocabulary of all training rows; costs are balanced in each.
+    """
     rows = dealt(train, [i / folds for i in range(1, folds)], seed).persist()
-    unseen = reduce(DataFrame.unionByName, (margin(fit(rows.filter(F.col("part") != fold), kind), rows.filter(F.col("part") == fold)) for fold in range(folds)))
-    curve = LogisticRegression().fit(unseen)
+    inside = [F.col("part") != k for k in range(folds)] + [F.lit(True)]
+    counts = rows.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x labels
+    costs = []
+    for k, of in enumerate(inside):
+        n = {label: sum(r.n for r in counts if r.label == label and r.part != k) for label in (0, 1)}
+        costs.append(F.when(of, F.when(F.col("label") == 1, sum(n.values()) / (2 * max(n[1], 1))).otherwise(sum(n.values()) / (2 * max(n[0], 1)))).otherwise(0.0))
+    model = margin.fit(rows, [2 * F.col("label") - 1] * (folds + 1), costs, vocabulary(train))
+    vector = lambda place: array_to_vector(F.array(F.get("margins", place))).alias("features")
+    curve = LogisticRegression().fit(model.margins(rows).select("label", vector(F.col("part"))))
     rows.unpersist()
-    return curve.transform(margin(fit(train, kind), texts)).select("doc_id", "label", "pred", F.round(vector_to_array("probability")[1], 4).alias("proba"))
+    scored = model.margins(texts).select("doc_id", "label", (F.get("margins", F.lit(folds)) > 0).cast("int").alias("pred"), vector(F.lit(folds)))
+    return curve.transform(scored).select("doc_id", "label", "pred", F.round(vector_to_array("probability")[1], 4).alias("proba"))
 
 
 def three_class(texts: DataFrame, seed: int = 42) -> DataFrame:
-    """Measures of each class (``label`` 0, 1, 2) on test rows, by one margin model per class against the others."""
+    """Measures of each class (``label`` 0, 1, 2) on test rows, by one margin model per class against the others, fitted together."""
     train, test = split(texts, seed=seed)
     train = balanced(first_of_text(train))
-    made = vectoriser(train)
-    rows = made.transform(train).persist()
-    model = OneVsRest(classifier=classifier("svc", rows.count()), weightCol="weight").fit(rows.withColumn("label", F.col("label").cast("double")))
-    scored = model.transform(made.transform(test)).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
-    return class_metrics(scored)
+    classes = (0, 1, 2)
+    model = margin.fit(train, [F.when(F.col("label") == k, 1).otherwise(-1) for k in classes], [F.col("weight")] * len(classes), vocabulary(train))
+    margins = model.margins(test)
+    return class_metrics(margins.select(F.col("label").cast("int").alias("label"), (F.array_position("margins", F.array_max("margins")) - 1).cast("int").alias("pred")))
 
 
 def reload_check(model: PipelineModel, texts: DataFrame, path: str) -> DataFrame:
