@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from revlake.functions.expr import half_up, month, percent
 from revlake.functions.text import bigrams, clean_ascii, tokens
+from revlake.operators import release
 
 
 # descriptive remainder
@@ -320,11 +321,12 @@ def share_difference(versions: DataFrame) -> DataFrame:
 
 
 def window_tests(windows: DataFrame) -> DataFrame:
-    """Before and after of each version: shares, difference in points and its pooled z."""
+    """Before and after of each version: shares, difference in points, its pooled z, one-sided p and Benjamini-Hochberg q."""
     p0, p1 = F.col("neg_before") / F.nullif(F.col("n_before"), F.lit(0)), F.col("neg_after") / F.nullif(F.col("n_after"), F.lit(0))
     pooled = (F.col("neg_before") + F.col("neg_after")) / (F.col("n_before") + F.col("n_after"))
     se = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(F.col("n_before"), F.lit(0)) + 1 / F.nullif(F.col("n_after"), F.lit(0))))
-    return windows.select("versi_minor", "n_before", "n_after", F.round(100 * p0, 6).alias("pct_before"), F.round(100 * p1, 6).alias("pct_after"), F.round(100 * (p1 - p0), 6).alias("delta_pp"), F.round((p1 - p0) / F.nullif(se, F.lit(0.0)), 6).alias("z"))
+    rows = windows.select("versi_minor", "n_before", "n_after", F.round(100 * p0, 6).alias("pct_before"), F.round(100 * p1, 6).alias("pct_after"), F.round(100 * (p1 - p0), 6).alias("delta_pp"), ((p1 - p0) / F.nullif(se, F.lit(0.0))).alias("z"))
+    return release.with_q(rows).withColumns({c: F.round(c, 6) for c in ("z", "p", "q")})
 
 
 def left_censored(versions: DataFrame, bounds: DataFrame, days: int = 28) -> DataFrame:
@@ -332,15 +334,15 @@ def left_censored(versions: DataFrame, bounds: DataFrame, days: int = 28) -> Dat
     return versions.join(F.broadcast(bounds)).select("versi_minor", (F.col("t0") < F.col("lo") + F.expr(f"interval {days} days")).alias("censored"))  # one row
 
 
-def dual_flags(first: DataFrame, second: DataFrame, least_pp: float = 5.0, least_z: float = 1.6448536269514722) -> DataFrame:
-    """Versions flagged by two labels of the same reviews, and by both."""
-    mark = lambda t, name: t.select("versi_minor", F.coalesce((F.col("delta_pp") >= least_pp) & (F.col("z") > least_z), F.lit(False)).alias(name))
+def dual_flags(first: DataFrame, second: DataFrame, least_pp: float = 5.0, alpha: float = 0.05) -> DataFrame:
+    """Versions flagged, by points and q, for two labels of the same reviews, and by both."""
+    mark = lambda t, name: release.flags(release.with_q(t), least_pp, alpha).select("versi_minor", F.col("flag").alias(name))
     rows = mark(first, "by_prediction").join(mark(second, "by_rating"), "versi_minor", "left").fillna(False, ["by_rating"])
     return rows.withColumn("by_both", F.col("by_prediction") & F.col("by_rating"))
 
 
 def chi_square_p(chi2: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution: the regularised upper incomplete gamma function of dof / 2 and chi2 / 2."""
+    """Upper tail of the chi-square distribution for one number; ``expr.chi_square_upper`` is the column expression."""
     a, x = dof / 2, chi2 / 2
     if x <= 0:
         return 1.0

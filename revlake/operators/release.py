@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlake.functions.expr import normal_upper, version_key
+from revlake.functions.expr import chi_square_upper, normal_upper, version_key
 
 
 def by_version(labelled: DataFrame, least: int = 100) -> DataFrame:
@@ -44,11 +44,13 @@ def flags(tests: DataFrame, least_pp: float = 5.0, alpha: float = 0.05) -> DataF
 
 
 def chi_square(versions: DataFrame) -> DataFrame:
+    """Homogeneity of the negative share over versions: statistic, degrees of freedom and p."""
     everything = Window.partitionBy()
     share = F.sum("neg").over(everything) / F.sum("n").over(everything)
     expected = F.col("n") * share
     term = F.pow(F.col("neg") - expected, F.lit(2.0)) / expected + F.pow(F.col("neg") - expected, F.lit(2.0)) / (F.col("n") - expected)
-    return versions.select(term.alias("t")).agg(F.sum("t").alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
+    row = versions.select(term.alias("t")).agg(F.sum("t").alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
+    return row.withColumn("p", chi_square_upper(F.col("chi2"), F.col("dof")))
 
 
 def windows(labelled: DataFrame, versions: DataFrame, days: int = 28) -> DataFrame:

@@ -9,7 +9,7 @@ from revlake.functions import normalise as N
 from revlake.functions import text as T
 from revlake.operators import analysis as X
 from revlake.operators import dictionary, evaluation, marts, models, release, serving, topics, warehouse
-from revlake.plans.registry import _ACTUAL, _MONTHLY, _PAIRS, _PRED, _R, _S, _T, _TOK, _VER, _VERSION, _Z, FROM, TO, Frames, _kpi, _pct, _r2, _with
+from revlake.plans.registry import _ACTUAL, _MONTHLY, _PAIRS, _PRED, _R, _S, _T, _TOK, _VER, _VERSION, _Z, _ZP, FROM, TO, Frames, _bh, _kpi, _pct, _r2, _upper, _with
 from revlake.sources import files
 
 # The words of a text on white space, and predictions over texts: quality is the label, three rules are the models.
@@ -122,9 +122,37 @@ QUERIES = {
     "category_union": (lambda f: X.union_coverage(f.pairs, 1, 26), _with(_R, _S, _T, _PAIRS, "select count(*) as n_either, count(*) filter (where k = 2) as n_both from (select review_id, count(*) as k from pairs where kategori_id in (1, 26) group by 1)")),
     # releases
     "release_share_diff": (lambda f: X.share_difference(f.by_version), _with(_R, _S, _VER, "select versi_minor, round(100 * (neg::double / n - (sum(neg) over ())::double / (sum(n) over ())::double), 6) as diff_pp from v")),
-    "release_window_tests": (lambda f: X.window_tests(_windows(f)), _with(_R, _S, _VER, _NWIN, "select versi_minor, nb::bigint as n_before, na::bigint as n_after, round(100 * (gb / nullif(nb, 0)), 6) as pct_before, round(100 * (ga / nullif(na, 0)), 6) as pct_after, round(100 * (ga / nullif(na, 0) - gb / nullif(nb, 0)), 6) as delta_pp, round((ga / nullif(na, 0) - gb / nullif(nb, 0)) / nullif(sqrt((gb + ga) / (nb + na) * (1 - (gb + ga) / (nb + na)) * (1 / nullif(nb, 0) + 1 / nullif(na, 0))), 0), 6) as z from w")),
+    "release_window_tests": (
+        lambda f: X.window_tests(_windows(f)),
+        _with(
+            _R,
+            _S,
+            _VER,
+            _NWIN,
+            "wz as (select *, (ga / nullif(na, 0) - gb / nullif(nb, 0)) / nullif(sqrt((gb + ga) / (nb + na) * (1 - (gb + ga) / (nb + na)) * (1 / nullif(nb, 0) + 1 / nullif(na, 0))), 0) as z from w)",
+            f"wp as (select *, {_upper('z')} as p from wz)",
+            _bh("wq", "wp", "versi_minor, nb, gb, na, ga, z"),
+            "select versi_minor, nb::bigint as n_before, na::bigint as n_after, round(100 * (gb / nullif(nb, 0)), 6) as pct_before, round(100 * (ga / nullif(na, 0)), 6) as pct_after, round(100 * (ga / nullif(na, 0) - gb / nullif(nb, 0)), 6) as delta_pp, round(z, 6) as z, round(p, 6) as p, round(q, 6) as q from wq",
+        ),
+    ),
     "release_left_censored": (lambda f: X.left_censored(f.by_version, f.r.agg(F.min("tanggal").alias("lo"))), _with(_R, _S, _VER, _B, "select versi_minor, t0 < lo + interval 28 day as censored from v, bounds")),
-    "release_dual_flags": (lambda f: X.dual_flags(release.z_tests(f.by_version), release.z_tests(release.by_version(f.r.withColumn("label", F.col("sentimen_aktual"))))), _with(_R, _S, _VER, _Z, _VER.replace("v as (", "v2 as (", 1).replace("pred_label = 0", "sentimen_aktual = 0").replace("from s where versi_minor is not null", "from reviews where versi_minor is not null and sentimen_aktual is not null"), _Z.replace("z as (", "z2 as (", 1).replace("from v)", "from v2)"), "m as (select z.versi_minor, coalesce(z.delta_pp >= 5 and z.z > 1.6448536269514722, false) as by_prediction, coalesce(z2.delta_pp >= 5 and z2.z > 1.6448536269514722, false) as by_rating from z left join z2 on z2.versi_minor = z.versi_minor)", "select *, by_prediction and by_rating as by_both from m")),
+    "release_dual_flags": (
+        lambda f: X.dual_flags(release.z_tests(f.by_version), release.z_tests(release.by_version(f.r.withColumn("label", F.col("sentimen_aktual"))))),
+        _with(
+            _R,
+            _S,
+            _VER,
+            _Z,
+            _ZP,
+            _bh("zq", "zp", "versi_minor, delta_pp"),
+            _VER.replace("v as (", "v2 as (", 1).replace("pred_label = 0", "sentimen_aktual = 0").replace("from s where versi_minor is not null", "from reviews where versi_minor is not null and sentimen_aktual is not null"),
+            _Z.replace("z as (", "z2 as (", 1).replace("from v)", "from v2)"),
+            _ZP.replace("zp as (", "zp2 as (", 1).replace("from z)", "from z2)"),
+            _bh("zq2", "zp2", "versi_minor, delta_pp"),
+            "m as (select a.versi_minor, coalesce(a.delta_pp >= 5 and a.q < 0.05::double, false) as by_prediction, coalesce(b.delta_pp >= 5 and b.q < 0.05::double, false) as by_rating from zq a left join zq2 b on b.versi_minor = a.versi_minor)",
+            "select *, by_prediction and by_rating as by_both from m",
+        ),
+    ),
     "release_flags_given_p": (lambda f: release.flags(release.bh(release.z_tests(f.by_version).withColumn("p", 1 / (1 + F.exp(1.702 * F.col("z")))), "p", "q")).select("versi_minor", F.round("q", 6).alias("q"), "flag"), _with(_R, _S, _VER, _Z, "b as (select versi_minor, delta_pp, 1 / (1 + exp(1.702::double * z)) as p from z), k as (select *, row_number() over (partition by p is null order by p) as r, count(p) over () as m from b)", "u as (select versi_minor, delta_pp, case when p is not null then least(1.0::double, min(p * m / r) over (partition by p is null order by r rows between current row and unbounded following)) end as q from k)", "select versi_minor, round(q, 6) as q, coalesce(delta_pp >= 5 and q < 0.05::double, false) as flag from u")),
     # serving and tables
     "kpi_full": (lambda f: X.kpi_full(serving.kpi(f.monthly, f.actual), f.version, marts.agg_meta(f.r)), None),

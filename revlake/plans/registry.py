@@ -75,6 +75,25 @@ _Z = "z as (select *, 100 * (neg / n - neg0 / n0) as delta_pp, (neg / n - neg0 /
 _PRED = "p as (select r.id, r.rating, r.sentimen_aktual as label, c.model_name, c.pred_label as pred from reviews r join scores c on c.review_id = r.id where r.sentimen_aktual is not null)"
 
 
+def _upper(z: str) -> str:
+    """Upper tail of the normal by Simpson's rule from 0 to z, cut at 9."""
+    h = f"(greatest(-9, least(9, {z})) / 2000)"
+    return f"(case when ({z}) is not null then 0.5::double - list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-0.5::double * (i * {h}) * (i * {h})))) * {h} / 3 / sqrt(2 * pi()) end)"
+
+
+def _bh(name: str, source: str, columns: str) -> str:
+    """CTE of the source's columns with p, and q by Benjamini and Hochberg."""
+    ranked = f"select *, row_number() over (partition by p is null order by p) as r, count(p) over () as m from {source}"
+    upward = "min(p * m / r) over (partition by p is null order by r rows between current row and unbounded following)"
+    return f"{name} as (select {columns}, p, case when p is not null then least(1.0::double, {upward}) end as q from ({ranked}))"
+
+
+_ZP = f"zp as (select versi_minor, delta_pp, z, {_upper('z')} as p from z)"
+#: Upper tail of the chi-square distribution: Simpson's rule over its density from the statistic on.
+_TAIL = """tail as (select *, list_sum(list_transform(range(0, 20001), lambda i: (case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end) * exp((a - 1) * ln(x + i * h) - (x + i * h) - lgamma(a)))) * h / 3 as p
+  from (select *, (greatest(a - x, 0) + 80 + 12 * sqrt(a)) / 20000 as h from (select *, dof / 2.0::double as a, chi2 / 2.0::double as x from c2)))"""
+
+
 class Frames:
     """The canonical frames of one data folder."""
 
@@ -188,8 +207,18 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "contract_report": (lambda f: explore.contract_report(f.r), _with(_R, "select count(*) - count(id) as null_id, count(*) filter (where not coalesce(rating between 1 and 5, false)) as bad_rating, count(*) filter (where coalesce(likes, -1) < 0) as bad_likes, count(*) - count(tanggal) as no_date, (select count(*) from (select id from reviews group by id having count(*) > 1)) as repeated_id from reviews")),
     "release_z": (lambda f: _tests(f).select("versi_minor", "n", "neg", F.round("delta_pp", 6).alias("delta_pp"), F.round("z", 6).alias("z")), _with(_R, _S, _VER, _Z, "select versi_minor, n::bigint as n, neg::bigint as neg, round(delta_pp, 6) as delta_pp, round(z, 6) as z from z")),
     "release_bh": (lambda f: release.bh(f.by_version.select("versi_minor", (F.col("neg") / F.col("n")).alias("p")), "p", "q").select("versi_minor", F.round("q", 6).alias("q")), _with(_R, _S, _VER, "b as (select versi_minor, neg::double / n as p from v), k as (select *, row_number() over (order by p) as r, count(*) over () as m from b)", "select versi_minor, round(least(1.0::double, min(p * m / r) over (order by r rows between current row and unbounded following)), 6) as q from k")),
-    "release_flags": (lambda f: release.flags(release.with_q(_tests(f))).select("versi_minor", F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "flag"), None),
-    "release_chi2": (lambda f: release.chi_square(f.by_version).select(F.round("chi2", 4).alias("chi2"), "dof"), _with(_R, _S, _VER, "select round(sum((neg - e) * (neg - e) / e + (neg - e) * (neg - e) / (n - e)), 4) as chi2, count(*) - 1 as dof from (select n::double as n, neg::double as neg, n * (sum(neg) over ())::double / (sum(n) over ())::double as e from v)")),
+    "release_flags": (lambda f: release.flags(release.with_q(_tests(f))).select("versi_minor", F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "flag"), _with(_R, _S, _VER, _Z, _ZP, _bh("zq", "zp", "versi_minor, delta_pp, z"), "select versi_minor, round(z, 4) as z, round(p, 6) as p, round(q, 6) as q, coalesce(delta_pp >= 5 and q < 0.05::double, false) as flag from zq")),
+    "release_chi2": (
+        lambda f: release.chi_square(f.by_version).select(F.round("chi2", 4).alias("chi2"), "dof", F.round("p", 6).alias("p")),
+        _with(
+            _R,
+            _S,
+            _VER,
+            "c2 as (select sum((neg - e) * (neg - e) / e + (neg - e) * (neg - e) / (n - e)) as chi2, count(*) - 1 as dof from (select n::double as n, neg::double as neg, n * (sum(neg) over ())::double / (sum(n) over ())::double as e from v))",
+            _TAIL,
+            "select round(chi2, 4) as chi2, dof, round(p, 6) as p from tail",
+        ),
+    ),
     "release_windows": (lambda f: release.windows(marts.scored(f.r, f.s).withColumn("label", F.col("pred_label")), f.by_version), _with(_R, _S, _VER, "select v.versi_minor, count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0) as n_before, count(*) filter (where s.tanggal >= t0 - interval 28 day and s.tanggal < t0 and pred_label = 0) as neg_before, count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day) as n_after, count(*) filter (where s.tanggal >= t0 and s.tanggal < t0 + interval 28 day and pred_label = 0) as neg_after from v join s on s.tanggal >= t0 - interval 28 day and s.tanggal < t0 + interval 28 day group by 1")),
     "release_composition": (lambda f: release.composition(f.pairs, f.r, _tests(f).filter("delta_pp > 0")), _with(_R, _S, _T, _PAIRS, _VER, _Z, "select kategori, nf as n_flagged, na as n_all, round(100.0::double * nf / nullif(sum(nf) over (), 0), 6) as pct_flagged, round(100.0::double * na / sum(na) over (), 6) as pct_all from (select kategori, count(z.versi_minor) as nf, count(*) as na from pairs p join reviews r on r.id = p.review_id left join z on z.versi_minor = r.versi_minor and z.delta_pp > 0 where p.pred_label = 0 group by 1)")),
     "clean_ascii": (lambda f: topics.spread(f.docs).select("doc_id", T.clean_ascii(F.col("text")).alias("clean")), f"select doc_id, {_CLEAN} as clean from documents"),

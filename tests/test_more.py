@@ -1,3 +1,4 @@
+import math
 import re
 from datetime import datetime
 
@@ -5,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlake.functions import normalise as N
+from revlake.functions.expr import chi_square_upper, normal_upper
 from revlake.operators import analysis as X
-from revlake.operators import dictionary, lexicon, marts, serving, stemming, warehouse
+from revlake.operators import dictionary, lexicon, marts, release, serving, stemming, warehouse
 from revlake.plans import more
 from revlake.sources import adapters, files
 
@@ -106,3 +108,22 @@ def test_numbers_that_no_fact_explains(spark):
     prose = spark.createDataFrame([*more._PROSE, (5, "1,234.5 dan 1.234,5")], "line int, text string")
     facts = spark.createDataFrame([(x,) for x in [*more._FACTS, 1234.5]], "value double")
     assert sorted(map(tuple, dictionary.number_check(prose, facts).collect())) == [(2, "0,91"), (3, "1.234")]
+
+
+def test_tails_as_columns(spark):
+    cases = [(0.0, 3), (0.2, 1), (3.841458819694124, 1), (18.307038053275146, 10), (150.0, 197), (8941.2, 197), (5000.0, 5100), (None, 3), (2.0, None), (1e-9, 2)]
+    rows = spark.createDataFrame(cases, "chi2 double, dof int").select("chi2", "dof", chi_square_upper(F.col("chi2"), F.col("dof")).alias("p")).collect()
+    for r in rows:
+        want = None if r.chi2 is None or r.dof is None else X.chi_square_p(r.chi2, r.dof)
+        assert r.p == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-300))
+    z = [-40.0, -3.2, -1e-8, 0.0, 0.3, 1.6448536269514722, 7.5, 30.0, None]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", normal_upper("z").alias("p")).collect():
+        assert r.p == (None if r.z is None else pytest.approx(math.erfc(r.z / math.sqrt(2)) / 2, rel=1e-10))
+    plan = spark.range(3).select(normal_upper(F.col("id").cast("double")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan  # tails stay in the JVM
+
+
+def test_homogeneity_without_rows_and_with_one_version(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "versi_minor string, n long, neg long")
+    assert tuple(release.chi_square(frame([])).first()) == (None, -1, None)
+    assert tuple(release.chi_square(frame([("4.1", 200, 50)])).first()) == (0, 0, 1)
