@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.functions.text import clean_ascii, tokens
+from revlake.operators import facts
 
 
 def layered(sources: list[DataFrame], discarded: DataFrame) -> DataFrame:
@@ -43,19 +44,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("raw_words"), F.size(tokens(clean_ascii(F.col("text")))).cast("long").alias("clean_words"))
 
 
-def number_check(prose: DataFrame, facts: DataFrame) -> DataFrame:
-    """Numbers of a text that equal no fact, nor a hundred times one, at the decimals they are written with."""
-    # Dots or commas group thousands where groups of three and no other reading fit; a single comma is a decimal mark.
-    shape = r"\d{1,3}(?:\.\d{3})+(?:,\d+)?(?!\d)|\d{1,3}(?:,\d{3})+\.\d+|\d{1,3}(?:,\d{3}){2,}(?!\d)|\d+(?:[.,]\d+)?"
-    found = prose.select("line", F.explode(F.regexp_extract_all("text", F.lit(shape), F.lit(0))).alias("written"))
-    dots, commas = F.col("written").rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.col("written").rlike(r"^\d{1,3}(,\d{3})+\.\d+$|^\d{1,3}(,\d{3}){2,}$")
-    plain = F.when(dots, F.translate(F.translate("written", ".", ""), ",", ".")).when(commas, F.translate("written", ",", "")).otherwise(F.translate("written", ",", "."))
-    numbers = found.withColumn("plain", plain).withColumn("d", F.length(F.regexp_extract("plain", r"\.(\d+)$", 1)))
-    places = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("d")
-    scaled = facts.select(F.explode(F.array(F.col("value"), F.col("value") * 100)).alias("v"))
-    shown = lambda x: F.format_string("%.6f", x)
-    allowed = scaled.select("v", places).select("d", shown(F.expr("round(v * power(10, d)) / power(10, d)")).alias("shown")).distinct()
-    return numbers.withColumn("shown", shown(F.col("plain").cast("double"))).join(allowed, ["d", "shown"], "left_anti").select("line", "written")
+def number_check(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """line, written of numbers in lines of prose that equal no value, nor a hundred times one, at the decimals they are written with."""
+    return facts.unexplained(lines, values.select("value", F.lit(None).cast("string").alias("words"), F.lit("ready").alias("status"))).select("line", "written")
 
 
 def nb_counts(texts: DataFrame, least: int = 3) -> DataFrame:

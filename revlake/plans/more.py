@@ -158,7 +158,6 @@ QUERIES = {
     "kpi_full": (lambda f: X.kpi_full(serving.kpi(f.monthly, f.actual), f.version, marts.agg_meta(f.r)), None),
     "version_coverage_pct": (lambda f: X.version_coverage_pct(f.version, marts.agg_meta(f.r), 200), _with(_R, _S, _VERSION, f"select count(*) as n_versi, coalesce(sum(total_ulasan), 0)::bigint as n_ulasan, {_pct('coalesce(sum(total_ulasan), 0)', '(select count(versi_minor) from reviews)')} as pct_of_versioned, {_pct('coalesce(sum(total_ulasan), 0)', '(select count(*) from reviews)')} as pct_of_all from version where total_ulasan >= 200")),
     "display_monthly": (lambda f: X.displayed(f.monthly), _with(_R, _S, _MONTHLY, "select bulan, replace(format('{:,}', total_ulasan), ',', '.') as total, replace(format('{:.2f}', persen_negatif), '.', ',') || '%' as persen, strftime(bulan, '%m-%Y') as periode from monthly")),
-    "number_check": (lambda f: dictionary.number_check(_frame(f, _PROSE, "line int, text string"), _frame(f, [(x,) for x in _FACTS], "value double")), None),
     "upsert_labels": (lambda f: warehouse.upsert(f.labels, f.labels.filter("doc_id % 7 = 0").select("doc_id", (1 - F.col("quality")).cast("int").alias("quality"), "toxic"), ["doc_id"]).select("doc_id", F.col("quality").cast("int").alias("quality")), "select doc_id, (case when doc_id % 7 = 0 then 1 - quality else quality end)::int as quality from labels"),
     "pending_docs": (lambda f: warehouse.pending(f.docs, f.labels, ["doc_id"]).select("doc_id", "lang"), "select doc_id, lang from documents where doc_id not in (select doc_id from labels where doc_id is not null)"),
     "masked_update": (lambda f: warehouse.masked_update(f.docs.select("doc_id", "text"), f.docs.filter("lang = 'en'"), f.docs.select("doc_id", F.concat(F.lit("> "), "text").alias("text")).filter("text is not null"), "doc_id", "text").select("doc_id", F.md5("text").alias("digest")), "select doc_id, md5(case when lang = 'en' then '> ' || text else text end) as digest from documents"),

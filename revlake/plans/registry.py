@@ -265,9 +265,9 @@ QUERIES: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
 
 
 def _all() -> dict[str, tuple[Callable[[Frames], DataFrame], str | None]]:
-    from revlake.plans import more, storequeries, topicqueries, words
+    from revlake.plans import factqueries, more, storequeries, topicqueries, words
 
-    return QUERIES | more.QUERIES | words.QUERIES | topicqueries.QUERIES | storequeries.QUERIES
+    return QUERIES | more.QUERIES | words.QUERIES | topicqueries.QUERIES | storequeries.QUERIES | factqueries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
