@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlake.operators import analysis as X
-from revlake.operators import models, topicmodel
+from revlake.operators import models, sheets, topicmodel
 from revlake.plans.more import _CHOSEN, _LIFT, _TERMS1, _chosen
+from revlake.plans.more import QUERIES as _MORE
 from revlake.plans.registry import _TOK, Frames, _with
 
 LANGS = ("de", "en", "es", "fr")
@@ -95,7 +96,43 @@ _UM = [
 ]
 _RULES = "owners as (select term, max(struct_pack(lift := lift, topic := topic)) as x, count(*) as n_topics from chosen group by 1)"
 
+_SHEET = [
+    f"each as (select doc_id, unnest(range(0, {len(LANGS)}))::int as topic, round(unnest(w), 6) as weight from weights)",
+    "own as (select doc_id, (list_position(w, list_max(w)) - 1)::int as topic, round(list_max(w), 6) as weight from weights)",
+    "likely as (select topic, 'likely' as kind, row_number() over (partition by topic order by weight desc, doc_id) as place, doc_id, weight from each qualify place <= 5)",
+    "fit as (select doc_id from documents where len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) between 10 and 60)",
+    "drawn as (select * from own join fit using (doc_id) qualify row_number() over (partition by topic order by md5(doc_id::varchar || ':42'), doc_id) <= 5)",
+    "typical as (select topic, 'typical' as kind, row_number() over (partition by topic order by weight desc, doc_id) as place, doc_id, weight from drawn)",
+    "shown as (select x.*, trim(replace(coalesce(text, ''), chr(10), ' '), ' ') as shown from (select * from likely union all select * from typical) x join documents using (doc_id))",
+    "cells as (select topic, " + ", ".join(f"max({c}) filter (where kind = '{k}' and place = {j}) as {k}_{c}_{j}" for k in ("likely", "typical") for j in range(1, 6) for c in ("doc_id", "shown", "weight")) + " from shown group by 1)",
+    "counts as (select topic, count(*) as n_dominant, round((100.0::double * count(*) / sum(count(*)) over ())::decimal(38,10), 2)::double as share from own group by 1)",
+    f"heavy as (select term, topic, w, sum(w) over (partition by topic) as total, row_number() over (partition by topic order by w desc, encode(term)) as place from (select term, unnest(range(0, {len(LANGS)}))::int as topic, unnest([{', '.join(f'l{k}' for k in _K)}]) as w from lam))",
+    "terms20 as (select topic, string_agg(term, ', ' order by place) as top_terms, string_agg(term || ':' || printf('%.4f', w / total), ', ' order by place) as top_terms_weights from heavy where place <= 20 group by 1)",
+]
+
+
+def _negative(f: Frames) -> DataFrame:
+    return f.texts.filter("label = 0").select("doc_id", "text")
+
+
+def _blind(f: Frames) -> tuple[DataFrame, DataFrame]:
+    return sheets.blind_sample(_negative(f), X.assigned(f.docs, X.keyword_owners(_chosen(f))))
+
+
+_SAMPLE = """sampled as (select row_number() over (order by doc_id) as no, doc_id, text
+  from (select d.doc_id, text from documents d join labels l using (doc_id) where quality = 0 order by md5(d.doc_id::varchar || ':42'), d.doc_id limit 50))"""
+
 QUERIES: dict = {
+    "labelling_sheet": (
+        lambda f: sheets.labelling_sheet(_weights(f), f.docs, _topics(f)),
+        _with(_TOK, *_INFER, *_SHEET, "select topic, top_terms, top_terms_weights, coalesce(n_dominant, 0) as n_dominant, coalesce(share, 0) as share, cells.* exclude (topic), '' as category, '' as reason from terms20 left join counts using (topic) left join cells using (topic)"),
+    ),
+    "blind_sample": (lambda f: _blind(f)[0], _with(_SAMPLE, "select no, doc_id, trim(replace(coalesce(text, ''), chr(10), ' '), ' ') as shown, '' as judge_1, '' as judge_2, '' as note from sampled")),
+    "blind_sample_key": (lambda f: _blind(f)[1], _with(_SAMPLE, f"select no, doc_id, topic from sampled left join ({_MORE['topic_assignment'][1]}) using (doc_id)")),
+    "definition_sheet": (
+        lambda f: sheets.definitions(_chosen(f), X.bigram_keywords(X.topic_terms(f.docs, "lang", 2))),
+        f"select topic, string_agg(term, ', ' order by o, rank) as keywords from (select topic, 1 as o, rank, term from ({_MORE['keyword_unigrams'][1]}) where rank <= 8 union all select topic, 2 as o, rank, term from ({_MORE['keyword_bigrams'][1]}) where rank <= 4) group by 1 union all select '{sheets.NO_CATEGORY[0]}', '{sheets.NO_CATEGORY[1]}'",
+    ),
     "topic_posterior": (
         lambda f: _weights(f).select("doc_id", *(F.round(F.get("weights", F.lit(k)), 6).alias(f"w_{g}") for k, g in enumerate(LANGS))),
         _with(_TOK, *_INFER, f"select doc_id, {', '.join(f'round(w[{k + 1}], 6) as w_{g}' for k, g in enumerate(LANGS))} from weights"),
