@@ -133,13 +133,17 @@ def set_agreement(pairs: DataFrame) -> DataFrame:
 
 
 def one_se_choice(cv: DataFrame) -> DataFrame:
-    """Of each model's settings within one standard deviation of its best score, the simplest (least ``complexity``, then best score)."""
-    best = Window.partitionBy("model_name").orderBy(F.desc("mean_score"), "complexity")
+    """Of each model's settings within one standard deviation of its best score, the simplest (least ``complexity``, then best score).
+
+    The columns ``setting`` and ``balanced`` are kept where there are any.
+    """
+    extra = [c for c in ("setting", "balanced") if c in cv.columns]
+    best = Window.partitionBy("model_name").orderBy(F.desc("mean_score"), "complexity", *extra)
     rows = cv.withColumns({"bar": F.first(F.col("mean_score") - F.col("std_score")).over(best), "top": F.first("mean_score").over(best)}).filter("mean_score >= bar")
     within = Window.partitionBy("model_name")
-    order = within.orderBy("complexity", F.desc("mean_score"))
+    order = within.orderBy("complexity", F.desc("mean_score"), *extra)
     rows = rows.withColumns({"n_within": F.count(F.lit(1)).over(within), "r": F.row_number().over(order)}).filter("r = 1")
-    return rows.select("model_name", "complexity", "mean_score", F.round("bar", 6).alias("bar"), "n_within", (F.col("mean_score") == F.col("top")).alias("same_as_best"))
+    return rows.select("model_name", "complexity", "mean_score", F.round("bar", 6).alias("bar"), "n_within", (F.col("mean_score") == F.col("top")).alias("same_as_best"), *extra)
 
 
 # topics

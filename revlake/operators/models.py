@@ -181,9 +181,16 @@ def class_metrics(predictions: DataFrame) -> DataFrame:
     return per.select("class", "support", ratio(tp, n_pred).alias("precision"), ratio(tp, n_label).alias("recall"), ratio(2 * tp, n_label + n_pred).alias("f1"))
 
 
-def cv_grid(train: DataFrame, grid: dict[str, list[float]], folds: int = 5, seed: int = 42, min_df: int = 3) -> DataFrame:
+#: All settings: alpha of the Bayes models; C of the linear ones, each without and with balanced costs.
+_C = [(c, weighted) for c in (0.1, 0.5, 1.0, 5.0) for weighted in (False, True)]
+GRID = {"cnb": [0.1, 0.5, 1.0, 2.0], "nb": [0.1, 0.5, 1.0, 2.0], "svc": _C, "lr": _C}
+
+
+def cv_grid(train: DataFrame, grid: dict[str, list[float | tuple[float, bool]]] = GRID, folds: int = 5, seed: int = 42, min_df: int = 3) -> DataFrame:
     """Macro-F1 on held-out and training rows, over stratified folds: one row per model and setting, as ``analysis.one_se_choice`` takes them.
 
+    A setting is a number, or a number and whether costs are balanced (they are if it is a number).  ``complexity`` is C, and for the Bayes models minus alpha: the more smoothing, the simpler the model.
+
     The vectoriser is fitted anew on each fold's training rows.
     """
     rows = dealt(train, [i / folds for i in range(1, folds)], seed).persist()
@@ -194,18 +201,21 @@ def cv_grid(train: DataFrame, grid: dict[str, list[float]], folds: int = 5, seed
         parts = made.transform(kept).persist(), made.transform(rows.filter(F.col("part") == fold)).persist()
         n = parts[0].count()
         for kind, settings in grid.items():
-            for setting in settings:
+            for item in settings:
+                setting, weighted = item if isinstance(item, tuple) else (item, True)
+                own_rows = parts[0] if weighted else parts[0].withColumn("weight", F.lit(1.0))
                 if kind == "svc":
-                    model = margin.fit(parts[0], [2 * F.col("label") - 1], [F.col("weight")], (made.stages[0].vocabulary, list(made.stages[2].getScalingVec())), setting)
+                    model = margin.fit(own_rows, [2 * F.col("label") - 1], [F.col("weight")], (made.stages[0].vocabulary, list(made.stages[2].getScalingVec())), setting)
                 else:
-                    model = classifier(kind, n, setting).fit(parts[0])
+                    model = classifier(kind, n, setting).fit(own_rows)
                 test, own = (macro_f1(model.transform(p).select("label", F.col("prediction").cast("int").alias("pred"))).first() for p in (parts[1], parts[0]))
-                found.append((kind, float(setting), fold, test.macro_f1, own.macro_f1))
+                simplest = -setting if kind in ("nb", "cnb") else setting
+                found.append((kind, float(setting), weighted, float(simplest), fold, test.macro_f1, own.macro_f1))
         for p in parts:
             p.unpersist()
     rows.unpersist()
-    table = train.sparkSession.createDataFrame(found, "model_name string, complexity double, fold int, test double, train double")
-    means = table.groupBy("model_name", "complexity").agg(F.round(F.avg("test"), 6).alias("mean_score"), F.round(F.stddev_pop("test"), 6).alias("std_score"), F.round(F.avg("train"), 6).alias("train_score"))
+    table = train.sparkSession.createDataFrame(found, "model_name string, setting double, balanced boolean, complexity double, fold int, test double, train double")
+    means = table.groupBy("model_name", "setting", "balanced", "complexity").agg(F.round(F.avg("test"), 6).alias("mean_score"), F.round(F.stddev_pop("test"), 6).alias("std_score"), F.round(F.avg("train"), 6).alias("train_score"))
     return means.withColumn("gap", F.round(F.col("train_score") - F.col("mean_score"), 6))
 
 

@@ -9,6 +9,7 @@ from revlake.functions import normalise as N
 from revlake.functions import text as T
 from revlake.operators import analysis as X
 from revlake.operators import dictionary, evaluation, marts, models, release, serving, topics, warehouse
+from revlake.plans.registry import QUERIES as _FIRST
 from revlake.plans.registry import _ACTUAL, _MONTHLY, _PAIRS, _PRED, _R, _S, _T, _TOK, _VER, _VERSION, _Z, _ZP, FROM, TO, Frames, _bh, _kpi, _pct, _r2, _upper, _with
 from revlake.sources import files
 
@@ -27,15 +28,10 @@ _NB = "nb as (select term, round(ln((pos + 1)::double / (sum(pos) over () + coun
 _SETS = """sa as (select l_orderkey as id, list_sort(list(distinct (l_shipdate::varchar)[:4] || l_returnflag)) as set_a from lineitem where l_quantity > 25 group by 1),
 sb as (select l_orderkey as id, list_sort(list(distinct (l_shipdate::varchar)[:4] || l_returnflag)) as set_b from lineitem where l_linenumber <= 3 group by 1),
 sets as (select id, set_a, set_b, set_a[1] as main_a, set_b[1] as main_b from sa join sb using (id))"""
-_CV = [("lr", 0.1, 0.880, 0.004), ("lr", 1.0, 0.8992, 0.005), ("lr", 10.0, 0.8951, 0.004), ("svc", 0.1, 0.9004, 0.003), ("svc", 1.0, 0.8990, 0.003), ("nb", -2.0, 0.8760, 0.002), ("nb", -1.0, 0.8761, 0.002), ("nb", -0.5, 0.8750, 0.002)]
 _FACTS, _PROSE = [0.9261, 0.8951, 526322.0, 77.25], [(1, "526.322 ulasan, 92,61 persen"), (2, "0,9261 atau 0,93; salah 0,91"), (3, "77,25 persen dari 1.234"), (4, "v 89,5 dan 89.5")]
 _B = "bounds as (select min(tanggal) as lo, max(tanggal) as hi from reviews)"
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
-
-
 def _frame(f: Frames, rows, schema: str) -> DataFrame:
     return f.spark.createDataFrame(rows, schema)
 
@@ -57,6 +53,22 @@ def _chosen(f: Frames) -> DataFrame:
     return X.keywords(_lifted(f))
 
 
+def _grid(f: Frames) -> DataFrame:
+    """The grid of the query ``cv_grid``."""
+    return _FIRST["cv_grid"][0](f)
+
+
+_RULE_WORDS = (5, 20, 40, 60, 80, 120, 200, 400)
+
+
+def _rule_cv(f: Frames) -> DataFrame:
+    """Rules by the number of words under the folds of the models: one row per rule and threshold."""
+    rows = models.dealt(_texts(f), [0.2, 0.4, 0.6, 0.8]).select("label", "part", "words", F.explode(F.array(*map(F.lit, _RULE_WORDS))).alias("t"))
+    made = F.array(*(F.struct(F.lit(n).alias("model_name"), p.cast("int").alias("pred")) for n, p in (("long", F.col("words") >= F.col("t")), ("short", F.col("words") < F.col("t")))))
+    scores = models.macro_f1(rows.select("label", "part", "t", F.inline(made)), "model_name", "t", "part")
+    return scores.groupBy("model_name", F.col("t").cast("double").alias("complexity")).agg(F.round(F.avg("macro_f1"), 6).alias("mean_score"), F.round(F.stddev_pop("macro_f1"), 6).alias("std_score"))
+
+
 def _sets(f: Frames) -> DataFrame:
     name = F.concat(F.substring(F.col("l_shipdate").cast("string"), 1, 4), "l_returnflag")
     side = lambda keep, s: f.lines.filter(keep).groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_set(name)).alias(f"set_{s}"))
@@ -101,7 +113,22 @@ QUERIES = {
     "wilson_by_category": (lambda f: X.wilson(f.pairs.groupBy("kategori").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_label") == 0).alias("neg")), "neg", "n"), _with(_R, _S, _T, _PAIRS, "c as (select kategori, count(*) as n, count(*) filter (where pred_label = 0) as neg from pairs group by 1), k as (select *, neg::double / n as p, n::double as m, 1.959963984540054::double as z from c)", "select kategori, n, neg, round(100 * (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m), 6) as low, round(100 * (p + z * z / (2 * m) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m), 6) as high from k")),
     "noise_ceiling": (lambda f: X.noise_ceiling(_rules(f), F.col("doc_id") % 3 == 0, F.col("words") < 30), _with(_TEXTS, _RULES, "k as (select model_name, count(*) as n, count(*) filter (where label <> pred) as n_errors, count(*) filter (where label <> pred and doc_id % 3 = 0) as n_sampled, count(*) filter (where label <> pred and doc_id % 3 = 0 and words < 30) as n_noisy from rules group by 1)", "select *, round(100 * (n_noisy::double / nullif(n_sampled, 0)), 6) as noise_pct, round(100 * (1 - n_errors * (1 - n_noisy::double / nullif(n_sampled, 0)) / n), 6) as ceiling_pct from k")),
     "agreement_jaccard": (lambda f: X.set_agreement(_sets(f)), _with(_SETS, "r as (select list_contains(set_b, main_a)::int as l, (main_a = main_b)::int as s, len(list_intersect(set_a, set_b))::double / len(list_distinct(list_concat(set_a, set_b))) as j from sets)", "pe as (select coalesce(sum(a.n::double * b.n), 0) as x from (select main_a as m, count(*) as n from sets group by 1) a join (select main_b as m, count(*) as n from sets group by 1) b using (m))", "t as (select count(*) as n, avg(l) as lo, avg(s) as st, avg(j) as j from r)", "select n, round(lo, 6) as loose, round(st, 6) as strict, round(j, 6) as jaccard, round((st - x / (n::double * n)) / nullif(1 - x / (n::double * n), 0), 6) as kappa from t, pe")),
-    "one_se_choice": (lambda f: X.one_se_choice(_frame(f, _CV, "model_name string, complexity double, mean_score double, std_score double")), f"with cv(model_name, complexity, mean_score, std_score) as (values {_values(_CV)}), b as (select distinct on (model_name) model_name, mean_score as top, mean_score - std_score as bar from cv order by model_name, mean_score desc, complexity), k as (select cv.*, top, bar, count(*) over (partition by cv.model_name) as n_within, row_number() over (partition by cv.model_name order by complexity, mean_score desc) as r from cv join b using (model_name) where mean_score >= bar) select model_name, complexity, mean_score, round(bar, 6) as bar, n_within, mean_score = top as same_as_best from k where r = 1"),
+    "one_se_rules": (
+        lambda f: X.one_se_choice(_rule_cv(f)),
+        _with(
+            _TEXTS,
+            "f as (select doc_id, words, label, row_number() over (partition by label order by md5(doc_id::varchar || ':42'), doc_id) as pos, count(*) over (partition by label) as n from texts where label is not null)",
+            f"g as (select words, label, (pos > round(0.2::double * n))::int + (pos > round(0.4::double * n))::int + (pos > round(0.6::double * n))::int + (pos > round(0.8::double * n))::int as part, unnest({list(_RULE_WORDS)}) as t from f)",
+            "r as (select *, unnest(['long', 'short']) as model_name, unnest([(words >= t)::int, (words < t)::int]) as pred from g)",
+            "k as (select model_name, t, part, (count(*) filter (where label = 1 and pred = 1))::double as tp, (count(*) filter (where label = 0 and pred = 0))::double as tn, (count(*) filter (where label <> pred))::double as w from r group by all)",
+            "s as (select model_name, t, part, round(case when 2 * tp + w = 0 then 2 * tn / (2 * tn + w) when 2 * tn + w = 0 then 2 * tp / (2 * tp + w) else (2 * tp / (2 * tp + w) + 2 * tn / (2 * tn + w)) / 2 end, 6) as f from k)",
+            "cv as (select model_name, t::double as complexity, round(avg(f), 6) as mean_score, round(stddev_pop(f), 6) as std_score from s group by 1, 2)",
+            "b as (select distinct on (model_name) model_name, mean_score as top, mean_score - std_score as bar from cv order by model_name, mean_score desc, complexity)",
+            "c as (select cv.*, top, bar, count(*) over (partition by cv.model_name) as n_within, row_number() over (partition by cv.model_name order by complexity, mean_score desc) as r from cv join b using (model_name) where mean_score >= bar)",
+            "select model_name, complexity, mean_score, round(bar, 6) as bar, n_within, mean_score = top as same_as_best from c where r = 1",
+        ),
+    ),
+    "one_se_choice": (lambda f: X.one_se_choice(_grid(f)), None),
     "top_features": (lambda f: X.top_features(dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "select * exclude (s) from (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term, log_ratio, s from (select 'positive' as class, term, log_ratio, log_ratio as s from nb union all select 'negative', term, log_ratio, -log_ratio from nb)) where rank <= 20")),
     "artifact_audit": (lambda f: X.artifact_audit(X.top_features(dictionary.nb_counts(f.texts))), _with(_TOK, _NB, "k as (select class, row_number() over (partition by class order by s desc, encode(term)) as rank, term from (select 'positive' as class, term, log_ratio as s from nb union all select 'negative', term, -log_ratio from nb) qualify rank <= 20)", "select class, count(*) as n, count(*) filter (where regexp_matches(term, '[0-9]')) as with_digit, count(*) filter (where regexp_matches(term, '[^a-z0-9 ]')) as with_mark, count(*) filter (where list_contains(list_transform(string_split(term, ' '), lambda x: length(x)), 1)) as with_letter from k group by 1")),
     "predict": (lambda f: X.predict(f.docs, dictionary.nb_counts(f.texts)), _with(_TOK, _NB, "h as (select doc_id, sum(log_ratio) as s, count(*) as n from (select doc_id, unnest(w) as term from tok) join nb using (term) group by 1)", "p as (select d.doc_id, coalesce(s, 0) as s, coalesce(n, 0) as n, 1 / (1 + exp(-greatest(-700.0::double, least(700.0::double, coalesce(s, 0))))) as p from documents d left join h using (doc_id))", "select doc_id, n as n_known, (s >= 0)::int as pred, round(greatest(p, 1 - p), 4) as confidence from p")),
