@@ -8,25 +8,28 @@ if and only if each adjacent pair is; so of the pieces that end a prefix exactly
 last piece of the rest, and ``count[i] = count[i - len(piece)] + 1``.  Characters without a
 piece are as many byte pieces as they have UTF-8 bytes, and nothing merges with them.
 
-The counts at chunk ends add up along the text.  Counts inside a chunk are its own table.  So
-the exact count at every prefix, and any truncation, needs no second encoding.
+The counts at chunk ends add up along the text, and each chunk's table has the counts inside
+it.  Together they are one array with the exact count at every prefix; with the least count from
+each prefix on beside it, a length or a budget is one look-up and nothing is encoded again.
 
 Rows: null is the empty text (0 tokens).  Repeated rows are rows of their own; an empty table
-gives no rows; other columns are ignored.  Chunk tables are kept per Python worker, at most
-``KEPT`` of them; the bound only costs time.
+gives no rows; other columns are ignored.  Chunk tables are kept per Python worker, at most ``KEPT`` of them
+with ``CODE_POINTS`` in all (and those of the text at hand); the bounds only cost time.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEPT = 800_000
+CODE_POINTS = 16_000_000
 _LETTERS = "A-Za-z\u00c0-\u024f\u1e00-\u1eff"
 _CHUNK = re.compile(rf" +(?:[{_LETTERS}]+|[^ \n{_LETTERS}]*)|[{_LETTERS}]+|[^ \n{_LETTERS}]+|\n")
 
@@ -45,7 +48,9 @@ class PrefixCounter:
         #: Every ending of a piece -> is it a piece?
         self.endings = {p[k:]: p[k:] in self.score for p in self.score for k in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.totals: dict[str, int] = {}
+        #: Chunk -> tokens of each of its prefixes, a byte each where that is enough.
+        self.tables: dict[str, Sequence[int]] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by its merges."""
@@ -93,58 +98,51 @@ class PrefixCounter:
         return _CHUNK.findall(" " + text.replace("▁", " ")) if text else []
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.totals) > KEPT:
-            self.totals.clear()
-        for c in chunks.difference(self.totals):
-            self.totals[c] = self.table(c)[-1]
+        if len(self.tables) > KEPT or self.held > CODE_POINTS:
+            self.tables.clear()
+            self.held = 0
+        for c in chunks.difference(self.tables):
+            table = self.table(c)
+            self.tables[c] = bytes(table) if max(table) < 256 else array("q", table)
+            self.held += len(c)
 
     def count(self, text: str) -> int:
         chunks = self.chunks(text)
         distinct = set(chunks)
         self.learn(distinct)
-        return sum(map(self.totals.__getitem__, chunks))
+        ends = {c: self.tables[c][-1] for c in distinct}
+        return sum(map(ends.__getitem__, chunks))
 
     def prefixes(self, text: str) -> "PrefixCounts":
         return PrefixCounts(self, text)
 
 
 class PrefixCounts:
-    """Exact token counts of all prefixes of one text."""
+    """Exact token counts of all prefixes of one text: ``tokens[k]`` of text[:k]; ``ends`` are the ends of its chunks."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.parts = counter, counter.chunks(text)
-        counter.learn(set(self.parts))
-        self.ends, self.tokens, end, tokens = [], [], -1, 0  # the first space is the model's own
-        for c in self.parts:
-            end += len(c)
-            tokens += counter.totals[c]
-            self.ends.append(end)
-            self.tokens.append(tokens)
+        parts = counter.chunks(text)
+        counter.learn(set(parts))
+        self.tokens, ends, at, before = np.zeros(len(text) + 1, np.int64), [], -1, 0  # the first space is the model's own
+        for c in parts:
+            table = counter.tables[c]
+            skip = max(1, 1 - at)  # a prefix of no characters has no tokens, not even that space
+            if skip < len(table):
+                self.tokens[at + skip : at + len(table)] = np.asarray(memoryview(table))[skip:] + np.int64(before)
+            at += len(c)
+            before += table[-1]
+            ends.append(at)
+        self.ends = ends
+        #: The least count of this prefix and all longer ones; it never falls.
+        self.least = np.minimum.accumulate(self.tokens[::-1])[::-1]
 
     def at(self, length: int) -> int:
         """Tokens of text[:length]."""
-        if length <= 0:
-            return 0
-        k = bisect_right(self.ends, length) - 1
-        if k >= 0 and self.ends[k] == length or k + 1 == len(self.parts):
-            return self.tokens[k]
-        begin, before = (self.ends[k], self.tokens[k]) if k >= 0 else (-1, 0)
-        return before + self.counter.table(self.parts[k + 1])[length - begin]
+        return int(self.tokens[min(max(length, 0), len(self.tokens) - 1)])
 
     def longest(self, budget: int) -> int:
         """Length of the longest prefix with at most ``budget`` tokens."""
-        k = bisect_right(self.tokens, budget)
-        while k >= 0:
-            if k < len(self.parts):
-                begin, before = (self.ends[k - 1], self.tokens[k - 1]) if k else (-1, 0)
-                table = self.counter.table(self.parts[k])
-                inside = [j for j in range(1, len(table)) if before + table[j] <= budget]
-                if inside and begin + inside[-1] > 0:
-                    return begin + inside[-1]
-            if k and self.tokens[k - 1] <= budget:
-                return self.ends[k - 1]
-            k -= 1
-        return 0
+        return max(int(np.searchsorted(self.least, budget, "right")) - 1, 0)
 
 
 _counters: dict[int, PrefixCounter] = {}
@@ -193,7 +191,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, path: str | None = None) ->
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ends (code points at chunk ends), tokens (exact tokens of the text up to there)."""
+    """doc_id, ends (code points at chunk ends), tokens (exact tokens of every prefix, by its length in code points from 0 on)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ends", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def row(counter: PrefixCounter, doc_id, text: str) -> tuple:
@@ -203,6 +201,13 @@ def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _mapped(docs, row, schema, "doc_id long, ends array<long>, tokens array<long>", path)
 
 
+def within(tables: DataFrame, budget: int) -> DataFrame:
+    """doc_id, length, n_tokens: the longest prefix of at most ``budget`` tokens, from stored ``prefix_tables`` alone."""
+    fitting = F.transform("tokens", lambda n, k: F.when(n <= budget, k))
+    rows = tables.select("doc_id", "tokens", F.coalesce(F.array_max(fitting), F.lit(0)).cast("long").alias("length"))
+    return rows.select("doc_id", "length", F.get("tokens", F.col("length").cast("int")).alias("n_tokens"))
+
+
 def truncated(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame:
     """doc_id, text, n_tokens: the longest prefix of each text with at most ``budget`` tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64())])

@@ -41,6 +41,32 @@ def test_counts_of_words_and_long_texts(make_docs):
         assert r.tokens[-1] == len(SP.encode(text)) and r.ends[-1] == len(text)
 
 
+def test_stored_prefixes_answer_without_the_program(make_docs, monkeypatch):
+    rng = random.Random(8)
+    parts = ["the ", "ing", "keit", "ción ", "é", "\u4f60", "\U0001f600", "  ", ".\n", "$$$", "▁"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 60)))) for i in range(40)] + [(40, None), (41, ""), (42, "x" * 700), (43, " "), (44, "0" * 300)]
+    stored = tokencount.prefix_tables(make_docs(rows))
+    for r in stored.collect():
+        text = next(t or "" for i, t in rows if i == r.doc_id)
+        assert list(r.tokens) == [len(SP.encode(text[:k])) for k in range(len(text) + 1)]
+    for budget in (0, 1, 5, 40, 10_000):
+        for r in tokencount.within(stored, budget).collect():
+            text = next(t or "" for i, t in rows if i == r.doc_id)
+            counts = [len(SP.encode(text[:k])) for k in range(len(text) + 1)]
+            assert r.length == max(k for k, n in enumerate(counts) if n <= budget) and r.n_tokens == counts[r.length]
+    p = COUNTER.prefixes(rows[3][1] + "zzz zz")
+    monkeypatch.setattr(tokencount.PrefixCounter, "table", None)  # neither question runs the program again
+    assert [p.at(k) for k in range(-1, len(p.tokens) + 1)] and p.longest(7) >= 0 and p.longest(-1) == 0
+
+
+def test_tables_are_dropped_at_their_bounds_and_counts_stay(monkeypatch):
+    counter = tokencount.PrefixCounter(tokencount._model(None))
+    monkeypatch.setattr(tokencount, "CODE_POINTS", 50)
+    for text in ("a b c " * 20, "d" * 400, "e f", "a b c " * 20):
+        assert counter.count(text) == len(SP.encode(text)) and counter.prefixes(text).at(len(text)) == len(SP.encode(text))
+    assert counter.held <= 50 + 400
+
+
 def test_template_folds_constants_and_dead_branches():
     tree = template.fold(template.parse("a{{ 'b' ~ 1 }}{% if 1 == 2 %}x{{ y }}{% else %}c{% endif %}{{ 'q'|up }}"), {"up": str.upper})
     assert tree == (template.Emit(template.Const("ab1cQ")),)
