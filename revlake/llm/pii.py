@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: Rows of a batch that goes back to Spark.
+SLICE = 256
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # No match begins inside a run of digits: where the run's first digit fails, the others do. The look-behind keeps long runs linear.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -336,6 +338,13 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task never holds a second copy of a whole batch of texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with every span replaced by its kind and n_chars counted anew; texts without spans are untouched."""
     model = model or fit(docs)
@@ -344,7 +353,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a name may hold a dot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = []
             for text in batch.column(at):
                 text = text.as_py()
