@@ -12,9 +12,9 @@ How rare a word is comes from counts in 2^20 buckets by hash, a broadcast of 8 M
 corpus.  A bucket bounds the counts of its words from above, so words of buckets below the least count are in
 no phrase that is wanted; which word is the pivot changes where a phrase is counted, never its count.
 
-A pivot of over PART occurrences is dealt out by fragment to several groups, and a group that holds over
-ENTRIES phrases passes on what it has; the sums of such phrases are made by one more grouping.  All other
-groups are complete by themselves and pass on frequent phrases only.
+A pivot of over PART occurrences is dealt out by fragment to several groups, and a group of over
+ENTRIES fragments is mined piece by piece; the sums of such phrases are made by one more grouping.  All other
+groups are complete by themselves and pass on frequent phrases only; many of them are mined at once, with arrays.
 
 Rows: null and empty texts have no words; a null language is ``und``; repeated rows count each;
 an empty table gives no rows; other columns are ignored.  A text of any length is read in blocks
@@ -41,8 +41,8 @@ LEAST = 30
 BUCKETS = 1 << 20
 #: Bytes of text that are hashed at once.
 BLOCK = 4_000_000
-#: Occurrences of a pivot that one group may have, and phrases that a group may hold.
-PART, ENTRIES = 100_000, 300_000
+#: Occurrences of a pivot that one group may have, and fragments that are mined at once; also by their bytes.
+PART, ENTRIES, HELD = 100_000, 300_000, 64_000_000
 #: Groups in which each language's best phrases are found first.
 CELLS = 64
 
@@ -240,46 +240,103 @@ def fragments(docs: DataFrame, bound: np.ndarray, longest: int = LONGEST, part:
     return _texts(docs).mapInArrow(run, "key long, lang string, fragment binary, place int, n long, dealt boolean")
 
 
+def _alike(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the number of its key, for each key the sum of ``n`` and one of its rows."""
+    order = np.argsort(key)
+    ordered = key[order]
+    head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(head) - 1
+    heads = np.flatnonzero(head)
+    return number, np.add.reduceat(n[order], heads), order[heads]
+
+
+def _phrases(lang: pa.Array, fragment: pa.Array, place: np.ndarray, n: np.ndarray, whole: np.ndarray, longest: int, least: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(rows that hold them, phrases, numbers) of the pivots' phrases: all of rows that are not ``whole``, frequent ones of the others.
+
+    Phrases grow by one word at a time, on the left or on the right of the pivot.  Numbers stand for words and for shorter phrases, so
+    equal numbers are equal words.  Where all of a pivot's fragments are at hand, a phrase is counted only if what it grew from is frequent.
+    """
+    rows = len(place)
+    offsets = np.frombuffer(fragment.buffers()[1], np.int32, rows + 1, 4 * fragment.offset).astype(np.int64)
+    raw = fragment.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    data = np.frombuffer(raw, np.uint8)
+    gap = data == 0x20
+    gaps = np.flatnonzero(gap)
+    before_row = np.searchsorted(gaps, offsets)  # gaps before each fragment
+    row_of_gap = np.repeat(np.arange(rows), np.diff(before_row))
+    first = np.arange(rows + 1) + before_row  # each fragment's first word
+    begin, end = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    begin[first[:-1]], end[first[1:] - 1] = offsets[:-1], offsets[1:]
+    begin[row_of_gap + np.arange(len(gaps)) + 1], end[row_of_gap + np.arange(len(gaps))] = gaps + 1, gaps
+    ends = np.cumsum(end - begin, dtype=np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.concatenate([[np.int32(0)], ends]).astype(np.int32)), pa.py_buffer(data[~gap])])
+    word = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    base, pivot = int(word.max()) + 1, first[:-1] + place
+    before, after = place, np.diff(first) - place - 1
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for size in range(longest):
+        shorter, found = found, {}
+        for left in range(size + 1):
+            right = size - left
+            if not size:
+                at, key = np.arange(rows), lang.dictionary_encode().indices.to_numpy().astype(np.int64) * base + word[pivot]
+            else:
+                can = (before >= left) & (after >= right)
+                if left:
+                    can &= shorter[left - 1, right] >= 0
+                if right:
+                    can &= shorter[left, right - 1] >= 0
+                at = np.flatnonzero(can)
+                key = (shorter[left - 1, right][at] * base + word[pivot[at] - left]) if left else (shorter[left, right - 1][at] * base + word[pivot[at] + right])
+            known = found[left, right] = np.full(rows, -1, np.int64)
+            if not len(at):
+                continue
+            number, total, one = _alike(key, n[at])
+            one = at[one]
+            kept = ~whole[one] | (total >= least)
+            known[at] = np.where(kept[number], number, -1)
+            one = one[kept]
+            yield one, [raw[b:e] for b, e in zip(begin[pivot[one] - left].tolist(), end[pivot[one] + right].tolist())], total[kept]
+
+
 def mined(routed: DataFrame, longest: int = LONGEST, least: int = LEAST, entries: int = ENTRIES) -> DataFrame:
     """lang, phrase, n, whole: phrases owned by the pivot of each key; n is all of it where ``whole``, a summand elsewhere."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("whole", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held: dict[str, dict[bytes, int]] = {}
-        size, now, partial = 0, None, False
-
-        def pass_on(whole: bool) -> None:
-            for lang, phrases in held.items():
-                rows.extend((lang, p, n, whole) for p, n in phrases.items() if not whole or n >= least)
-            held.clear()
-
-        def made() -> Iterator[pa.RecordBatch]:
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                rows.clear()
+    def made(table: pa.Table, broken: int | None) -> Iterator[pa.RecordBatch]:
+        key, lang, fragment, place, n, dealt = (table.column(k).combine_chunks() for k in range(6))
+        lang, fragment = lang.cast(pa.string()), fragment.cast(pa.binary())
+        whole = ~dealt.to_numpy(zero_copy_only=False)
+        if broken is not None:
+            whole &= key.to_numpy() != broken
+        for rows, phrases, total in _phrases(lang, fragment, place.to_numpy().astype(np.int64), n.to_numpy(), whole, longest, least):
+            for at in range(0, len(rows), 50_000):
+                some = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(rows[some])), pa.array(phrases[some], pa.binary()), pa.array(total[some]), pa.array(whole[rows[some]])], schema=schema)
 
-        for batch in batches:
-            for key, lang, fragment, place, n, dealt in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if key != now or size > entries:
-                    if key == now:
-                        partial = True
-                    pass_on(not partial)
-                    if key != now:
-                        now, partial = key, dealt
-                    size = 0
-                    if len(rows) > 50_000:
-                        yield from made()
-                phrases = held.setdefault(lang, {})
-                words = fragment.split(b" ")
-                before = len(phrases)
-                for begin in range(place + 1):
-                    for end in range(place + 1, min(len(words), begin + longest) + 1):
-                        phrase = b" ".join(words[begin:end])
-                        phrases[phrase] = phrases.get(phrase, 0) + n
-                size += len(phrases) - before
-        pass_on(not partial)
-        yield from made()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, room, broken = 0, 0, None
+        for batch in (b.slice(at, entries) for b in batches for at in range(0, b.num_rows, entries)):
+            held.append(batch)
+            size, room = size + batch.num_rows, room + batch.nbytes
+            if size < entries and room < HELD:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column(0).to_numpy()
+            last = int(keys[-1])
+            cut = int(np.searchsorted(keys, last))
+            if cut:  # all rows of the keys before the last are there
+                yield from made(table.slice(0, cut), broken)
+                held = table.slice(cut).to_batches()
+            else:  # more of one key than is held
+                yield from made(table, last)
+                broken, held = last, []
+            size, room = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+        if held:
+            yield from made(pa.Table.from_batches(held), broken)
 
     return routed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
 

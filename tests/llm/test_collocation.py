@@ -104,3 +104,35 @@ def test_large_counts_are_exact(spark):
 def test_empty_table(spark, docs):
     assert collocation.collocations(docs.limit(0)).count() == 0
     assert collocation.collocations(docs.select("doc_id", "lang", docs.lang.cast("string").alias("text")).filter("lang is null")).count() == 0
+
+
+def test_groups_are_mined_together_and_infrequent_phrases_do_not_grow(monkeypatch):
+    import pyarrow as pa
+
+    rows = [("en", b"a b c", 1, 3), ("en", b"a b d", 1, 2), ("de", b"a b c", 1, 9), ("en", b"z y", 0, 1), ("en", b"q \xc3\xb6 q r", 1, 4)]
+    lang, fragment, place, n = pa.array([r[0] for r in rows]), pa.array([b"cut"] + [r[1] for r in rows], pa.binary()).slice(1), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    grown = []
+    alike = collocation._alike
+    monkeypatch.setattr(collocation, "_alike", lambda key, n: grown.append(len(key)) or alike(key, n))
+
+    def found(whole):
+        grown.clear()
+        return sorted((lang[int(r)].as_py(), p, int(c), bool(whole[r])) for at, some, total in collocation._phrases(lang, fragment, place, n, whole, 4, 4) for r, p, c in zip(at, some, total))
+
+    everything = [("de", b"a b", 9), ("de", b"a b c", 9), ("de", b"b", 9), ("de", b"b c", 9), ("en", b"a b", 5), ("en", b"b", 5), *(("en", x.encode(), 4) for x in ("q ö", "q ö q", "q ö q r", "ö", "ö q", "ö q r"))]
+    assert found(np.ones(5, bool)) == sorted((*r, True) for r in everything)
+    assert sum(grown) == 17  # b c, b d and z go no further
+    rare = [("en", b"a b c", 3), ("en", b"a b d", 2), ("en", b"b c", 3), ("en", b"b d", 2), ("en", b"z", 1), ("en", b"z y", 1)]
+    assert found(np.zeros(5, bool)) == sorted((*r, False) for r in everything + rare)
+
+
+def test_a_group_of_many_pieces_is_never_whole(spark):
+    rows = [(7, "en", f"w{i % 50} p".encode(), 1, 1, False) for i in range(400)] + [(9, "en", b"x", 0, 5, False)]
+    routed = spark.createDataFrame(rows, "key long, lang string, fragment binary, place int, n long, dealt boolean")
+    for entries, pieces in ((7, True), (1000, False)):
+        got = collocation.mined(routed, least=3, entries=entries).collect()
+        total = {}
+        for r in got:
+            total[bytes(r.phrase)] = total.get(bytes(r.phrase), 0) + r.n
+            assert r.whole == (not pieces or bytes(r.phrase) == b"x")
+        assert total == {b"p": 400, b"x": 5, **{f"w{i} p".encode(): 8 for i in range(50)}}
