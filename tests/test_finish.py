@@ -107,3 +107,17 @@ def test_grid_scores_are_those_of_models_fitted_by_hand(spark, parts):
     mean = sum(f1) / 3
     assert row.mean_score == pytest.approx(mean, abs=2e-6)
     assert row.std_score == pytest.approx((sum((x - mean) ** 2 for x in f1) / 3) ** 0.5, abs=2e-6)
+
+
+def test_grid_models_of_all_kinds_are_those_of_spark(spark, parts):
+    train = models.first_of_text(parts[0]).persist()
+    got = {(r.model_name, r.setting): r for r in models.cv_grid(train, {"nb": [0.1], "cnb": [0.1, 2.0], "lr": [0.5]}, folds=2, min_df=1).collect()}
+    dealt = models.dealt(train, [0.5]).persist()
+    for (kind, setting), row in got.items():
+        held, own = [], []
+        for fold in (0, 1):
+            rows = dealt.filter(F.col("part") != fold)
+            model = models.fit(rows, kind, min_df=1, setting=setting)
+            held.append(models.macro_f1(models.score(model, dealt.filter(F.col("part") == fold))).first().macro_f1)
+            own.append(models.macro_f1(models.score(model, rows)).first().macro_f1)
+        assert (row.mean_score, row.train_score) == pytest.approx((sum(held) / 2, sum(own) / 2), abs=2e-6), (kind, setting)
