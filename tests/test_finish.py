@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlake.operators import analysis, finish, models
+from revlake.plans import more, registry
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,13 @@ def test_grid_models_of_all_kinds_are_those_of_spark(spark, parts):
             held.append(models.macro_f1(models.score(model, dealt.filter(F.col("part") == fold))).first().macro_f1)
             own.append(models.macro_f1(models.score(model, rows)).first().macro_f1)
         assert (row.mean_score, row.train_score) == pytest.approx((sum(held) / 2, sum(own) / 2), abs=2e-6), (kind, setting)
+
+
+def test_query_grid_has_all_settings(monkeypatch):
+    """The query leaves no kind, setting or balance of costs out: 24 in all."""
+    seen = []
+    monkeypatch.setattr(models, "cv_grid", lambda train, grid=models.GRID: seen.append(grid))
+    monkeypatch.setattr(registry, "_parts", lambda f: (None, None))
+    registry.QUERIES["cv_grid"][0](None)
+    more._grid(None)
+    assert seen == [models.GRID, models.GRID] and sum(map(len, models.GRID.values())) == 24
