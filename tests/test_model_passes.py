@@ -31,3 +31,10 @@ def test_scores_in_one_pass_are_those_of_each_model(rows, monkeypatch):
     assert got.columns == ["doc_id", "label", "pred", "proba", "model_name"]
     for name, model in fitted.items():
         assert sorted(got.filter(F.col("model_name") == name).drop("model_name").collect()) == sorted(models.score(model, rows).collect())
+
+
+def test_terms_are_counted_by_batch_before_they_move(spark):
+    """One row for each term of a batch, not one for each occurrence."""
+    rows = spark.createDataFrame([(["a", "b", "a"], 0), (["a"], 0), ([], 0), (None, 0), (["a", "c"], 1)], "terms array<string>, part int").coalesce(1)
+    assert sorted(map(tuple, models._each_term(rows).collect())) == [("a", 4, 3), ("b", 1, 1), ("c", 1, 1)]
+    assert sorted(map(tuple, models._each_term(rows, "part").collect())) == [(0, "a", 3, 2), (0, "b", 1, 1), (1, "a", 1, 1), (1, "c", 1, 1)]
