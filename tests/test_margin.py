@@ -130,3 +130,11 @@ def test_search_is_told_the_directions_that_reach_furthest(rows, encoded):
     x = np.concatenate(x)
     assert costs == pytest.approx([1.0]) and np.allclose(np.sort(squares), np.linalg.eigvalsh(x.T @ x), atol=1e-8)
     assert np.allclose(((x @ ways.T) ** 2).sum(0), squares, atol=1e-8)
+
+
+def test_sums_that_are_added_before_the_driver_are_the_same(encoded, monkeypatch):
+    made, idf = encoded
+    want = margin.class_sums(made, idf, [margin.Problem(0, 0, 1, 1.0)])
+    monkeypatch.setattr(margin, "COLLECTED", 0)
+    got = margin.class_sums(made, idf, [margin.Problem(0, 0, 1, 1.0)])
+    assert (got[0] == want[0]).all() and np.allclose(got[1], want[1]) and want[0].sum() == 153
